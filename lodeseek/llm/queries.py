@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeseek.llm.bpe import bpe_decode, bpe_encode
 from lodeseek.llm.exact_dedup import exact_dedup
+from lodeseek.llm.token_files import read_token_files, write_token_files
+from lodeseek.plans.staging import stage_path
+
+#: File of the public tokenizers package that operators 7 and 9 use.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,3 +37,26 @@ SELECT doc_id,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents
 """
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = stage_path(spark, "token-files")
+    write_token_files(_documents(spark, sf_dir), tokenizer_path(), path)
+    return read_token_files(spark, path)
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def bpe_digests(docs: DataFrame, *more: str) -> DataFrame:
+    """Encode and decode texts; the digests of ids and of decoded texts, and the columns named."""
+    path = tokenizer_path()
+    coded = bpe_decode(bpe_encode(docs, path).drop("text"), path)
+    return coded.select(
+        "doc_id",
+        *more,
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

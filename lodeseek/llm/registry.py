@@ -6,6 +6,8 @@ from lodeseek.llm import queries as q
 
 QUERIES = {
     "op1_exact_dedup": q.op1_exact_dedup,
+    "op7_token_files": q.op7_token_files,
+    "op9_bpe": q.op9_bpe,
 }
 
 ORACLE_SQL = {
