@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.llm.bpe import bpe_decode, bpe_encode
 from lodeseek.llm.exact_dedup import exact_dedup
+from lodeseek.llm.quality_rules import COUNTS, fit_rules, judge
 from lodeseek.llm.token_files import read_token_files, write_token_files
 from lodeseek.plans.staging import stage_path
 
@@ -60,3 +61,9 @@ def bpe_digests(docs: DataFrame, *more: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    rules = fit_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judge(docs, rules).select("own.doc_id", *COUNTS, "base_failed", "kept", "rule")

@@ -8,6 +8,7 @@ QUERIES = {
     "op1_exact_dedup": q.op1_exact_dedup,
     "op7_token_files": q.op7_token_files,
     "op9_bpe": q.op9_bpe,
+    "op10_quality_rules": q.op10_quality_rules,
 }
 
 ORACLE_SQL = {
