@@ -15,8 +15,10 @@ result is replaced; rows that repeat give equal results; an empty table gives no
 
 from __future__ import annotations
 
+import gc
 import json
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -29,7 +31,7 @@ from pyspark.sql import types as T
 #: Bytes of the largest piece that is encoded as one.
 LEAF = 1024
 #: Pieces kept; the cache is emptied when it is full.
-CACHE = 400_000
+CACHE = 800_000
 #: Characters of text that are turned into Python objects at once.
 SLICE = 4_000_000
 
@@ -108,34 +110,46 @@ class TreeBpe:
         back = {ord(c): b for b, c in self.letters.items()}
         return [bytes(back[ord(c)] for c in piece).decode() for piece, _ in self.full.pre_tokenizer.pre_tokenize_str(text)]
 
+    def _encode_new(self, new: list[str]) -> dict[str, bytes]:
+        short = [x for x in new if len(x) * 4 <= self.leaf and "\0" not in x]
+        spelled = self._spell("\0".join(short).encode()).split(self.letters[0]) if short else []
+        made = self.bare.encode_batch_fast(spelled, add_special_tokens=False)
+        out = {x: array("i", e.ids).tobytes() for x, e in zip(short, made)}
+        if len(self.cache) + len(out) > self.most:
+            self.cache.clear()
+        self.cache.update(out)
+        return out | {x: self._tree(x.encode()) for x in new if x not in out}
+
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text."""
-        parts: list[list[tuple[bool, list[str] | bytes]]] = []
-        new: set[str] = set()
+        """The ids of each text. Collecting garbage among millions of short-lived strings would only cost time."""
+        gc.disable()
+        try:
+            return self._encode_batch(texts)
+        finally:
+            gc.enable()
+
+    def _encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        get = self.cache.get
+        rows: list[list[bytes | list[bytes | None]]] = []
+        holes: list[tuple[list[bytes | None], int, str]] = []
         for text in texts:
-            own = []
+            own: list[bytes | list[bytes | None]] = []
             for i, run in enumerate(self.split_added.split(text) if text and self.split_added else [text or ""]):
                 if i % 2:
-                    own.append((False, self.added[run]))
+                    own.append(self.added[run])
                 elif run:
                     pieces = self._pieces(run)
-                    new.update(pieces)
-                    own.append((True, pieces))
-            parts.append(own)
-        new -= self.cache.keys()
-        if len(self.cache) + len(new) > self.most:
-            self.cache.clear()
-            new = {piece for own in parts for told, pieces in own if told for piece in pieces}
-        short = [x for x in new if len(x) * 4 <= self.leaf]
-        made = self.bare.encode_batch_fast([self._spell(x.encode()) for x in short], add_special_tokens=False)
-        known = self.cache
-        known.update((x, np.asarray(e.ids, np.int32).tobytes()) for x, e in zip(short, made))
-        long = [x for x in new if len(x) * 4 > self.leaf]
-        known.update((x, self._tree(x.encode())) for x in long)
-        out = [b"".join([b"".join(map(known.__getitem__, x)) if told else x for told, x in own]) for own in parts]
-        for x in long:
-            del known[x]
-        return out
+                    coded = list(map(get, pieces))
+                    at = -1
+                    for _ in range(coded.count(None)):
+                        at = coded.index(None, at + 1)
+                        holes.append((coded, at, pieces[at]))
+                    own.append(coded)
+            rows.append(own)
+        made = self._encode_new(list(dict.fromkeys([piece for _, _, piece in holes])))
+        for coded, at, piece in holes:
+            coded[at] = made[piece]
+        return [b"".join([x if isinstance(x, bytes) else b"".join(x) for x in own]) for own in rows]
 
     # decoding
 
@@ -171,6 +185,11 @@ def _set(batch: pa.RecordBatch, name: str, values: pa.Array, schema: list[str])
     return pa.RecordBatch.from_arrays([columns[n] for n in schema], schema)
 
 
+def _lists(coded: list[bytes]) -> pa.Array:
+    starts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in coded])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+
+
 def _mapped(df: DataFrame, name: str, kind: T.DataType, work: Callable[[pa.RecordBatch], pa.Array], by: str) -> DataFrame:
     schema = T.StructType([x for x in df.schema.fields if x.name != name] + [T.StructField(name, kind)])
     names = schema.names
@@ -186,9 +205,7 @@ def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str
     """``docs`` with the ids of each text as an array of integers."""
 
     def work(batch: pa.RecordBatch) -> pa.Array:
-        coded = encoder(path, leaf=leaf).encode_batch(batch.column(text_col).to_pylist())
-        starts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in coded])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+        return _lists(encoder(path, leaf=leaf).encode_batch(batch.column(text_col).to_pylist()))
 
     return _mapped(docs, ids_col, T.ArrayType(T.IntegerType()), work, text_col)
 
@@ -200,3 +217,19 @@ def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "
         return pa.array([encoder(path).decode(x.as_py() or []) for x in batch.column(ids_col)], pa.string())
 
     return _mapped(df, text_col, T.StringType(), work, "")
+
+
+def bpe_round_trip(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", leaf: int = LEAF) -> DataFrame:
+    """``docs`` with each text encoded, then decoded from the ids in the same pass; the decoded text replaces the text."""
+    schema = T.StructType([x for x in docs.schema.fields if x.name != ids_col] + [T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = encoder(path, leaf=leaf)
+        for batch in slices(batches, text_col):
+            coded = tree.encode_batch(batch.column(text_col).to_pylist())
+            ids = _lists(coded)
+            back = pa.array([tree.decode(array("i", x)) for x in coded], pa.string())
+            yield _set(_set(batch, text_col, back, batch.schema.names), ids_col, ids, names)
+
+    return docs.mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm.bpe import bpe_decode, bpe_encode
+from lodeseek.llm.bpe import bpe_round_trip
 from lodeseek.llm.exact_dedup import exact_dedup
 from lodeseek.llm.quality_rules import COUNTS, fit_rules, judge
 from lodeseek.llm.token_files import read_token_files, write_token_files
@@ -52,14 +52,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame, *more: str) -> DataFrame:
     """Encode and decode texts; the digests of ids and of decoded texts, and the columns named."""
-    path = tokenizer_path()
-    coded = bpe_decode(bpe_encode(docs, path).drop("text"), path)
-    return coded.select(
+    return bpe_round_trip(docs, tokenizer_path()).select(
         "doc_id",
         *more,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
     )
 
 

@@ -43,6 +43,9 @@ def test_operator(spark):
     got = bpe.bpe_decode(bpe.bpe_encode(docs, PATH), PATH).collect()
     assert sorted((r.text or "", r.ids, r.decoded) for r in got) == sorted((t or "", FULL.encode(t or "", add_special_tokens=False).ids, t or "") for _, t, _ in rows)
     assert bpe.bpe_encode(docs.limit(0), PATH).count() == 0
+    both = bpe.bpe_round_trip(docs, PATH)
+    assert both.columns == ["doc_id", "text", "ids"]
+    assert sorted((r.text, r.ids) for r in both.collect()) == sorted((r.decoded, r.ids) for r in got)
 
 
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 5000])
