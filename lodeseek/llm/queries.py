@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.llm.bpe import bpe_round_trip
 from lodeseek.llm.exact_dedup import exact_dedup
+from lodeseek.llm.mixing import MOST, SEED, mix_report
 from lodeseek.llm.quality_rules import COUNTS, fit_rules, judge
 from lodeseek.llm.token_files import read_token_files, write_token_files
 from lodeseek.plans.staging import stage_path
@@ -65,3 +66,41 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     rules = fit_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return judge(docs, rules).select("own.doc_id", *COUNTS, "base_failed", "kept", "rule")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP8_SQL = rf"""
+WITH sized AS (
+  SELECT doc_id, source,
+         CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')) AS BIGINT) AS size,
+         (CAST(('0x' || substr(md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), ''), '{SEED}', coalesce(text, ''))), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / {1 << 52}::DOUBLE AS u
+  FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS s, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM sized GROUP BY source
+), filled AS (
+  SELECT source, s, w,
+         sum(s) OVER () - {MOST} * coalesce(sum(s) OVER o, 0) AS l,
+         sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS ws
+  FROM sources WINDOW o AS (ORDER BY s::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), units AS (
+  SELECT *, {MOST} * s * ws < w * l AS is_full, max(CASE WHEN {MOST} * s * ws >= w * l THEN l::DOUBLE / ws END) OVER () AS unit FROM filled
+), targets AS (
+  SELECT source, s, CASE WHEN is_full THEN ({MOST} * s)::DOUBLE ELSE w * unit END AS target FROM units
+), plan AS (
+  SELECT *, CASE WHEN s > 0 THEN least(floor(target / s), {MOST}) ELSE 0 END AS whole FROM targets
+), shares AS (
+  SELECT *, target - whole * s AS rest, CASE WHEN s > 0 THEN (target - whole * s) / s ELSE 0 END AS share FROM plan
+), ranked AS (
+  SELECT z.*, p.s, p.target, p.whole, p.rest,
+         CASE WHEN share > 0 THEN (u / (1 - u)) / (share / (1 - share)) END AS rnk
+  FROM sized z JOIN shares p ON z.source IS NOT DISTINCT FROM p.source
+), passed AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rnk, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ranked
+)
+SELECT doc_id, size, s AS source_size, target,
+       CAST(size * (whole + CASE WHEN rnk IS NOT NULL AND before::DOUBLE + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM passed
+"""

@@ -7,10 +7,12 @@ from lodeseek.llm import queries as q
 QUERIES = {
     "op1_exact_dedup": q.op1_exact_dedup,
     "op7_token_files": q.op7_token_files,
+    "op8_mixing": q.op8_mixing,
     "op9_bpe": q.op9_bpe,
     "op10_quality_rules": q.op10_quality_rules,
 }
 
 ORACLE_SQL = {
     "op1_exact_dedup": q.OP1_SQL,
+    "op8_mixing": q.OP8_SQL,
 }
