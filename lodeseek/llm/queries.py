@@ -9,6 +9,7 @@ from lodeseek.llm.bpe import bpe_round_trip
 from lodeseek.llm.exact_dedup import exact_dedup
 from lodeseek.llm.mixing import MOST, SEED, mix_report
 from lodeseek.llm.quality_rules import COUNTS, fit_rules, judge
+from lodeseek.llm.setsketch import near_duplicates
 from lodeseek.llm.token_files import read_token_files, write_token_files
 from lodeseek.plans.staging import stage_path
 
@@ -75,7 +76,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = rf"""
 WITH sized AS (
   SELECT doc_id, source,
-         CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '')) AS BIGINT) AS size,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
          (CAST(('0x' || substr(md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), ''), '{SEED}', coalesce(text, ''))), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / {1 << 52}::DOUBLE AS u
   FROM documents
 ), sources AS (
@@ -104,3 +105,7 @@ SELECT doc_id, size, s AS source_size, target,
        CAST(size * (whole + CASE WHEN rnk IS NOT NULL AND before::DOUBLE + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM passed
 """
+
+
+def op5_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir), words=3, similarity=0.85)
