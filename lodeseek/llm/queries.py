@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.llm.bpe import bpe_round_trip
 from lodeseek.llm.exact_dedup import exact_dedup
+from lodeseek.llm.license_scan import license_scan
 from lodeseek.llm.mixing import MOST, SEED, mix_report
 from lodeseek.llm.quality_rules import COUNTS, fit_rules, judge
 from lodeseek.llm.setsketch import near_duplicates
@@ -109,3 +110,14 @@ FROM passed
 
 def op5_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), words=3, similarity=0.85)
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(_documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    words = F.col("places.word")
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(words).alias("first_word"), F.array_max(words).alias("last_word"),
+        joined(F.col("places.label")).alias("base_labels"), joined(F.concat(F.col("places.label"), F.col("spans.label"))).alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max("spans.likeness"), F.lit(0.0))).alias("score"),
+    )

@@ -7,6 +7,7 @@ from lodeseek.llm import queries as q
 QUERIES = {
     "op1_exact_dedup": q.op1_exact_dedup,
     "op5_setsketch": q.op5_setsketch,
+    "op6_license_scan": q.op6_license_scan,
     "op7_token_files": q.op7_token_files,
     "op8_mixing": q.op8_mixing,
     "op9_bpe": q.op9_bpe,
