@@ -9,6 +9,7 @@ from lodeseek.llm.bpe import bpe_round_trip
 from lodeseek.llm.exact_dedup import exact_dedup
 from lodeseek.llm.license_scan import license_scan
 from lodeseek.llm.mixing import MOST, SEED, mix_report
+from lodeseek.llm.ngram_lm import lm_scores
 from lodeseek.llm.quality_rules import COUNTS, fit_rules, judge
 from lodeseek.llm.setsketch import near_duplicates
 from lodeseek.llm.token_files import read_token_files, write_token_files
@@ -121,3 +122,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined(F.col("places.label")).alias("base_labels"), joined(F.concat(F.col("places.label"), F.col("spans.label"))).alias("labels"),
         F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max("spans.likeness"), F.lit(0.0))).alias("score"),
     )
+
+
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_documents(spark, sf_dir))
