@@ -223,3 +223,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     out = members.select("doc_id", "key", F.col("n").alias("n_shingles")).join(named, "key", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those that are not the first of their component. Ids are taken to be unique: a repeated id goes if one of its texts goes; rows without id stay."""
+    gone = near_duplicates(docs, words, similarity, id_col, text_col).filter(F.col("doc_id").isNotNull() & ~F.col("kept")).select(F.col("doc_id").alias("gone"))
+    return docs.join(stage(gone, "near-copies"), F.col(f"`{id_col}`") == F.col("gone"), "left_anti")
