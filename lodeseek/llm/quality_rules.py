@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.llm.words import words_of
+from lodeseek.llm.words import held, words_of
 
 #: Labelled documents that the learner sees at most.
 SAMPLE = 20_000
@@ -38,36 +38,30 @@ def _without(text: str, pattern: str) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
 
 
-def _held(value: Column) -> Column:
-    """``value``, always. Being formally indeterminate, it is computed where it stands: a filter above is not pushed below it,
-    which would put the expressions of whole arrays into the lambdas that run for each of their elements."""
-    return F.when(F.spark_partition_id() >= 0, value)
-
-
 def text_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Columns ``own`` (the row), the counts, base_failed and the measures derived from them."""
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
-    df = df.select("own", "t", _held(words_of(F.col("t"))).alias("w"))
+    df = df.select("own", "t", held(words_of(F.col("t"))).alias("w"))
     w, n = F.col("w"), F.size("w")
     at = lambda i: [F.get(w, i + k) for k in range(WINDOW)]
     starts = F.sequence(F.lit(0), n - WINDOW)
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.select(
-        "own", "t", "w", lines.alias("lines"), _held(n.cast("long")).alias("n_words"),
+        "own", "t", "w", lines.alias("lines"), held(n.cast("long")).alias("n_words"),
         # equal windows have equal hashes: texts with all hashes different need no closer look
         F.when(n > WINDOW, F.size(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*at(i))))) < n - WINDOW + 1).otherwise(False).alias("looks"),
     )
     ordered = F.sort_array(F.transform(starts, lambda i: F.struct(F.concat_ws(" ", *at(i)).alias("k"), i.alias("i"))))
-    df = df.select("own", "t", "w", "lines", "n_words", _held(F.when(F.col("looks"), ordered)).alias("windows"))
+    df = df.select("own", "t", "w", "lines", "n_words", held(F.when(F.col("looks"), ordered)).alias("windows"))
     windows = F.col("windows")
     twin = lambda j: (F.get(windows, j)["k"] == F.get(windows, j - 1)["k"]) | (F.get(windows, j)["k"] == F.get(windows, j + 1)["k"])
     seats = F.filter(F.sequence(F.lit(0), F.size(windows) - 1), lambda j: F.coalesce(twin(j), F.lit(False)))
-    df = df.select("own", "t", "w", "lines", "n_words", _held(F.when(windows.isNotNull(), F.sort_array(F.transform(seats, lambda j: F.get(windows, j)["i"])))).alias("at"))
+    df = df.select("own", "t", "w", "lines", "n_words", held(F.when(windows.isNotNull(), F.sort_array(F.transform(seats, lambda j: F.get(windows, j)["i"])))).alias("at"))
     found = F.col("at")
     covered = F.when(F.size(found) > 1, F.aggregate(F.sequence(F.lit(0), F.size(found) - 2), F.lit(0), lambda a, j: a + F.least(F.lit(WINDOW), F.get(found, j + 1) - F.get(found, j)))).otherwise(0) + WINDOW
     joined = F.array_join("w", "")
     df = df.select(
-        "own", _held(F.col("n_words")).alias("n_words"),
+        "own", held(F.col("n_words")).alias("n_words"),
         F.length(joined).cast("long").alias("word_chars"),
         _without("t", "[#*$%&|<>]").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),

@@ -10,6 +10,7 @@ from lodeseek.llm.exact_dedup import exact_dedup
 from lodeseek.llm.license_scan import license_scan
 from lodeseek.llm.mixing import MOST, SEED, mix_report
 from lodeseek.llm.ngram_lm import lm_scores
+from lodeseek.llm.pii import pseudonymise
 from lodeseek.llm.quality_rules import COUNTS, fit_rules, judge
 from lodeseek.llm.setsketch import near_duplicates
 from lodeseek.llm.token_files import read_token_files, write_token_files
@@ -126,3 +127,11 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_documents(spark, sf_dir))
+
+
+#: A key for these queries only; a user of the operator brings a secret one.
+PII_KEY = "public test key"
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(_documents(spark, sf_dir).select("doc_id", "text"), PII_KEY)
