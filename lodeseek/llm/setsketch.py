@@ -7,12 +7,7 @@ registers are hashed to buckets; two classes in a bucket may be similar. The joi
 with the known set sizes, drops pairs whose similarity is surely below the threshold; all others are confirmed
 on their full sets.
 
-Buckets are not expanded into pairs. First each class is compared with one class only, the least of the bucket it
-shares most bands with, and the links found are joined by union-find. Two classes of a bucket that are then in
-one component need no comparison. In the buckets left with several components every class outside the bucket's
-largest component is compared with all classes of other components there. If that makes more than
-``PAIRS_PER_CLASS`` pairs per class it is dealt over rounds by a hash of the class, with union-find between
-them, so no round holds more and no pair is lost.
+Buckets are not expanded into pairs; lodeseek.llm.buckets says how they become components.
 
 Defined cases: a text without words (or null) has the empty set and is linked with nothing; a null id is passed
 over when the smallest id is sought, and is not kept; rows that repeat an id are all kept or all dropped; an empty
@@ -30,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.llm.bpe import slices
+from lodeseek.llm.buckets import bucket_components, shared_buckets
 from lodeseek.llm.shingles import mix64, shingle_sets
-from lodeseek.llm.union_find import components
-from lodeseek.plans.staging import discard, stage
+from lodeseek.plans.staging import stage
 
 #: 20 bands of 4: of links with a similarity of 0.8 one in 30,000 shares no band; with 0.85, one in two million.
 REGISTERS, ROWS = 80, 4
@@ -41,6 +36,8 @@ SCALE, RATE = 1.001, 20.0
 #: Pairs are dropped if the similarity sought is less likely than the best one by this factor's logarithm.
 DROP = 14.0
 PAIRS_PER_CLASS = 8
+#: Bytes of text whose words are hashed at once; some 60 bytes of memory for each.
+SLICE = 1_000_000
 WORDS, SIMILARITY = 5, 0.8
 
 _SEEDS = mix64(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64))
@@ -98,7 +95,7 @@ def sketches(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str
     """Per document: doc_id, key (128-bit digest of the set, null if empty), n, regs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             sets = shingle_sets(batch.column("text"), words)
             regs = registers(sets)
             keys = [hashlib.blake2b(x, digest_size=16).digest() if len(x) else None for x in sets]
@@ -143,7 +140,7 @@ def sets_of(docs: DataFrame, classes: DataFrame, words: int, id_col: str, text_c
             hit = np.ones(len(values), bool)
             for at in _places(values, bits):
                 hit &= (told.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-            for part in slices(iter([batch.filter(pa.array(hit | mask))]), "text"):
+            for part in slices(iter([batch.filter(pa.array(hit | mask))]), "text", SLICE):
                 sets = [x for x in shingle_sets(part.column("text"), words) if len(x)]
                 keys = [hashlib.blake2b(x, digest_size=16).digest() for x in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["key", "body"])
@@ -186,36 +183,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     classes = stage(members.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
     width = 2 * ROWS
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 1 + i * width, width)) for i in range(REGISTERS // ROWS)])
-    spread = classes.select("key", F.explode(bands).alias("band"))
-    shared = spread.groupBy("band").agg(F.count("*").alias("k"), F.min("key").alias("least")).filter("k > 1").select(F.col("band").alias("shared"), "least")
-    buckets = stage(spread.join(shared, F.col("band") == F.col("shared")).select("band", "key", "least"), "buckets")
+    buckets = shared_buckets(classes, bands)
     seen = stage(classes.join(buckets.select("key").distinct(), "key", "left_semi"), "candidates")
     sets = stage(sets_of(docs, seen, words, id_col, text_col).join(seen.select("key"), "key", "left_semi"), "sets")
-
-    votes = buckets.filter("key != least").groupBy("key", "least").agg(F.count("*").alias("votes"))
-    first = votes.groupBy("key").agg(F.max(F.struct("votes", "least")).alias("best")).select(F.col("key").alias("a"), F.col("best.least").alias("b"))
-    links = stage(_verified(first, seen, sets, percent), "first-links")
-    joined = components(links)
-
-    turn, turns = 0, 1
-    while turn < turns:
-        tagged = buckets.join(joined.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("component", "key").alias("c"))
-        sizes = tagged.groupBy("band", "c").agg(F.count("*").alias("k")).groupBy("band").agg(F.count("*").alias("kinds"), F.sum("k").alias("total"), F.max(F.struct("k", "c")).alias("main"))
-        sizes = sizes.filter("kinds > 1").select(F.col("band").alias("open"), "total", F.col("main.c").alias("main"))
-        rest = stage(tagged.join(sizes, F.col("band") == F.col("open")).select("band", "key", "c", "main", "total"), "open-buckets")
-        outside = rest.filter("c != main")
-        if turn == 0:
-            made = outside.agg(F.sum("total")).first()[0] or 0
-            turns = max(1, -(-made // max(1, pairs_per_class * members.count())))
-        own = outside.filter(F.pmod(F.xxhash64("key"), F.lit(turns)) == turn).select("band", F.col("key").alias("a"), F.col("c").alias("c_a"))
-        other = rest.select("band", F.col("key").alias("b"), F.col("c").alias("c_b"), (F.col("c") != F.col("main")).alias("also"))
-        # of two classes that both take a turn, the larger key asks
-        met = own.join(other, "band").filter((F.col("c_a") != F.col("c_b")) & (~F.col("also") | (F.pmod(F.xxhash64("b"), F.lit(turns)) != turn) | (F.col("a") > F.col("b"))))
-        more = _verified(met.select("a", "b").distinct(), seen, sets, percent)
-        links = stage(links.unionByName(more), "all-links")
-        joined = components(links)
-        discard(rest)
-        turn += 1
+    joined = bucket_components(buckets, lambda pairs: _verified(pairs, seen, sets, percent), round(pairs_per_class * members.count()))
 
     told = classes.join(joined.withColumnRenamed("node", "key"), "key", "left").select("key", "first_id", F.coalesce("component", "key").alias("c"))
     least = told.groupBy("c").agg(F.min("first_id").alias("component_id"))
