@@ -42,6 +42,7 @@ NOTICES = {
 }
 #: One edit is allowed for so many characters of a notice.
 CHARACTERS_PER_EDIT = 12
+GRAM = 4
 #: Words consist of these bytes, A-Z in lower case; all else separates.
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -66,6 +67,9 @@ class Scanner:
             for a, b in zip(cuts, cuts[1:]):
                 parts.setdefault(notice[a:b], []).append((k, a))
             self.notices.append((notice, label, edits, regex.compile(f"(?b)(?: {regex.escape(notice, literal_spaces=True)} ){{e<={edits}}}")))
+        # e edits break at most GRAM * e of a notice's character n-grams; a window that lacks more holds no match
+        grams = [[notice[i : i + GRAM] for i in range(len(notice) - GRAM + 1)] for notice, *_ in self.notices]
+        self.grams = [(own, len(own) - GRAM * edits) for own, (_, _, edits, _) in zip(grams, self.notices)]
         self.finder = ahocorasick.Automaton()
         for part, uses in parts.items():
             self.finder.add_word(part, (len(part), uses))
@@ -98,7 +102,11 @@ class Scanner:
         out = []
         for k, own in windows.items():
             notice, label, edits, pattern = self.notices[k]
+            grams, least = self.grams[k]
             for a, b in own:
+                near = text[max(0, a) : b]
+                if sum(gram in near for gram in grams) < least:
+                    continue
                 for m in pattern.finditer(text, max(0, a), min(len(text), b)):
                     wrong = sum(m.fuzzy_counts)
                     first = text.count(" ", 0, m.start() + 1) - 1
