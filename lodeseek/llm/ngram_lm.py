@@ -153,15 +153,17 @@ def _answered(asked: DataFrame, order: int) -> DataFrame:
             own = [np.cumsum(_swell(b[3 * k].as_py(), np.uint64), dtype=np.uint64) for b in bodies]
             ends = np.cumsum([len(x) for x in own])
             keys, inverse = np.unique(np.concatenate(own), return_inverse=True)
-            totals = []
+            totals, asked = [], []
             for j in (1, 2):
-                counts = np.concatenate([_swell(b[3 * k + j].as_py(), np.uint32) for b in bodies])
-                totals.append(np.bincount(inverse, weights=counts, minlength=len(keys)).astype(np.uint64))
+                asked.append(np.concatenate([_swell(b[3 * k + j].as_py(), np.uint32) for b in bodies]))
+                totals.append(np.bincount(inverse, weights=asked[j - 1], minlength=len(keys)).astype(np.uint64))
+            tunes = asked[0] > asked[1]  # only n-grams of a chunk's tuning texts need what EM's estimates count
             if k == 0:
                 known, fit_known = int((totals[0] > 0).sum()), int((totals[1] > 0).sum())
             for i, b in enumerate(ends):
-                at = inverse[b - len(own[i]) : b]
-                out[i] += [_squeeze(totals[0][at]), _squeeze(totals[1][at])]
+                seat = slice(b - len(own[i]), b)
+                at = inverse[seat]
+                out[i] += [_squeeze(totals[0][at]), _squeeze(totals[1][at] * tunes[seat])]
         n = len(chunks)
         return pa.table({"chunk": pa.array(chunks, pa.int64()), "part": pa.array([part] * n, pa.int32()), "body": pa.array(out, pa.list_(pa.binary())), "known": pa.array([known] * n, pa.int64()), "fit_known": pa.array([fit_known] * n, pa.int64())})
 
