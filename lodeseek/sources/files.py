@@ -63,6 +63,14 @@ class _Markdown(HTMLParser):
     def put(self, text: str) -> None:
         (self.out if self.cell is None else self.cell).append(text)
 
+    def close_cell(self) -> None:
+        """End an open cell, whether or not its end tag was written."""
+        if self.cell is not None and self.grid is not None:
+            text, self.cell = "".join(self.cell), None
+            if not self.grid:
+                self.grid.append([])
+            self.grid[-1].append((text, *self.span))
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a = dict(attrs)
         if tag in ("script", "style", "template"):
@@ -98,8 +106,10 @@ class _Markdown(HTMLParser):
         elif tag == "table":
             self.grid = []
         elif tag == "tr" and self.grid is not None:
+            self.close_cell()
             self.grid.append([])
         elif tag in ("td", "th") and self.grid is not None:
+            self.close_cell()
             self.cell, self.span = [], tuple(max(1, int(v)) if (v := a.get(k) or "1").isdigit() else 1 for k in ("rowspan", "colspan"))
 
     def handle_endtag(self, tag: str) -> None:
@@ -120,12 +130,10 @@ class _Markdown(HTMLParser):
             self.put("`")
         elif tag == "a" and self.links:
             self.put(f"]({self.links.pop()[0]})")
-        elif tag in ("td", "th") and self.cell is not None and self.grid is not None:
-            text, self.cell = "".join(self.cell), None
-            if not self.grid:
-                self.grid.append([])
-            self.grid[-1].append((text, *self.span))
+        elif tag in ("td", "th"):
+            self.close_cell()
         elif tag == "table" and self.grid is not None:
+            self.close_cell()
             grid, self.grid = expand(self.grid), None
             self.put("\n\n" + table(grid) + "\n\n")
 
