@@ -4,15 +4,14 @@
 classes at most: of the most popular class of each of its buckets, the one that it shares most buckets with and the
 most popular one. A class is popular if its buckets are large, so copies meet the original they were made from. The
 links form a forest, which pointer jumping flattens. Two classes of a bucket that are then in one component need no
-comparison. In the buckets left with several components every class outside the largest component is compared
-with all classes of other components there; if that makes more than ``budget`` pairs, classes take turns, dealt by a
-hash, and components are joined after each turn. So every pair that shares a band is either compared or already
-in one component.
+comparison. The buckets left with several components are gathered by their largest one, and there every class
+outside it, a stated query set, is compared with all classes, block by block, so no table holds a row for each
+pair. Every two classes that share a band are thus compared or already in one component.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +20,10 @@ from lodeseek.llm.union_find import components
 from lodeseek.plans.staging import discard, stage
 
 
+#: Classes in a block.
+BLOCK = 256
+
+
 def shared_buckets(classes: DataFrame, bands: Column) -> DataFrame:
     """(band, key, size) of the buckets that hold two classes at least; staged."""
     spread = classes.select("key", F.explode(bands).alias("band"))
@@ -52,7 +55,7 @@ def _roots(links: DataFrame) -> DataFrame:
 
 
 def _relabelled(joined: DataFrame, links: DataFrame) -> DataFrame:
-    """Components after more links, which are few: their ends are first replaced by the components they are in."""
+    """Components after more links: their ends are first replaced by the components they are in, which leaves few."""
     for end in ("a", "b"):
         named = joined.select(F.col("node").alias("n2"), F.col("component").alias("c2"))
         links = links.join(named, F.col(end) == F.col("n2"), "left").withColumn(end, F.coalesce("c2", end)).select("a", "b")
@@ -60,36 +63,61 @@ def _relabelled(joined: DataFrame, links: DataFrame) -> DataFrame:
     if not tops.limit(1).count():
         return joined
     tops = tops.select(F.col("node").alias("n2"), F.col("component").alias("c2"))
-    both = joined.join(tops, F.col("component") == F.col("n2"), "full_outer")
+    moved = joined.join(tops, F.col("component") == F.col("n2"), "left").select("node", F.coalesce("c2", "component").alias("component"))
     # a component's own name may have no row in ``joined``
-    return stage(both.select(F.coalesce("node", "n2").alias("node"), F.coalesce("c2", "component").alias("component")).distinct(), "joined").unionByName(tops.select(F.col("n2").alias("node"), F.col("c2").alias("component"))).distinct()
-
-
-def bucket_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], budget: int) -> DataFrame:
-    """(node, component) of classes with a link to a smaller name; others are their own components."""
+    return stage(moved.unionByName(tops.select(F.col("n2").alias("node"), F.col("c2").alias("component"))).groupBy("node").agg(F.min("component").alias("component")), "joined")
+
+
+def _block_pairs(buckets: DataFrame, joined: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of two blocks of classes: (askers, others), arrays of structs of ``nodes``' columns and ``c``.
+
+    Buckets with several components are gathered by their largest component into families. The classes of a family
+    outside that component are its askers, a stated query set; they meet all classes of the family in blocks.
+    """
+    names = joined.select(F.col("node").alias("n2"), "component")
+    tagged = buckets.join(names, F.col("key") == F.col("n2"), "left").select("band", "key", F.coalesce("component", "key").alias("c"))
+    sizes = tagged.groupBy("band", "c").agg(F.count("*").alias("k")).groupBy("band").agg(F.count("*").alias("kinds"), F.max(F.struct("k", "c")).alias("main"))
+    sizes = sizes.filter("kinds > 1").select(F.col("band").alias("open"), F.col("main.c").alias("family"))
+    rest = stage(tagged.join(sizes, F.col("band") == F.col("open")).select("family", "key", "c").distinct(), "families")
+    size = rest.groupBy("family").agg(F.count("*").alias("n"), F.count_if(F.col("c") != F.col("family")).alias("asks")).filter("asks > 0")
+    size = stage(size.select("family", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("asks") / BLOCK).cast("int").alias("sb")), "family-sizes")
+    own = F.struct(*[F.col(c) for c in nodes.columns], "c").alias("x")
+    told = rest.join(size, "family").join(nodes, "key")
+    block = lambda df, n: df.select("family", F.pmod(F.xxhash64("key"), F.col(n)).cast("int").alias("i"), own).groupBy("family", "i").agg(F.collect_list("x").alias("xs"))
+    askers, others = block(told.filter("c != family"), "sb"), block(told, "nb")
+    pairs = size.select("family", "nb", F.explode(F.sequence(F.lit(0), F.col("sb") - 1)).alias("i")).select("family", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
+    first = pairs.join(askers.withColumnRenamed("xs", "askers"), ["family", "i"])
+    return first.join(others.select("family", F.col("i").alias("j"), F.col("xs").alias("others")), ["family", "j"]).select("askers", "others")
+
+
+def bucket_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], nodes: DataFrame, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) of classes with links; others are their own components.
+
+    ``compare`` takes rows of two blocks and returns links (a, b) between classes of different components, one
+    link at least wherever the blocks' links join two components.
+    """
     pairs = stage(_first_pairs(buckets), "first-pairs")
     links = stage(verify(pairs.select("a", "b")), "first-links")
     parents = links.join(pairs, ["a", "b"]).groupBy("a").agg(F.max(F.struct("rank", "b")).alias("y")).select("a", "y.b")
-    joined = _relabelled(_roots(parents), links)
-
-    turn, turns = 0, 1
-    while turn < turns:
-        names = joined.select(F.col("node").alias("n2"), "component")
-        tagged = buckets.join(names, F.col("key") == F.col("n2"), "left").select("band", "key", F.coalesce("component", "key").alias("c"))
-        sizes = tagged.groupBy("band", "c").agg(F.count("*").alias("k")).groupBy("band").agg(F.count("*").alias("kinds"), F.sum("k").alias("total"), F.max(F.struct("k", "c")).alias("main"))
-        sizes = sizes.filter("kinds > 1").select(F.col("band").alias("open"), "total", F.col("main.c").alias("main"))
-        rest = stage(tagged.join(sizes, F.col("band") == F.col("open")).select("band", "key", "c", "main", "total"), "open-buckets")
-        outside = rest.filter("c != main")
-        made = outside.agg(F.sum("total")).first()[0] or 0
-        if not made:
-            break
-        if turn == 0:
-            turns = max(1, -(-made // max(1, budget)))
-        own = outside.filter(F.pmod(F.xxhash64("key"), F.lit(turns)) == turn).select("band", F.col("key").alias("a"), F.col("c").alias("c_a"))
-        other = rest.select("band", F.col("key").alias("b"), F.col("c").alias("c_b"), (F.col("c") != F.col("main")).alias("also"))
-        # of two classes that both take this turn, the larger key asks
-        met = own.join(other, "band").filter((F.col("c_a") != F.col("c_b")) & (~F.col("also") | (F.pmod(F.xxhash64("b"), F.lit(turns)) != turn) | (F.col("a") > F.col("b"))))
-        joined = _relabelled(joined, stage(verify(met.select("a", "b").distinct()), "more-links"))
-        discard(rest)
-        turn += 1
-    return joined
+    joined = _roots(parents)
+    more = compare(_block_pairs(buckets, joined, nodes))
+    return _relabelled(joined, stage(links.unionByName(more), "all-links"))
+
+
+def spanning(a: list, b: list, component_of: dict, confirmed: Callable[[int], bool], order: Iterable[int]) -> list[int]:
+    """Positions of confirmed pairs that join two components, those already joined within this task being passed over."""
+    root = {c: c for c in component_of.values()}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    for i in order:
+        x, y = find(component_of[a[i]]), find(component_of[b[i]])
+        if x != y and confirmed(i):
+            root[x] = y
+            out.append(i)
+    return out

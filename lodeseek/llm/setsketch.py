@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.llm.bpe import slices
-from lodeseek.llm.buckets import bucket_components, shared_buckets
+from lodeseek.llm.buckets import bucket_components, shared_buckets, spanning
 from lodeseek.llm.shingles import mix64, shingle_sets
 from lodeseek.plans.staging import stage
 
@@ -35,7 +35,6 @@ REGISTERS, ROWS = 80, 4
 SCALE, RATE = 1.001, 20.0
 #: Pairs are dropped if the similarity sought is less likely than the best one by this factor's logarithm.
 DROP = 14.0
-PAIRS_PER_CLASS = 8
 #: Bytes of text whose words are hashed at once; some 60 bytes of memory for each.
 SLICE = 1_000_000
 WORDS, SIMILARITY = 5, 0.8
@@ -165,8 +164,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
             hit = []
             for x, y in zip(batch.column("body_a"), batch.column("body_b")):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
+                common = _common(x, y)
                 hit.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
@@ -176,7 +174,42 @@ def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
     return sifted.join(body("a"), "a").join(body("b"), "b").select("a", "b", "body_a", "body_b").mapInArrow(confirm, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", pairs_per_class: int = PAIRS_PER_CLASS) -> DataFrame:
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _compared(blocks: DataFrame, percent: int) -> DataFrame:
+    """Links between blocks of classes, likeliest pairs first, those of one component left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right in zip(batch.column("askers"), batch.column("others")):
+                x, y = left.as_py(), right.as_py()
+                sides = []
+                for own in (x, y):
+                    sides.append((np.frombuffer(b"".join(r["regs"] for r in own), np.uint16).reshape(-1, REGISTERS), np.array([r["n"] for r in own], np.float64), [np.frombuffer(r["body"], np.uint64) for r in own]))
+                (regs_x, n_x, sets_x), (regs_y, n_y, sets_y) = sides
+                component = {r["key"]: r["c"] for r in x + y}
+                at, to, alike = [], [], []
+                for i, r in enumerate(x):
+                    open_ = np.array([r["c"] != o["c"] for o in y]) & (100 * np.minimum(n_x[i], n_y) >= percent * np.maximum(n_x[i], n_y))
+                    js = np.flatnonzero(open_)
+                    if len(js):
+                        one = np.broadcast_to(regs_x[i], (len(js), REGISTERS))
+                        js = js[likely(one, regs_y[js], np.full(len(js), n_x[i]), n_y[js], percent / 100)]
+                        at += [i] * len(js)
+                        to += js.tolist()
+                        alike += (regs_y[js] == regs_x[i]).sum(axis=1).tolist()
+                confirmed = lambda k: 100 * (c := _common(sets_x[at[k]], sets_y[to[k]])) >= percent * (n_x[at[k]] + n_y[to[k]] - c)  # noqa: E731, B023
+                a, b = [x[i]["key"] for i in at], [y[j]["key"] for j in to]
+                found = spanning(a, b, component, confirmed, np.argsort(-np.array(alike, int), kind="stable").tolist())
+                yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in found], pa.binary()), pa.array([b[k] for k in found], pa.binary())], ["a", "b"])
+
+    return blocks.mapInArrow(run, "a binary, b binary")
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest id that links lead to), kept."""
     percent = round(similarity * 100)
     members = stage(sketches(docs, words, id_col, text_col), "sketches")
@@ -186,7 +219,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     buckets = shared_buckets(classes, bands)
     seen = stage(classes.join(buckets.select("key").distinct(), "key", "left_semi"), "candidates")
     sets = stage(sets_of(docs, seen, words, id_col, text_col).join(seen.select("key"), "key", "left_semi"), "sets")
-    joined = bucket_components(buckets, lambda pairs: _verified(pairs, seen, sets, percent), round(pairs_per_class * members.count()))
+    nodes = seen.select("key", "n", "regs").join(sets.select("key", "body"), "key")
+    joined = bucket_components(buckets, lambda pairs: _verified(pairs, seen, sets, percent), nodes, lambda blocks: _compared(blocks, percent))
 
     told = classes.join(joined.withColumnRenamed("node", "key"), "key", "left").select("key", "first_id", F.coalesce("component", "key").alias("c"))
     least = told.groupBy("c").agg(F.min("first_id").alias("component_id"))

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from lodeseek.llm import setsketch as op
-from lodeseek.llm import shingles, union_find
+from lodeseek.llm import buckets, shingles, union_find
 
 
 def words_of(text):
@@ -75,11 +75,12 @@ def test_registers_merge_and_estimate():
     assert op.likely(x[None], y[None], n, n, 0.85).all() and not op.likely(x[None], far, n, n / 2, 0.4).any()
 
 
-@pytest.mark.parametrize("k, percent, per_class", [(3, 85, 8), (5, 80, 0.3)])
-def test_equals_brute_force(spark, k, percent, per_class):
+@pytest.mark.parametrize("k, percent, block", [(3, 85, 256), (5, 80, 7)])
+def test_equals_brute_force(spark, monkeypatch, k, percent, block):
+    monkeypatch.setattr(buckets, "BLOCK", block)
     rows = near_rows(300, k) + [(1000, None), (1001, ""), (1002, "one"), (1003, "One"), (None, "lone text of no id"), (7, near_rows(300, k)[7][1])]
     docs = spark.createDataFrame([(d, t, 1, "k") for d, t in rows], "doc_id long, text string, n int, key string").repartition(4)
-    got = op.near_duplicates(docs, k, percent / 100, pairs_per_class=per_class).collect()
+    got = op.near_duplicates(docs, k, percent / 100).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, k, percent)
     assert all(r.kept == (r.doc_id is not None and r.doc_id == r.component_id) for r in got)
 
