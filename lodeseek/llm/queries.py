@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodeseek.llm.bpe import bpe_round_trip
 from lodeseek.llm.exact_dedup import exact_dedup
 from lodeseek.llm.license_scan import license_scan
+from lodeseek.llm.line_dedup import drop_similar_lines
 from lodeseek.llm.mixing import MOST, SEED, mix_report
 from lodeseek.llm.ngram_lm import lm_scores
 from lodeseek.llm.pii import pseudonymise
@@ -135,3 +136,7 @@ PII_KEY = "public test key"
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(_documents(spark, sf_dir).select("doc_id", "text"), PII_KEY)
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_similar_lines(_documents(spark, sf_dir).select("doc_id", "text"))

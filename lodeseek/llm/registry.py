@@ -8,6 +8,7 @@ QUERIES = {
     "op1_exact_dedup": q.op1_exact_dedup,
     "op2_lm_scores": q.op2_lm_scores,
     "op3_pii": q.op3_pii,
+    "op4_line_dedup": q.op4_line_dedup,
     "op5_setsketch": q.op5_setsketch,
     "op6_license_scan": q.op6_license_scan,
     "op7_token_files": q.op7_token_files,
