@@ -29,7 +29,7 @@ from lodeseek.llm.bpe import encoder, slices
 
 BLOCK = 512
 LANE = 64
-PERCENTILE = 90
+PERCENTILE = 99
 SEGMENT_IDS = 1 << 20
 #: Magic, version, block size, ids, blocks, packed words, exceptions.
 _HEAD = struct.Struct("<4sHHQIII")
