@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOKEN = r"[A-Za-z0-9_]+|[一-鿿]"
 _PHONE = r"(?<!\d)1[3-9]\d{9}(?!\d)"
@@ -78,17 +84,22 @@ def table_cell(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\|", r"\\\\|"), r"\r?\n", " "))
 
 
-def simhash64(text: Column) -> Column:
-    """64-bit SimHash of CJK characters and of bigrams of alphanumeric runs, as a long."""
-    squeezed = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", "")
-    runs = F.regexp_extract_all(squeezed, F.lit(r"[一-鿿]|[a-zA-Z0-9]+"), F.lit(0))
-    grams = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substr(r, i, F.lit(2))))))
-    tokens = F.when(squeezed == "", F.array(F.lit("<empty>"))).when(F.size(grams) == 0, F.array(F.substr(squeezed, F.lit(1), F.lit(16)))).otherwise(grams)
-    halves = F.transform(tokens, lambda t: F.struct(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long").alias("hi"), F.conv(F.substring(F.md5(t), 9, 8), 16, 10).cast("long").alias("lo")))
+_GRAMS = re.compile("[一-鿿]|[a-zA-Z0-9]+")
 
-    def half(name: str) -> Column:
-        votes = lambda b: F.aggregate(halves, F.lit(0), lambda a, h: a + F.when(F.getbit(h[name], b) == 1, 1).otherwise(-1))
-        bits = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: F.when(votes(b) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
-        return F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
 
-    return F.shiftleft(half("hi"), 32).bitwiseOR(half("lo"))
+@F.pandas_udf(T.LongType())
+def simhash64(texts: pd.Series) -> pd.Series:
+    """64-bit SimHash of CJK characters and of bigrams of alphanumeric runs, as a signed long; null counts as empty."""
+
+    def one(text: str | None) -> int:
+        squeezed = "".join((text or "").split())
+        grams: Counter[str] = Counter()
+        for run in _GRAMS.findall(squeezed):
+            grams.update([run] if len(run) == 1 else map("".join, zip(run, run[1:])))
+        if not grams:
+            grams[squeezed[:16] or "<empty>"] = 1
+        bits = np.unpackbits(np.frombuffer(b"".join(hashlib.md5(g.encode()).digest()[:8] for g in grams), np.uint8)).reshape(len(grams), 64)
+        votes = (2 * bits.astype(np.int64) - 1).T @ np.fromiter(grams.values(), np.int64, len(grams))
+        return int.from_bytes(np.packbits(votes > 0).tobytes(), "big", signed=True)
+
+    return texts.map(one)

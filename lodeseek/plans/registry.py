@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.functions import text as tx
 from lodeseek.functions.vectors import dot
-from lodeseek.operators import chunking, evaluation, event_links, graph_query, implicit_graph, retrieval, store
+from lodeseek.operators import chunking, evaluation, event_links, extraction, graph_query, implicit_graph, retrieval, store
 from lodeseek.sources import files
 from lodeseek.streaming import events as streams
 
@@ -400,6 +400,60 @@ def beam_paths(spark, sf_dir):
     return graph_query.event_paths(seeds, hops)
 
 
+# --- extraction ------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, lower(trim(p_name)) AS name, substr(sha256('kb:' || lower(trim(p_name)) || ':' || p_brand), 1, 32) AS entity_id FROM part")
+def entity_ids(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select("p_partkey", extraction.normal_name(F.col("p_name")).alias("name"), "p_brand")
+    return parts.select("p_partkey", "name", extraction.entity_id(F.lit("kb"), F.col("name"), F.col("p_brand")).alias("entity_id"))
+
+
+@query("SELECT event_id, ts AS time_norm, 'second' AS resolution FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events) UNION ALL SELECT event_id + 10000000, date_trunc('day', ts), 'day' FROM events")
+def event_times(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    said = events.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("t")).unionByName(events.select(F.col("event_id") + 10_000_000, F.date_format("ts", "yyyy年MM月dd日").alias("t")).toDF("event_id", "t"))
+    return said.select("event_id", extraction.event_time(F.col("t")).alias("x")).select("event_id", F.col("x.ts").alias("time_norm"), "x.resolution")
+
+
+@query()
+def rule_events(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    events = extraction.rule_events(docs).join(docs, "chunk_id")
+    return events.withColumn("verification", extraction.verification(F.col("exact_identifiers"), F.col("time_expr"), F.col("content"))).drop("content")
+
+
+@query()
+def simhash_near_dup(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("event_id"), F.col("text").alias("summary"))
+    return extraction.near_events(turns)
+
+
+@query(
+    """
+WITH b AS (SELECT l_suppkey, min(CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 9 END * 10 + ascii(l_returnflag) / 1000.0) AS k, count(DISTINCT l_returnflag) AS n FROM lineitem GROUP BY 1),
+c AS (SELECT CAST(l_suppkey AS VARCHAR) AS name, CASE WHEN l_suppkey % 2 = 0 THEN 'N' WHEN k < 20 THEN 'R' WHEN k < 30 THEN 'A' ELSE 'N' END AS label, n FROM b)
+SELECT name, label, substr(sha256('kb:' || name || ':' || label), 1, 32) AS entity_id FROM c
+"""
+)
+def anchor_resolution(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("name"), F.col("l_returnflag").alias("label"), F.lit(1).cast("long").alias("seq"))
+    known = table(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").cast("string").alias("name"), F.lit("N").alias("label")).join(rows.select("name"), "name", "left_semi")
+    return extraction.resolved_anchors(rows, known, {"R": 1, "A": 2}, "kb").select("name", "label", "entity_id")
+
+
+@query(
+    """
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY length(p_name) DESC, p_name DESC) AS n FROM part)
+SELECT p_brand AS name, p_type AS label, max(p_name) FILTER (WHERE n = 1) AS description, string_agg(DISTINCT CAST(p_size AS VARCHAR), ',' ORDER BY CAST(p_size AS VARCHAR)) AS attributes FROM r GROUP BY ALL
+"""
+)
+def gleaning_merge(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    rows = parts.select(F.col("p_brand").alias("name"), F.col("p_type").alias("label"), F.col("p_name").alias("description"), F.array(F.col("p_size").cast("string")).alias("attributes"))
+    return extraction.gleaned(rows).select("name", "label", "description", F.array_join("attributes", ",").alias("attributes"))
+
+
 # --- stores -----------------------------------------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.functions import text as tx
 from lodeseek.functions import vectors as vx
-from lodeseek.operators import chunking, evaluation, event_links, graph_query, implicit_graph, retrieval, store
+from lodeseek.operators import chunking, evaluation, event_links, extraction, graph_query, implicit_graph, retrieval, store
 from lodeseek.sources import files
 from lodeseek.streaming import events as streams
 
@@ -56,6 +56,27 @@ def test_simhash(spark):
         assert one(spark, tx.simhash64, text) & (2**64 - 1) == plain(text)
 
 
+def test_extraction(spark):
+    names = spark.createDataFrame([(" ＡＢＣ  Corp。.",), ("x  Y!",), (None,)], "t string").select(extraction.normal_name(F.col("t")).alias("x")).collect()
+    assert [r.x for r in names] == ["abc corp", "x y", ""]
+    times = ["2024-03-15T10:00:01", "2024/03/15 10:00", "2024年03月15日", "soon", None]
+    got = spark.createDataFrame([(t,) for t in times], "t string").select(extraction.event_time(F.col("t")).alias("x")).collect()
+    assert [r.x and r.x.resolution for r in got] == ["second", "minute", "day", None, None]
+    chunks = spark.createDataFrame([("c", "On 2024-03-15 AB-1234 paid $500. Nothing here. AB-1234 paid $7!\nOn 2024-03-15  AB-1234 paid $500.")], "chunk_id string, content string")
+    events = extraction.rule_events(chunks).orderBy("event_id").collect()
+    assert [(r.event_id, r.amount, r.exact_identifiers) for r in events] == [("ev:c#0", "$500", ["AB-1234"]), ("ev:c#1", "$7", ["AB-1234"])]
+    rows = spark.createDataFrame([(["a 1"], "3月15日", "in 3 月 15 日 a1 came"), (["b"], "", "none"), (None, None, "")], "i array<string>, t string, c string")
+    assert [r.v for r in rows.select(extraction.verification(F.col("i"), F.col("t"), F.col("c")).alias("v")).collect()] == ["verified", "unverified", "verified"]
+    rows = spark.createDataFrame([("陈锦标", "见 陈 锦标"), ("abcde", "xxabcdfyy"), ("abcde", "zzzz"), ("", "a")], "n string, c string")
+    assert [r.v for r in rows.select(extraction.fuzzy_contains("n", "c").alias("v")).collect()] == [True, True, False, False]
+    near = spark.createDataFrame([("e1", "money moved to account one"), ("e2", "money moved to account one"), ("e3", "something else entirely happened")], "event_id string, summary string")
+    assert [tuple(r) for r in extraction.near_events(near).collect()] == [("e2", "e1", 0)]
+    anchors = spark.createDataFrame([("n", "B", 1), ("n", "A", 2), ("m", "C", 3)], "name string, label string, seq long")
+    known = spark.createDataFrame([("m", "Z")], "name string, label string")
+    got = {r.name: (r.label, r.conflicts) for r in extraction.resolved_anchors(anchors, known, {"A": 1}, "kb").collect()}
+    assert got == {"n": ("A", ["B"]), "m": ("Z", ["C"])}
+
+
 def test_vectors(spark):
     r = spark.sql("SELECT array(3.0d, 4.0d) a, array(4.0d, 3.0d) b, array(0.0d, 0.0d) z").select(vx.cosine(F.col("a"), F.col("b")).alias("c"), vx.cosine(F.col("a"), F.col("z")).alias("z"), vx.unit(F.col("a")).alias("u")).first()
     assert (round(r.c, 9), r.z, r.u) == (0.96, 0.0, [0.6, 0.8])
