@@ -110,3 +110,34 @@ def personalization(cosines: DataFrame, seeds: DataFrame, mix: float = 0.6, pool
     there = both.agg((F.sum("q") > 0).alias("has_q"), (F.sum("share") > 0).alias("has_s"))
     a = F.when(F.col("has_q") & F.col("has_s"), mix).when(F.col("has_q"), 1.0).otherwise(0.0)
     return both.join(F.broadcast(there), F.lit(True)).select("node", (a * F.col("q") + (1 - a) * F.col("share")).alias("p"))
+
+
+def anchor_pool(vectors: DataFrame, seeds: DataFrame, query: list[float], nearest_k: int = KNN, top_m: int = 256, cap: int = 512) -> DataFrame:
+    """Ids of a bounded part of a large snapshot: the seeds (id), their nearest vectors, and the query's best; seeds stay under the cap."""
+    from lodeseek.functions.vectors import dot
+
+    asked = F.array(*[F.lit(float(x)) for x in query])
+    own = vectors.join(F.broadcast(seeds.select("id").limit(cap)), "id", "left_semi").select(F.col("id").alias("s"), F.col("vector").alias("sv"))
+    near = vectors.join(F.broadcast(own), F.col("id") != F.col("s")).select("s", "id", dot(F.col("vector"), F.col("sv")).alias("sim"))
+    near = near.withColumn("n", F.row_number().over(Window.partitionBy("s").orderBy(F.col("sim").desc(), "id"))).filter(F.col("n") <= nearest_k)
+    best = vectors.select("id", dot(F.col("vector"), asked).alias("sim")).orderBy(F.col("sim").desc(), "id").limit(top_m)
+    every = own.select(F.col("s").alias("id"), F.lit(0).alias("tier"), F.lit(1.0).alias("sim")).unionByName(near.select("id", F.lit(1).alias("tier"), "sim")).unionByName(best.select("id", F.lit(2).alias("tier"), "sim"))
+    return every.groupBy("id").agg(F.min("tier").alias("tier"), F.max("sim").alias("sim")).orderBy("tier", F.col("sim").desc(), "id").limit(cap).select("id", "tier")
+
+
+def explanations(edges: DataFrame, seeds: DataFrame, scores: DataFrame, cosines: DataFrame, width: int = 4, hops: int = 3, top: int = 3) -> DataFrame:
+    """Best paths from seeds (node, weight) over (u, v, weight): (path, score); a hop adds .5 cosine + .3 weight + .2 PageRank, and no node comes twice."""
+    from lodeseek.plans.staging import stage
+
+    both = edges.select("u", "v", "weight").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight"))
+    told = both.join(scores.select(F.col("node").alias("v"), F.col("score").alias("ppr")), "v", "left").join(cosines.select(F.col("node").alias("v"), "cosine"), "v", "left")
+    step = told.select("u", "v", (0.5 * F.coalesce("cosine", F.lit(0.0)) + 0.3 * F.col("weight") + 0.2 * F.coalesce("ppr", F.lit(0.0))).alias("gain"))
+    order = [F.col("score").desc(), F.col("path")]
+    beam = seeds.select(F.array("node").alias("path"), F.col("weight").alias("score")).orderBy(*order).limit(width)
+    kept = None
+    for _ in range(hops):
+        beam = stage(beam, "explanations")
+        kept = beam if kept is None else kept.unionByName(beam)
+        beam = beam.join(step, F.element_at("path", -1) == F.col("u")).filter(~F.array_contains("path", F.col("v"))).select(F.array_append("path", F.col("v")).alias("path"), (F.col("score") + F.col("gain")).alias("score")).orderBy(*order).limit(width)
+    kept = beam if kept is None else kept.unionByName(beam)
+    return kept.filter(F.size("path") > 1).orderBy(*order).limit(top)

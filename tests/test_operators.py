@@ -187,6 +187,18 @@ def test_implicit(spark):
     assert abs(sum(r.p for r in p.collect()) - 1) < 1e-12
 
 
+def test_pool_and_explanations(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0]), (4, [-1.0, 0.0])], "id long, vector array<double>")
+    seeds = spark.createDataFrame([(1,)], "id long")
+    got = implicit_graph.anchor_pool(vectors, seeds, [0.0, 1.0], nearest_k=1, top_m=1).collect()
+    assert [(r.id, r.tier) for r in got] == [(1, 0), (2, 1), (3, 2)]
+    assert [r.id for r in implicit_graph.anchor_pool(vectors, seeds, [0.0, 1.0], 1, 1, cap=1).collect()] == [1]
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 0.5), ("a", "d", 0.1)], "u string, v string, weight double")
+    told = lambda rows, name: spark.createDataFrame(rows, f"node string, {name} double")
+    paths = implicit_graph.explanations(edges, told([("a", 1.0)], "weight"), told([("b", 1.0)], "score"), told([("c", 1.0)], "cosine")).collect()
+    assert [(r.path, round(r.score, 6)) for r in paths] == [(["a", "b", "c"], 2.15), (["a", "b"], 1.5), (["a", "d"], 1.03)]
+
+
 def test_store(spark):
     old = spark.createDataFrame([("e", "n", "n", "L", "one", ["x"])], "entity_id string, name string, normalized_name string, label string, description string, attributes array<string>")
     new = spark.createDataFrame([("e", "N", "n2", "M", "two", ["y", "x"]), ("f", "f", "f", "F", None, None)], old.schema)
