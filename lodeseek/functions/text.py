@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# What counts as a token, and the patterns of exact identifiers and query terms.
 TOKEN = r"[A-Za-z0-9_]+|[一-鿿]"
 _PHONE = r"(?<!\d)1[3-9]\d{9}(?!\d)"
 _ID_CARD = r"(?<!\d)\d{17}[0-9Xx](?!\d)"
