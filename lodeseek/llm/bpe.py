@@ -28,17 +28,54 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lodeseek.llm.shingles import mix64, powers
+
 #: Bytes of the largest piece that is encoded as one.
 LEAF = 1024
 #: Pieces kept; the cache is emptied when it is full.
-CACHE = 800_000
+CACHE = 400_000
 #: Characters of text that are turned into Python objects at once.
-SLICE = 4_000_000
-
-#: The splitting rule of byte-level BPE, for texts of the characters below.
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Characters whose classes are the same here and in the library: ASCII, and Latin letters and signs without superscript digits and fractions.
-_OTHER = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ſ]")
+SLICE = 2_000_000
+
+#: Characters other than ASCII and Latin letters up to U+017F; a text with one is split by the library.
+_OTHER = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-ſ]")
+#: Classes of bytes in all other texts: 0 white space, 1 letter, 2 digit, 3 anything else.
+_CLASS = np.array([0 if b == 32 or 9 <= b <= 13 else 1 if b >= 128 or chr(b).isalpha() else 2 if 48 <= b <= 57 else 3 for b in range(256)], np.uint8)
+#: Endings that stay with an apostrophe before them.
+_ENDINGS = (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll")
+
+
+def piece_starts(body: np.ndarray, heads: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where pieces of byte-level BPE start, for texts end to end that start at ``heads`` and stop at ``ends``, none empty.
+
+    A piece is a run of one class with the space before it, if there is one. Of a run of white space before other
+    characters the last character is a piece of its own unless it is such a space. An apostrophe that starts a
+    piece keeps an ending.
+    """
+    n = len(body)
+    kind = _CLASS[body]
+    first = np.ones(n + 1, bool)
+    first[1:n] = kind[1:] != kind[:-1]
+    first[heads] = True
+    head = np.zeros(n + 1, bool)
+    head[heads] = True
+    head[n] = True
+    starts = first[:n].copy()
+    spaced = np.zeros(n, bool)
+    spaced[1:] = (body[:-1] == 32) & (kind[1:] > 0) & ~head[1:n]
+    starts &= ~(spaced & first[:n])
+    last = np.flatnonzero((kind == 0) & first[1:] & ~head[1:])  # last of a run of white space, with more of its text behind
+    starts[last] = True
+    marks = np.flatnonzero((body == 39) & starts & first[:n])
+    for ending in _ENDINGS:
+        own = marks
+        for k, letter in enumerate(ending, 1):
+            own = own[own + k < n]
+            own = own[(body[own + k] == letter) & ~head[own + k]]
+        starts[own + 1] = False
+        stop = own + 1 + len(ending)
+        starts[stop[(stop < n)]] |= (kind[stop[stop < n]] > 0) | starts[stop[stop < n]]
+    return np.flatnonzero(starts)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -104,21 +141,53 @@ class TreeBpe:
             level = [self._join(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         return np.asarray(level[0], np.int32).tobytes()
 
-    def _pieces(self, text: str) -> list[str]:
-        if not _OTHER.search(text):
-            return _PIECE.findall(text)
+    def _pieces(self, text: str) -> list[bytes]:
+        """The library's own splitting."""
         back = {ord(c): b for b, c in self.letters.items()}
-        return [bytes(back[ord(c)] for c in piece).decode() for piece, _ in self.full.pre_tokenizer.pre_tokenize_str(text)]
+        return [bytes(back[ord(c)] for c in piece) for piece, _ in self.full.pre_tokenizer.pre_tokenize_str(text)]
 
-    def _encode_new(self, new: list[str]) -> dict[str, bytes]:
-        short = [x for x in new if len(x) * 4 <= self.leaf and "\0" not in x]
-        spelled = self._spell("\0".join(short).encode()).split(self.letters[0]) if short else []
-        made = self.bare.encode_batch_fast(spelled, add_special_tokens=False)
+    def _encode_new(self, new: list[bytes]) -> dict[bytes, bytes]:
+        short = [x for x in new if len(x) <= self.leaf]
+        made = self.bare.encode_batch_fast(list(map(self._spell, short)), add_special_tokens=False)
         out = {x: array("i", e.ids).tobytes() for x, e in zip(short, made)}
         if len(self.cache) + len(out) > self.most:
             self.cache.clear()
         self.cache.update(out)
-        return out | {x: self._tree(x.encode()) for x in new if x not in out}
+        return out | {x: self._tree(x) for x in new if len(x) > self.leaf}
+
+    def _ids_of(self, pieces: list[bytes]) -> list[bytes]:
+        get = self.cache.get
+        coded = list(map(get, pieces))
+        if missing := coded.count(None):
+            at, holes = -1, []
+            for _ in range(missing):
+                at = coded.index(None, at + 1)
+                holes.append(at)
+            made = self._encode_new(list(dict.fromkeys([pieces[i] for i in holes])))
+            for i in holes:
+                coded[i] = made[pieces[i]]
+        return coded
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        """Texts of the characters of _PLAIN: split as a whole, and each different piece of them looked up once."""
+        bodies = [x.encode() for x in texts]
+        data = b"".join(bodies)
+        ends = np.cumsum([len(x) for x in bodies])
+        heads = ends - [len(x) for x in bodies]
+        starts = piece_starts(np.frombuffer(data, np.uint8), heads, ends)
+        stops = np.append(starts[1:], len(data))
+        up, down = powers(len(data))
+        hashes = mix64(np.add.reduceat((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * up, starts) * down[starts])
+        _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        coded = self._ids_of([data[i:j] for i, j in zip(starts[first].tolist(), stops[first].tolist())])
+        sizes = np.array([len(x) for x in coded], np.int64) // 4
+        flat = np.frombuffer(b"".join(coded), np.int32)
+        lens = sizes[inverse]
+        before = np.cumsum(lens) - lens
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[inverse] - before, lens) + np.arange(int(lens.sum()))]
+        cuts = np.append(before, len(ids))[np.searchsorted(starts, np.append(heads, len(data)))].tolist()
+        body = ids.tobytes()
+        return [body[4 * i : 4 * j] for i, j in zip(cuts, cuts[1:])]
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text. Collecting garbage among millions of short-lived strings would only cost time."""
@@ -129,27 +198,15 @@ class TreeBpe:
             gc.enable()
 
     def _encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        get = self.cache.get
-        rows: list[list[bytes | list[bytes | None]]] = []
-        holes: list[tuple[list[bytes | None], int, str]] = []
-        for text in texts:
-            own: list[bytes | list[bytes | None]] = []
-            for i, run in enumerate(self.split_added.split(text) if text and self.split_added else [text or ""]):
-                if i % 2:
-                    own.append(self.added[run])
-                elif run:
-                    pieces = self._pieces(run)
-                    coded = list(map(get, pieces))
-                    at = -1
-                    for _ in range(coded.count(None)):
-                        at = coded.index(None, at + 1)
-                        holes.append((coded, at, pieces[at]))
-                    own.append(coded)
-            rows.append(own)
-        made = self._encode_new(list(dict.fromkeys([piece for _, _, piece in holes])))
-        for coded, at, piece in holes:
-            coded[at] = made[piece]
-        return [b"".join([x if isinstance(x, bytes) else b"".join(x) for x in own]) for own in rows]
+        out: list[bytes] = [b""] * len(texts)
+        plain = [i for i, x in enumerate(texts) if x and not _OTHER.search(x) and not any(a in x for a in self.added)]
+        if plain:
+            for i, ids in zip(plain, self._encode_plain([texts[i] for i in plain])):
+                out[i] = ids
+        for i in {i for i, x in enumerate(texts) if x} - set(plain):
+            runs = self.split_added.split(texts[i]) if self.split_added else [texts[i]]
+            out[i] = b"".join([self.added[run] if k % 2 else b"".join(self._ids_of(self._pieces(run))) for k, run in enumerate(runs) if run])
+        return out
 
     # decoding
 

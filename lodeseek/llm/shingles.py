@@ -25,7 +25,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _up_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base, and of its inverse."""
     if len(_powers["up"]) < n:
         for name, base in (("up", _BASE), ("down", _BACK)):
             steps = np.full(n, base, np.uint64)
@@ -46,7 +47,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = offsets - offsets[0]
     if not len(body):
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
-    up, down = _up_to(len(body))
+    up, down = powers(len(body))
     values = _VALUE[body]
     inside = values > 0
     first = inside.copy()

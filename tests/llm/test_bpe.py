@@ -31,7 +31,7 @@ def test_classes_of_single_characters():
 def test_tree_equals_library(leaf):
     rng = random.Random(leaf)
     tree = bpe.TreeBpe(PATH, leaf=leaf, cache=50)
-    for alphabet in ("ab", "aé", "the in", "0123", "!?-=", "the<|endoftext|>", "\n \t", "日本語と", "ünßaeiorst"):
+    for alphabet in ("ab", "aé", "the in", "0123", "!?-=", "the<|endoftext|>", "\n \t", "日本語と", "ünßaeiorst", "'srtvelmd \n!1é", "'sl ", "'re ll"):
         same(tree, ["".join(rng.choice(alphabet) for _ in range(n)) for n in (0, 1, 7, 100, 1000, 3000)])
     words = ["international", "ization", "token", "ing", "http", "un"]
     same(tree, ["".join(rng.choice(words) for _ in range(900)), "a" * 5000, "<|endoftext|>" * 3 + "x" * 300 + "<|endoftext|>"])
@@ -75,3 +75,10 @@ def test_files(spark):
     path = stage_path(spark, "test-none")
     token_files.write_token_files(docs.limit(0), PATH, path)
     assert token_files.read_token_files(spark, path).count() == 0
+
+
+def test_many_short_texts_at_once():
+    rng = random.Random(11)
+    tree = bpe.TreeBpe(PATH)
+    texts = ["".join(rng.choice("'''stmdrevl  \n\t!1éa") for _ in range(rng.randrange(12))) for _ in range(4000)]
+    same(tree, texts + ["日本", "<|endoftext|>'s", "x²'s"])
