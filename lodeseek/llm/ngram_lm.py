@@ -202,16 +202,18 @@ def _counted(chunks: DataFrame, answers: DataFrame, order: int, sums: dict[str,
         known, fit_known = sum(right.column("known").to_pylist()), sum(right.column("fit_known").to_pylist())
         every, fit = [], []
         bodies = right.column("body")
-        for k, g in enumerate(grams):
-            inverse = np.unique(g, return_inverse=True)[1]
-            for j, to in ((0, every), (1, fit)):
-                to.append(np.concatenate([_swell(b[2 * k + j].as_py(), np.uint64) for b in bodies])[inverse])
+        tuning = np.flatnonzero(kind == TUNING)
+        for k in range(order):
+            inverse = np.unique(grams[k], return_inverse=True)[1].astype(np.uint32)
+            grams[k] = None
+            told = [np.concatenate([_swell(b[2 * k + j].as_py(), np.uint64) for b in bodies]) for j in (0, 1)]
+            every.append(told[0][inverse])
+            fit.append(told[1][inverse[tuning]])
         base = np.log10((every[0].astype(np.float64) + 1) / (sums["train_tokens"] + known + 1))
-        tuning = kind == TUNING
-        seen = _contexts(fit, starts, sums["fit_docs"], sums["fit_tokens"])
-        cell = _bucket(seen[-1])[tuning]
+        tuned = lens[_swell(row["kinds"], np.uint8) == TUNING]
+        seen = _contexts(fit, np.cumsum(tuned) - tuned, sums["fit_docs"], sums["fit_tokens"])
+        cell = _bucket(seen[-1])
         for p in _estimates(fit, seen):
-            p = p[tuning]
             cell = cell * 1024 + np.where(p > 0, 1 + np.minimum(1022, np.round(-STEPS * np.log2(np.maximum(p, 1e-300)))), 0).astype(np.int64)
         cells, weights = np.unique(cell, return_counts=True)
         values = [row["doc_ids"], row["nulls"], row["lens"], row["kinds"], [_squeeze(c) for c in every], np.add.reduceat((every[0] > 0).astype(np.int64), starts).tobytes(), np.add.reduceat(base, starts).tobytes(), known, fit_known, cells.tolist(), weights.tolist()]
