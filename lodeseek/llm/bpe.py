@@ -33,9 +33,9 @@ from lodeseek.llm.shingles import mix64, powers
 #: Bytes of the largest piece that is encoded as one.
 LEAF = 1024
 #: Pieces kept; the cache is emptied when it is full.
-CACHE = 400_000
+CACHE = 250_000
 #: Characters of text that are turned into Python objects at once.
-SLICE = 2_000_000
+SLICE = 1_000_000
 
 #: Characters other than ASCII and Latin letters up to U+017F; a text with one is split by the library.
 _OTHER = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-ſ]")
@@ -78,6 +78,10 @@ def piece_starts(body: np.ndarray, heads: np.ndarray, ends: np.ndarray) -> np.nd
     return np.flatnonzero(starts)
 
 
+#: Pieces that are encoded in one call.
+GROUP = 2000
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte: itself if it prints, else the next one from U+0100."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -90,6 +94,7 @@ class TreeBpe:
 
     def __init__(self, path: str, leaf: int = LEAF, cache: int = CACHE, threads: int = 2):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
         spec = json.loads(open(path, encoding="utf-8").read())
         before = spec["pre_tokenizer"] or {}
@@ -99,7 +104,10 @@ class TreeBpe:
             raise ValueError("added tokens must match literally")
         self.full = Tokenizer.from_file(path)
         self.bare = Tokenizer(self.full.model)
+        self.grouped = Tokenizer(self.full.model)
         self.letters = _byte_letters()
+        self.grouped.pre_tokenizer = Split(self.letters[0], "isolated")
+        self.zero = self.full.token_to_id(self.letters[0])
         back = {c: b for b, c in self.letters.items()}
         self.bytes_of = {i: bytes(back[c] for c in token) if all(c in back for c in token) else token.encode() for token, i in self.full.get_vocab(with_added_tokens=True).items()}
         self.added = {x["content"]: np.int32(x["id"]).tobytes() for x in spec["added_tokens"]}
@@ -147,13 +155,22 @@ class TreeBpe:
         return [bytes(back[ord(c)] for c in piece) for piece, _ in self.full.pre_tokenizer.pre_tokenize_str(text)]
 
     def _encode_new(self, new: list[bytes]) -> dict[bytes, bytes]:
-        short = [x for x in new if len(x) <= self.leaf]
-        made = self.bare.encode_batch_fast(list(map(self._spell, short)), add_special_tokens=False)
-        out = {x: array("i", e.ids).tobytes() for x, e in zip(short, made)}
+        """Short pieces go through the library in long strings, split at the letter of byte 0, which none of them has."""
+        short = [x for x in new if len(x) <= self.leaf and b"\0" not in x]
+        groups = [self._spell(b"\0".join(short[i : i + GROUP])) for i in range(0, len(short), GROUP)]
+        made: list[bytes] = []
+        for coded in self.grouped.encode_batch_fast(groups, add_special_tokens=False):
+            ids = np.array(coded.ids, np.int32)
+            body, start = ids.tobytes(), 0
+            for stop in (np.flatnonzero(ids == self.zero) * 4).tolist():
+                made.append(body[start:stop])
+                start = stop + 4
+            made.append(body[start:])
+        out = dict(zip(short, made, strict=True))
         if len(self.cache) + len(out) > self.most:
             self.cache.clear()
         self.cache.update(out)
-        return out | {x: self._tree(x) for x in new if len(x) > self.leaf}
+        return out | {x: self._tree(x) for x in new if x not in out}
 
     def _ids_of(self, pieces: list[bytes]) -> list[bytes]:
         get = self.cache.get
@@ -235,6 +252,7 @@ def slices(batches: Iterator[pa.RecordBatch], name: str, most: int = SLICE) -> I
             stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + most, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # workers stay for later tasks
 
 
 def _set(batch: pa.RecordBatch, name: str, values: pa.Array, schema: list[str]) -> pa.RecordBatch:

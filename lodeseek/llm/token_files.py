@@ -31,6 +31,8 @@ BLOCK = 512
 LANE = 64
 PERCENTILE = 99
 SEGMENT_IDS = 1 << 20
+#: Pieces kept by a worker, and bytes of text encoded at once.
+CACHE, SLICE = 800_000, 3_000_000
 #: Magic, version, block size, ids, blocks, packed words, exceptions.
 _HEAD = struct.Struct("<4sHHQIII")
 _MAGIC = b"PFR1"
@@ -136,8 +138,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, id_col: str =
             ids.clear(), coded.clear()
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int32()] * 2 + [pa.int64()] * 3 + [pa.binary()] * 4)], [x.split()[0] for x in _SEGMENT.split(", ")])
 
-        for batch in slices(batches, "text"):
-            for doc_id, made in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer).encode_batch(batch.column("text").to_pylist())):
+        for batch in slices(batches, "text", SLICE):
+            for doc_id, made in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer, cache=CACHE).encode_batch(batch.column("text").to_pylist())):
                 ids.append(doc_id)
                 coded.append(made + end)
                 held += len(made) // 4 + 1
