@@ -1,6 +1,6 @@
 """Fuzzy line dedup by MinHash over the whole corpus.
 
-A line's form is its text with A-Z in lower case, digits as 0 and white space squeezed; lines of equal form are one
+A line's form is its text with A-Z in lower case and white space squeezed; lines of equal form are one
 class. A class is described by the set of its character shingles and signed by ``REGISTERS`` minima; bands of minima
 are hashed to buckets, and lodeseek.llm.buckets joins the classes of a bucket whose exact Jaccard similarity reaches
 ``SIMILARITY`` into components by union-find. Of each component the first line (smallest document, then line) is
@@ -35,13 +35,13 @@ REGISTERS, ROWS = 48, 4
 SLICE = 1_000_000
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
-_DIGITS = bytes(48 if 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else b for b in range(256))
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SEEDS = mix64(np.arange(1001, 1001 + 2 * REGISTERS, dtype=np.uint64))
 _BY_LOW, _BY_HIGH = ((_SEEDS >> np.uint64(32)).astype(np.uint32) | np.uint32(1)).reshape(2, REGISTERS)
 
 
 def form(line: bytes) -> bytes:
-    return _SPACE.sub(b" ", line.translate(_DIGITS)).strip(b" ")
+    return _SPACE.sub(b" ", line.translate(_LOWER)).strip(b" ")
 
 
 def _name(line: bytes) -> int:

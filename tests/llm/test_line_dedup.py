@@ -58,3 +58,11 @@ def test_repeats_and_empty(spark):
     docs = spark.createDataFrame([(1, "a line of some length that repeats")] * 5, "doc_id long, text string")
     assert sorted(r.text for r in op.drop_similar_lines(docs).collect()) == [""] * 4 + ["a line of some length that repeats"]
     assert op.drop_similar_lines(docs.limit(0)).count() == 0
+
+
+def test_lines_that_differ_in_their_numbers_stay(spark):
+    rows = [(i, f"2019-01-{10 + 7 * i} {3 * i + 10}:{41 - 5 * i}:{50 - 9 * i} {17 + 11 * i}.{i} {82 - 13 * i}.8 {1013 + 987 * i}") for i in range(4)]
+    much = "the same long sentence stands in both of these documents, but for its page number, which is "
+    docs = spark.createDataFrame([*rows, (10, much + "17"), (11, much + "18")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in op.drop_similar_lines(docs).collect()}
+    assert got == {**dict(rows), 10: much + "17", 11: ""}
