@@ -9,7 +9,8 @@ kept in place, all others are taken out of their documents.
 Bands lose a link of similarity 0.8 with a chance of 1 in 500, of 0.9 with less than 1 in 100,000. Forms are named by
 64-bit digests; two forms with one digest would count as equal.
 
-Defined cases: a line shorter than ``LEAST`` characters of form is never taken out; a null or empty text stays as it
+Defined cases: a line shorter than ``least`` bytes of form is never taken out; a form below ``SHINGLE`` bytes has no
+shingles and is like equal forms only; a blank line is never taken out; a null or empty text stays as it
 is; a null id comes first; of rows that repeat id and text the lines of one are kept; an empty table gives no rows;
 other columns pass through.
 """
@@ -77,30 +78,32 @@ def signatures(runs: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _lines(batch: pa.RecordBatch, text_col: str) -> Iterator[tuple[int, int, bytes]]:
+def _lines(batch: pa.RecordBatch, text_col: str, least: int) -> Iterator[tuple[int, int, bytes]]:
     """(row, line number, form) of the lines that can be taken out."""
     for i, text in enumerate(batch.column(text_col)):
         if text.is_valid:
             for j, line in enumerate(text.as_py().encode("utf-8", "surrogatepass").split(b"\n")):
                 own = form(line)
-                if len(own) >= LEAST:
+                if own and len(own) >= least:
                     yield i, j, own
 
 
-def _signed(rows: DataFrame) -> DataFrame:
-    """Per line: row, doc_id, line, key, bands (32-bit hashes of its bands)."""
+def _signed(rows: DataFrame, least: int) -> DataFrame:
+    """Per line: row, doc_id, line, key, bands (32-bit hashes of its bands, null without shingles)."""
     salts = mix64(np.arange(1, REGISTERS // ROWS + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
-            found = list(_lines(batch, "text"))
-            place = {x: k for k, x in enumerate(dict.fromkeys(x for _, _, x in found))}
-            forms = list(place)
-            signs = signatures(shingle_runs(forms)).astype(np.uint64).reshape(len(forms), -1, ROWS)
+            found = list(_lines(batch, "text", least))
+            # forms with shingles come first
+            forms = sorted(dict.fromkeys(x for _, _, x in found), key=lambda x: len(x) < SHINGLE)
+            place = {x: k for k, x in enumerate(forms)}
+            long = [x for x in forms if len(x) >= SHINGLE]
+            signs = signatures(shingle_runs(long)).astype(np.uint64).reshape(len(long), REGISTERS // ROWS, ROWS)
             bands = np.broadcast_to(salts, signs.shape[:2]).copy()
             for k in range(ROWS):
                 bands = mix64(bands * np.uint64(0xD6E8FEB86659FD93) + signs[:, :, k])
-            packed = [x.tobytes() for x in (bands >> np.uint64(32)).astype(np.uint32)]
+            packed = [x.tobytes() for x in (bands >> np.uint64(32)).astype(np.uint32)] + [None] * (len(forms) - len(long))
             names = [_name(x) for x in forms]
             at = [place[x] for _, _, x in found]
             rows_ = pa.array([i for i, _, _ in found], pa.int32())
@@ -118,7 +121,7 @@ def _bodies(rows: DataFrame, keys: DataFrame) -> DataFrame:
         for batch in slices(batches, "text", SLICE):
             lines = batch.column("lines").to_pylist()
             wanted = [set(x) for x in lines]
-            forms = [x for i, j, x in _lines(batch, "text") if j in wanted[i]]
+            forms = [x for i, j, x in _lines(batch, "text", SHINGLE) if j in wanted[i]]
             sets = [np.unique(x) for x in shingle_runs(forms)]
             yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in forms], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["key", "n", "body"])
 
@@ -158,16 +161,16 @@ def _compared(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.mapInArrow(run, "a long, b long")
 
 
-def line_components(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Staged rows (row, own, doc_id, text), and per line of some length: row, line, key, component, kept."""
+def line_components(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """Staged rows (row, own, doc_id, text), and per line of ``least`` bytes and more: row, line, key, component, kept."""
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("own")
     # rows get a number once, written down, so that lines can name their row
     rows = stage(docs.select(F.monotonically_increasing_id().alias("row"), own, F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), "line-docs")
-    lines = stage(_signed(rows.select("row", "doc_id", "text")), "lines")
+    lines = stage(_signed(rows.select("row", "doc_id", "text"), least), "lines")
     place = F.struct("doc_id", "line", "row")
     classes = stage(lines.groupBy("key").agg(F.min(place).alias("first"), F.first("bands").alias("bands")), "line-classes")
     hashes = F.array(*[F.xxhash64(F.lit(i), F.substring("bands", 1 + 4 * i, 4)) for i in range(REGISTERS // ROWS)])
-    buckets = shared_buckets(classes, hashes)
+    buckets = shared_buckets(classes.filter("bands IS NOT NULL"), hashes)
     seen = classes.select("key", "first").join(buckets.select("key").distinct(), "key", "left_semi")
     sets = stage(_bodies(rows.select("row", "text"), seen.select("key", "first.row", "first.line")).dropDuplicates(["key"]), "line-sets")
     percent = round(similarity * 100)
@@ -179,9 +182,9 @@ def line_components(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     return rows, out.select("row", "line", "key", "component", (F.col("stays") == place).alias("kept"))
 
 
-def drop_similar_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with lines taken out of the text column, and n_lines, n_dropped."""
-    rows, lines = line_components(docs, similarity, id_col, text_col)
+def drop_similar_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+    """``docs`` with lines taken out of the text column, and n_lines, n_dropped. ``least`` of 1 settles every line that is not blank."""
+    rows, lines = line_components(docs, similarity, id_col, text_col, least)
     gone = lines.filter("NOT kept").groupBy("row").agg(F.collect_list("line").alias("gone"))
     parts = F.split("text", "\n")
     left = F.filter(parts, lambda x, i: ~F.array_contains("gone", i))

@@ -139,4 +139,4 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_similar_lines(_documents(spark, sf_dir).select("doc_id", "text"))
+    return drop_similar_lines(_documents(spark, sf_dir).select("doc_id", "text"), least=1)

@@ -66,3 +66,13 @@ def test_lines_that_differ_in_their_numbers_stay(spark):
     docs = spark.createDataFrame([*rows, (10, much + "17"), (11, much + "18")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in op.drop_similar_lines(docs).collect()}
     assert got == {**dict(rows), 10: much + "17", 11: ""}
+
+
+def test_query_settles_short_lines(spark, tmp_path):
+    from lodeseek.llm.queries import op4_line_dedup
+
+    texts = {1: "Read more\n\n}\nalone", 2: "read  MORE\n\n}\ncookie setting here", 3: "}\nRead more!\n \ncookie setting hero", 4: "Read more", 5: "}"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in op4_line_dedup(spark, str(tmp_path)).collect()}
+    # 'read more!' shares one shingle of two with 'read more', 'cookie setting hero' ten of twelve with the other
+    assert got == {1: (texts[1], 0), 2: ("\ncookie setting here", 2), 3: ("Read more!\n ", 2), 4: ("", 1), 5: ("", 1)}
