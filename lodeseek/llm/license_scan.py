@@ -59,14 +59,16 @@ class Scanner:
         import regex
 
         self.phrases = phrases
-        self.notices = []
+        self.notices, self.any = [], []
         parts: dict[str, list[tuple[int, int]]] = {}
         for k, (notice, label) in enumerate(notices.items()):
             edits = len(notice) // per_edit
             cuts = [len(notice) * i // (edits + 1) for i in range(edits + 2)]
             for a, b in zip(cuts, cuts[1:]):
                 parts.setdefault(notice[a:b], []).append((k, a))
-            self.notices.append((notice, label, edits, regex.compile(f"(?b)(?: {regex.escape(notice, literal_spaces=True)} ){{e<={edits}}}")))
+            fuzzy = f"(?: {regex.escape(notice, literal_spaces=True)} ){{e<={edits}}}"
+            self.notices.append((notice, label, edits, regex.compile(f"(?b){fuzzy}")))
+            self.any.append(regex.compile(fuzzy))
         # e edits break at most GRAM * e of a notice's character n-grams; a window that lacks more holds no match
         grams = [[notice[i : i + GRAM] for i in range(len(notice) - GRAM + 1)] for notice, *_ in self.notices]
         self.grams = [(own, len(own) - GRAM * edits) for own, (_, _, edits, _) in zip(grams, self.notices)]
@@ -86,6 +88,15 @@ class Scanner:
                 out.append((label, word))
         return out
 
+    def _matches(self, k: int, text: str, a: int, b: int) -> Iterator:
+        """Matches of a notice from left to right, each the best one near the first place with any. Neighbours may share a space."""
+        notice, _, edits, best = self.notices[k]
+        while found := self.any[k].search(text, a, b):
+            # too short for two matches
+            m = best.search(text, found.start(), min(b, found.start() + len(notice) + 2 + 3 * edits))
+            yield m
+            a = m.end() - m[0].endswith(" ")
+
     def fuzzy(self, text: str) -> list[tuple[str, int, int, int, float]]:
         """(label, first word, last word, edits, likeness) of notices within their edits."""
         windows: dict[int, list[list[int]]] = {}
@@ -101,13 +112,13 @@ class Scanner:
                     own.append([a, b])
         out = []
         for k, own in windows.items():
-            notice, label, edits, pattern = self.notices[k]
+            notice, label, *_ = self.notices[k]
             grams, least = self.grams[k]
             for a, b in own:
                 near = text[max(0, a) : b]
                 if sum(gram in near for gram in grams) < least:
                     continue
-                for m in pattern.finditer(text, max(0, a), min(len(text), b)):
+                for m in self._matches(k, text, max(0, a), min(len(text), b)):
                     wrong = sum(m.fuzzy_counts)
                     first = text.count(" ", 0, m.start() + 1) - 1
                     last = first + max(1, m[0].strip().count(" ") + 1) - 1

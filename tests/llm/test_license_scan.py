@@ -40,3 +40,11 @@ def test_long_text_and_repeats():
     scanner = op.Scanner()
     assert n == 40_000 and [w for _, w in scanner.exact(text)] == list(range(0, 40_000, 2))
     assert regex.__version__
+
+
+def test_notices_that_follow_each_other():
+    scanner = op.Scanner()
+    text, _ = op.normal("x released under the mit licence and released under the mit license y")
+    assert [s[1:4] for s in scanner.fuzzy(text)] == [(1, 5, 1), (7, 11, 0)]
+    text, _ = op.normal("released under the mit license " * 3 + "released undr the mit license " * 3)
+    assert [s[1:4] for s in scanner.fuzzy(text)] == [(5 * i, 5 * i + 4, int(i > 2)) for i in range(6)]
