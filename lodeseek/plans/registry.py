@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodeseek.functions import text as tx
 from lodeseek.functions.vectors import dot
 from lodeseek.operators import chunking, evaluation, event_links, extraction, graph_query, implicit_graph, retrieval, store
+from lodeseek.plans.staging import stage
 from lodeseek.sources import files
 from lodeseek.streaming import events as streams
 
@@ -418,8 +419,9 @@ def event_times(spark, sf_dir):
 
 @query()
 def rule_events(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    events = extraction.rule_events(docs).join(docs, "chunk_id")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("content"))
+    chunks = stage(chunking.chunk(docs).select("chunk_id", "content"), "event-chunks")
+    events = extraction.rule_events(chunks).join(chunks, "chunk_id")
     return events.withColumn("verification", extraction.verification(F.col("exact_identifiers"), F.col("time_expr"), F.col("content"))).drop("content")
 
 

@@ -275,3 +275,14 @@ def test_streams(spark):
     path = "/root/testdata/sf0.001/events.parquet"
     got = streams.run_once(streams.sessions(streams.read_events(spark, path)), "sessions", "complete")
     assert got.agg(F.sum("n")).first()[0] == spark.read.parquet(path).count()
+
+
+def test_rule_events_of_a_long_document(spark, tmp_path):
+    from lodeseek.plans import registry
+
+    lines = [f"On 2024-03-15 AB-{1000 + i} paid ${i}. " + "filler " * 1100 for i in range(12)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "AB-7777 paid $3.")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = registry.QUERIES["rule_events"](spark, str(tmp_path)).collect()
+    assert {x for r in rows for x in r.exact_identifiers} == {f"AB-{1000 + i}" for i in range(12)} | {"AB-7777"}
+    assert {r.verification for r in rows} == {"verified"} and len({r.event_id for r in rows}) == len(rows) == 13
