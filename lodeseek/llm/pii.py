@@ -26,9 +26,9 @@ KINDS = ["email", "ip", "date", "ssn", "phone", "card"]
 
 _EMAIL = r"[A-Za-z0-9._%+-]*[A-Za-z0-9]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 _IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])"
-_DATE = r"(?<![0-9-])(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?![0-9-])|(?<![0-9./])[0-3][0-9]([./])[0-3][0-9]\1(?:19|20)[0-9]{2}(?![0-9/])"
+_DATE = r"(?<![0-9-])(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?![0-9-])|(?<![0-9./])[0-3]?[0-9]([./])[0-3]?[0-9]\1(?:19|20)[0-9]{2}(?![0-9/])|(?<![0-9./])(?:19|20)[0-9]{2}/[01]?[0-9]/[0-3]?[0-9](?![0-9/])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-_PHONE = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9-])"
+_PHONE = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])|(?<![0-9(-])\([0-9]{3}\)[0-9]{3}[ .-]?[0-9]{4}(?![0-9-])|(?<![0-9(-])(?<![0-9][.,])[2-9][0-9]{2}[ -]?[0-9]{3}[ -]?[0-9]{4}(?![0-9-]|[.,][0-9])"
 _CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 PATTERN = "|".join([_EMAIL, _IP, _DATE, _SSN, _PHONE, _CARD])
 #: Days from 1900-01-01 to 2099-12-31 are 17 * 4297.
@@ -127,16 +127,26 @@ def _day_text(form: str) -> Callable[[Column], Column]:
 
 def _date(m: Column, key: str) -> Column:
     out = m
-    for form, shape in (("MM/dd/yyyy", "/"), ("dd/MM/yyyy", "/"), ("dd.MM.yyyy", "."), ("yyyy-MM-dd", "-")):
+    # of two forms that fit, the later one holds; a month and a day without zeros get none
+    for form, shape in (
+        ("M/d/yyyy", r"^[0-9]{1,2}/"), ("MM/dd/yyyy", r"^[0-9]{2}/[0-9]{2}/"), ("d/M/yyyy", r"^[0-9]{1,2}/"), ("dd/MM/yyyy", r"^[0-9]{2}/[0-9]{2}/"),
+        ("d.M.yyyy", r"^[0-9]{1,2}\."), ("dd.MM.yyyy", r"^[0-9]{2}\.[0-9]{2}\."), ("yyyy/M/d", r"^[0-9]{4}/"), ("yyyy/MM/dd", r"^[0-9]{4}/[0-9]{2}/[0-9]{2}$"), ("yyyy-MM-dd", "-"),
+    ):
         day = F.try_to_timestamp(m, F.lit(form)).cast("date")
         number = F.datediff(day, F.lit(_FIRST_DAY).cast("date")).cast("long")
         pair = feistel(F.floor(number / _DAYS[1]), F.pmod(number, F.lit(_DAYS[1])), F.lit(_DAYS[0]), F.lit(_DAYS[1]), key, "date")
         made = F.transform(F.array(pair), _day_text(form))[0]
-        out = F.when(m.contains(shape) & day.isNotNull(), made).otherwise(out)
+        out = F.when(m.rlike(shape) & day.isNotNull(), made).otherwise(out)
     return out
 
 
-def _email(m: Column, key: str) -> Column:
+def _shifted(letter: Column, key: str, kind: str) -> Column:
+    """A letter or digit as another one: a keyed shift of 1 to 35 places, so none stays."""
+    by = 1 + F.pmod(_digest(key, kind, F.lit(36)), F.lit(35))
+    return F.lower(F.conv(F.pmod(F.conv(letter, 36, 10).cast("long") + by, F.lit(36)).cast("string"), 10, 36))
+
+
+def _email(m: Column, key: str, one: bool) -> Column:
     name, host = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
     letters = F.lower(_only(name, "A-Za-z0-9"))
     first = _permuted(F.substr(letters, F.lit(1), F.lit(24)), 36, key, "email")
@@ -144,6 +154,7 @@ def _email(m: Column, key: str) -> Column:
     many = F.array_join(F.array_repeat(F.sha2(F.concat_ws("|", F.lit(key), letters), 256), F.ceil(F.length(letters) / 64).cast("int")), "")
     rest = F.substr(many, F.lit(1), F.length(letters) - 24)
     whole = F.when(F.length(letters) > 24, F.concat(first, rest)).otherwise(first)
+    whole = F.when(F.length(letters) == 1, _shifted(letters, key, "email")).otherwise(whole) if one else whole
     return F.concat(F.transform(F.array(whole), lambda w: _refilled(name, w, "A-Za-z0-9"))[0], F.lit("@"), host)
 
 
@@ -151,20 +162,20 @@ def _kind(m: Column) -> Column:
     return (
         F.when(m.contains("@"), "email")
         .when(m.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), "ip")
-        .when(m.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$|^[0-9]{2}([./])[0-9]{2}\1[0-9]{4}$"), "date")
+        .when(m.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$|^[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4}$|^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$"), "date")
         .when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
         .when(m.rlike(f"^(?:{_CARD})$"), "card")
         .otherwise("phone")
     )
 
 
-def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts_col: str = "n_pseudonyms") -> DataFrame:
-    """``docs`` with values in the text column replaced; ``counts_col`` is how many were."""
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts_col: str = "n_pseudonyms", one: bool = False) -> DataFrame:
+    """``docs`` with values in the text column replaced; ``counts_col`` is how many were. ``one``: e-mail names of one character too."""
     own = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, counts_col)]
     text = F.col(f"`{text_col}`")
     df = docs.select(*own, text.alias("__t"), held(text.rlike(PATTERN)).alias("__hit"))
     df = df.select(*own, "__t", held(F.when(F.col("__hit"), F.regexp_extract_all("__t", F.lit(PATTERN), F.lit(0)))).alias("__m"), held(F.when(F.col("__hit"), F.split("__t", PATTERN, -1))).alias("__g"))
-    new = F.transform("__m", lambda m: _replaced(m, key))
+    new = F.transform("__m", lambda m: _replaced(m, key, one))
     df = df.select(*own, "__t", "__m", "__g", held(new).alias("__n"))
     woven = F.array_join(F.transform(F.sequence(F.lit(0), F.size("__m")), lambda i: F.concat(F.get("__g", i), F.coalesce(F.get("__n", i), F.lit("")))), "")
     changed = F.size(F.filter(F.sequence(F.lit(0), F.size("__m") - 1), lambda i: F.get("__m", i) != F.get("__n", i)))
@@ -174,9 +185,9 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts_col:
     return df.select(*[values[c].alias(c) if c in values else F.col(f"`{c}`") for c in names])
 
 
-def _replaced(m: Column, key: str) -> Column:
+def _replaced(m: Column, key: str, one: bool) -> Column:
     kind = _kind(m)
-    out = F.when(kind == "email", _email(m, key))
+    out = F.when(kind == "email", _email(m, key, one))
     for name, work in (("ip", _ip), ("date", _date), ("ssn", _ssn), ("phone", _phone), ("card", _card)):
         out = out.when(kind == name, work(m, key))
     return out.otherwise(m)

@@ -90,3 +90,24 @@ def test_long_names_and_permutation(spark):
     pairs = spark.range(17 * 43).select(op.feistel(F.floor(F.col("id") / 43), F.pmod("id", F.lit(43)), F.lit(17), F.lit(43), KEY, "t").alias("p")).distinct()
     assert pairs.count() == 17 * 43 and pairs.filter("p.l between 0 and 16 and p.r between 0 and 42").count() == 17 * 43
     assert op.pseudonymise(docs.limit(0), KEY).count() == 0
+
+
+def test_query_finds_common_forms(spark, tmp_path):
+    from lodeseek.llm.queries import op3_pii
+
+    shapes = {
+        "3/14/2019": "%m/%d/%Y", "1.5.2020": "%d.%m.%Y", "14/3/2019": "%d/%m/%Y", "2019/03/14": "%Y/%m/%d", "2019/3/4": "%Y/%m/%d",
+        "555 123 4567": "[0-9]{3} [0-9]{3} [0-9]{4}", "(555)123-4567": r"\([0-9]{3}\)[0-9]{3}-[0-9]{4}", "5551234567": "[0-9]{10}", "555-1234567": "[0-9]{3}-[0-9]{7}",
+        "j@site.org": "[a-z0-9]@site.org", "k@site.org": "[a-z0-9]@site.org",
+    }
+    same = ["3/34/2019", "13.13.2020", "2019/13/14", "0.5551234567", "1612345678", "12345678901", "5551234567.25"]
+    rows = [(i, f"on {value}, or {value}; 7") for i, value in enumerate([*shapes, *same])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op3_pii(spark, str(tmp_path)).collect()}
+    for i, (value, shape) in enumerate(shapes.items()):
+        new = re.fullmatch(r"on (.+), or \1; 7", got[i].text)[1]
+        assert new != value and got[i].n_pseudonyms == 2, value
+        assert datetime.datetime.strptime(new, shape) if "%" in shape else re.fullmatch(shape, new), (value, new)
+    for i, value in enumerate(same, len(shapes)):
+        assert got[i].text == rows[i][1] and got[i].n_pseudonyms == 0, value
+    assert got[list(shapes).index("j@site.org")].text != got[list(shapes).index("k@site.org")].text
