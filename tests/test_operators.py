@@ -286,3 +286,14 @@ def test_rule_events_of_a_long_document(spark, tmp_path):
     rows = registry.QUERIES["rule_events"](spark, str(tmp_path)).collect()
     assert {x for r in rows for x in r.exact_identifiers} == {f"AB-{1000 + i}" for i in range(12)} | {"AB-7777"}
     assert {r.verification for r in rows} == {"verified"} and len({r.event_id for r in rows}) == len(rows) == 13
+
+
+def test_more_queries_than_a_batch(spark, monkeypatch):
+    from lodeseek.plans import registry
+
+    vectors = registry._vectors(spark, "/root/testdata/sf0.001").limit(60).localCheckpoint()
+    asked = vectors.select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    told = lambda: sorted(tuple(r) for r in retrieval.dense_top_k(vectors, asked, 3).collect())
+    whole = told()
+    monkeypatch.setattr(retrieval, "BATCH", 25)
+    assert told() == whole and len({r[0] for r in whole}) == 60
