@@ -11,32 +11,130 @@ pair. Every two classes that share a band are thus compared or already in one co
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodeseek.llm.union_find import components
 from lodeseek.plans.staging import discard, stage
 
+#: Classes in a block, and bytes of what is compared.
+BLOCK, BLOCK_BYTES = 256, 16 << 20
+#: A band with more than one in so many of all band rows is hot; there are twice as many hot bands at most.
+SHARE = 4096
+#: Rows of one band that are held at once.
+HELD = 1 << 20
+#: Rows of one band that one task of a join gets.
+DEALT = 4096
 
-#: Classes in a block.
-BLOCK = 256
 
+def _hot_bands(classes: DataFrame) -> tuple[DataFrame, int]:
+    """(hot): the bands that hold more than 1 in ``SHARE`` of all band rows, some with half as many among them; staged, and how many.
 
-def shared_buckets(classes: DataFrame, bands: Column) -> DataFrame:
-    """(band, key, size) of the buckets that hold two classes at least; staged."""
-    spread = classes.select("key", F.explode(bands).alias("band"))
-    shared = spread.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").withColumnRenamed("band", "shared")
-    return stage(spread.join(shared, F.col("band") == F.col("shared")).select("band", "key", "size"), "buckets")
+    Each task keeps a Misra-Gries summary, which misses no band of that share and holds ``SHARE`` counts at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, counts, total = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        for batch in batches:
+            own = batch.column("bands").flatten().to_numpy()
+            total += len(own)
+            own, n = np.unique(own, return_counts=True)
+            values, inverse = np.unique(np.concatenate([values, own]), return_inverse=True)
+            counts = np.bincount(inverse, weights=np.concatenate([counts, n]), minlength=len(values)).astype(np.int64)
+            if len(values) > 2 * SHARE:
+                counts = counts - np.partition(counts, -2 * SHARE - 1)[-2 * SHARE - 1]
+                values, counts = values[counts > 0], counts[counts > 0]
+        yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts), pa.array(np.append(total, np.zeros(len(values), np.int64))[: len(values)])], ["hot", "n", "total"])
+
+    found = stage(classes.select("bands").mapInArrow(run, "hot long, n long, total long").groupBy("hot").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "band-counts")
+    total = found.agg(F.sum("total")).first()[0] or 0
+    hot = stage(found.filter(F.col("n") > max(DEALT, total // (2 * SHARE))).select("hot"), "hot-bands")
+    discard(found)
+    return hot, hot.count()
+
+
+def _shared_runs(sorted_rows: DataFrame) -> DataFrame:
+    """(band, key, size) of the bands with two keys at least, from rows (band, key) sorted within partitions; repeats once."""
+
+    def columns(batch: pa.RecordBatch) -> np.ndarray:
+        keys = batch.column("key")
+        if pa.types.is_int64(keys.type):
+            return keys.to_numpy().reshape(-1, 1)
+        return np.frombuffer(b"".join(keys.to_pylist()), np.int64).reshape(batch.num_rows, -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(bands: np.ndarray, keys: np.ndarray, heads: np.ndarray) -> pa.RecordBatch:
+            sizes = np.diff(np.append(heads, len(bands)))
+            sizes = np.repeat(sizes, sizes)
+            many = sizes > 1
+            own = np.ascontiguousarray(keys[many])
+            named = pa.array(own[:, 0]) if own.shape[1] == 1 else pa.array([x.tobytes() for x in own], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(bands[many]), named, pa.array(sizes[many])], ["band", "key", "size"])
+
+        bands = keys = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = columns(batch)
+            bands = batch.column("band").to_numpy() if bands is None else np.concatenate([bands, batch.column("band").to_numpy()])
+            keys = own if keys is None else np.concatenate([keys, own])
+            new = np.ones(len(bands), bool)
+            new[1:] = bands[1:] != bands[:-1]
+            fresh = new.copy()
+            fresh[1:] |= (keys[1:] != keys[:-1]).any(axis=1)
+            bands, keys, heads = bands[fresh], keys[fresh], np.flatnonzero(new[fresh])
+            cut = heads[-1]  # the last run may go on
+            yield told(bands[:cut], keys[:cut], heads[:-1])
+            bands, keys = bands[cut:], keys[cut:]
+            if len(bands) > HELD:  # told in parts; the last row stays, so what follows still counts as shared
+                yield told(bands, keys, np.zeros(1, np.int64))
+                bands, keys = bands[-1:], keys[-1:]
+        if bands is not None:
+            yield told(bands, keys, np.zeros(1, np.int64))
+
+    kind = sorted_rows.schema["key"].dataType
+    schema = T.StructType([T.StructField("band", T.LongType()), T.StructField("key", kind), T.StructField("size", T.LongType())])
+    return sorted_rows.mapInArrow(run, schema)
+
+
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """(band, key, size) of the buckets that hold two keys at least, from rows (key, bands); staged. Rows may repeat a key.
+
+    Bands are dealt out and sorted once. A hot band goes its own way: its keys are counted and made distinct with partial sums, so
+    that no task gets them all. ``size`` is the number of keys, or of some of them in a bucket beyond ``HELD``.
+    """
+    hot, n_hot = _hot_bands(classes)
+    spread = classes.select("key", F.explode("bands").alias("band"))
+    rest = spread.join(F.broadcast(hot), F.col("band") == F.col("hot"), "left_anti") if n_hot else spread
+    found = _shared_runs(rest.select("band", "key").repartition("band").sortWithinPartitions("band", "key"))
+    if n_hot:
+        own = spread.join(F.broadcast(hot), F.col("band") == F.col("hot"), "left_semi").select("band", "key").distinct()
+        sizes = own.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").withColumnRenamed("band", "hot")
+        found = found.unionByName(own.join(F.broadcast(sizes), F.col("band") == F.col("hot")).select("band", "key", "size"))
+    out = stage(found, "buckets")
+    discard(hot)
+    return out
+
+
+def _dealt(many: DataFrame, few: DataFrame, a: str, b: str, size: str, parts: str) -> DataFrame:
+    """``many`` joined with ``few`` on a = b, a key's rows dealt to one task for each ``DEALT``: column ``size`` of ``many`` says how many
+    rows its key has, ``parts`` of ``few`` is the largest such number."""
+    left = many.withColumn("__s", F.pmod(F.xxhash64("key"), F.ceil(F.col(size) / DEALT)).cast("long"))
+    right = few.withColumn("__t", F.explode(F.sequence(F.lit(0), F.ceil(F.col(parts) / DEALT).cast("long") - 1)))
+    return left.join(right, (F.col(a) == F.col(b)) & (F.col("__s") == F.col("__t"))).drop("__s", "__t")
 
 
 def _first_pairs(buckets: DataFrame) -> DataFrame:
     """(a, b, rank): each class and the two, at most, that it meets first."""
     popular = buckets.groupBy("key").agg(F.sum("size").alias("p")).withColumnRenamed("key", "who")
-    ranked = stage(buckets.join(popular, F.col("key") == F.col("who")).select("band", F.struct("p", "key").alias("x")), "ranked")
-    tops = ranked.groupBy("band").agg(F.max("x").alias("top")).withColumnRenamed("band", "of")
-    votes = ranked.join(tops, F.col("band") == F.col("of")).filter("x < top").groupBy("x", "top").agg(F.count("*").alias("n"))
+    ranked = stage(buckets.join(popular, F.col("key") == F.col("who")).select("band", "key", "size", F.struct("p", "key").alias("x")), "ranked")
+    tops = ranked.groupBy("band").agg(F.max("x").alias("top"), F.max("size").alias("parts")).withColumnRenamed("band", "of")
+    votes = _dealt(ranked, tops, "band", "of", "size", "parts").filter("x < top").groupBy("x", "top").agg(F.count("*").alias("n"))
     best = votes.groupBy("x").agg(F.max(F.struct("n", "top")).alias("near"), F.max("top").alias("high"))
     met = F.array_distinct(F.array("near.top", "high"))
     return best.select(F.col("x.key").alias("a"), F.explode(met).alias("y")).select("a", F.col("y.key").alias("b"), F.col("y.p").alias("rank"))
@@ -68,30 +166,35 @@ def _relabelled(joined: DataFrame, links: DataFrame) -> DataFrame:
     return stage(moved.unionByName(tops.select(F.col("n2").alias("node"), F.col("c2").alias("component"))).groupBy("node").agg(F.min("component").alias("component")), "joined")
 
 
-def _block_pairs(buckets: DataFrame, joined: DataFrame, nodes: DataFrame) -> DataFrame:
+def _block_pairs(buckets: DataFrame, joined: DataFrame, nodes: DataFrame, weight: Column) -> DataFrame:
     """Rows of two blocks of classes: (askers, others), arrays of structs of ``nodes``' columns and ``c``.
 
     Buckets with several components are gathered by their largest component into families. The classes of a family
     outside that component are its askers, a stated query set; they meet all classes of the family in blocks.
     """
     names = joined.select(F.col("node").alias("n2"), "component")
-    tagged = buckets.join(names, F.col("key") == F.col("n2"), "left").select("band", "key", F.coalesce("component", "key").alias("c"))
-    sizes = tagged.groupBy("band", "c").agg(F.count("*").alias("k")).groupBy("band").agg(F.count("*").alias("kinds"), F.max(F.struct("k", "c")).alias("main"))
-    sizes = sizes.filter("kinds > 1").select(F.col("band").alias("open"), F.col("main.c").alias("family"))
-    rest = stage(tagged.join(sizes, F.col("band") == F.col("open")).select("family", "key", "c").distinct(), "families")
-    size = rest.groupBy("family").agg(F.count("*").alias("n"), F.count_if(F.col("c") != F.col("family")).alias("asks")).filter("asks > 0")
-    size = stage(size.select("family", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("asks") / BLOCK).cast("int").alias("sb")), "family-sizes")
+    tagged = stage(buckets.join(names, F.col("key") == F.col("n2"), "left").select("band", "key", "size", F.coalesce("component", "key").alias("c")), "tagged")
+    sizes = tagged.groupBy("band", "c").agg(F.count("*").alias("k"), F.max("size").alias("size")).groupBy("band").agg(F.count("*").alias("kinds"), F.max(F.struct("k", "c")).alias("main"), F.max("size").alias("parts"))
+    sizes = sizes.filter("kinds > 1").select(F.col("band").alias("open"), F.col("main.c").alias("family"), "parts")
+    rest = _dealt(tagged, sizes, "band", "open", "size", "parts").select("family", "key", "c").distinct()
     own = F.struct(*[F.col(c) for c in nodes.columns], "c").alias("x")
-    told = rest.join(size, "family").join(nodes, "key")
-    block = lambda df, n: df.select("family", F.pmod(F.xxhash64("key"), F.col(n)).cast("int").alias("i"), own).groupBy("family", "i").agg(F.collect_list("x").alias("xs"))
+    told = stage(rest.join(nodes, "key").select("family", "key", "c", weight.alias("w"), own), "families")
+    asks = F.col("c") != F.col("family")
+    size = told.groupBy("family").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.count_if(asks).alias("asks"), F.sum(F.when(asks, F.col("w"))).alias("aw")).filter("asks > 0")
+    blocks = lambda n, w: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(w) / BLOCK_BYTES)).cast("int")
+    size = stage(size.select("family", "n", blocks("n", "w").alias("nb"), blocks("asks", "aw").alias("sb")), "family-sizes")
+    # every family is dealt alike, as its rows do not know its size
+    spread = size.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    told = told.withColumn("s", F.pmod(F.xxhash64("key"), F.lit(16)).cast("int")).join(spread, ["family", "s"])
+    block = lambda df, n: df.select("family", F.pmod(F.xxhash64("key"), F.col(n)).cast("int").alias("i"), "x").groupBy("family", "i").agg(F.collect_list("x").alias("xs"))
     askers, others = block(told.filter("c != family"), "sb"), block(told, "nb")
     pairs = size.select("family", "nb", F.explode(F.sequence(F.lit(0), F.col("sb") - 1)).alias("i")).select("family", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
     first = pairs.join(askers.withColumnRenamed("xs", "askers"), ["family", "i"])
     return first.join(others.select("family", F.col("i").alias("j"), F.col("xs").alias("others")), ["family", "j"]).select("askers", "others")
 
 
-def bucket_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], nodes: DataFrame, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, component) of classes with links; others are their own components.
+def bucket_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], nodes: DataFrame, compare: Callable[[DataFrame], DataFrame], weight: Column) -> DataFrame:
+    """(node, component) of classes with links; others are their own components. ``weight``: bytes of a row of ``nodes``.
 
     ``compare`` takes rows of two blocks and returns links (a, b) between classes of different components, one
     link at least wherever the blocks' links join two components.
@@ -100,7 +203,7 @@ def bucket_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFram
     links = stage(verify(pairs.select("a", "b")), "first-links")
     parents = links.join(pairs, ["a", "b"]).groupBy("a").agg(F.max(F.struct("rank", "b")).alias("y")).select("a", "y.b")
     joined = _roots(parents)
-    more = compare(_block_pairs(buckets, joined, nodes))
+    more = compare(_block_pairs(buckets, joined, nodes, weight))
     return _relabelled(joined, stage(links.unionByName(more), "all-links"))
 
 

@@ -1,131 +1,197 @@
 """Fuzzy line dedup by MinHash over the whole corpus.
 
-A line's form is its text with A-Z in lower case and white space squeezed; lines of equal form are one
-class. A class is described by the set of its character shingles and signed by ``REGISTERS`` minima; bands of minima
-are hashed to buckets, and lodeseek.llm.buckets joins the classes of a bucket whose exact Jaccard similarity reaches
-``SIMILARITY`` into components by union-find. Of each component the first line (smallest document, then line) is
-kept in place, all others are taken out of their documents.
+A line's form is its text with A-Z in lower case and white space squeezed; lines of equal form are one class. A class is
+described by the set of its character shingles and signed by ``REGISTERS`` minima: a short line by one minimum for each
+of as many hash functions, a long one by the minima of as many bins of one hash function, an empty bin taking over the next full
+one's; lines of a size between get both signatures. Bands of minima are hashed to buckets, and lodeseek.llm.buckets joins
+the classes of a bucket whose exact Jaccard similarity reaches ``SIMILARITY`` into components by union-find. Of each
+component the first line (smallest document, then line) is kept in place, all others are taken out of their documents.
 
 Bands lose a link of similarity 0.8 with a chance of 1 in 500, of 0.9 with less than 1 in 100,000. Forms are named by
-64-bit digests; two forms with one digest would count as equal.
+128-bit digests. Only band hashes and 64 bits of the name go through the exchange of bands; forms are read again, from the
+documents that a Bloom filter lets pass, for classes that share a band.
 
 Defined cases: a line shorter than ``least`` bytes of form is never taken out; a form below ``SHINGLE`` bytes has no
 shingles and is like equal forms only; a blank line is never taken out; a null or empty text stays as it
 is; a null id comes first; of rows that repeat id and text the lines of one are kept; an empty table gives no rows;
-other columns pass through.
+other columns pass through, and columns named like a result are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeseek.llm import bloom
 from lodeseek.llm.bpe import slices
 from lodeseek.llm.buckets import bucket_components, shared_buckets, spanning
 from lodeseek.llm.shingles import mix64
-from lodeseek.plans.staging import stage
+from lodeseek.plans.staging import discard, forget_shuffles, stage
 
 SHINGLE, SIMILARITY, LEAST = 9, 0.8, 20
 REGISTERS, ROWS = 48, 4
-SLICE = 1_000_000
+#: Distinct shingles from which minima of bins take over.
+BINNED = 192
+#: Cells in which distinct shingles of a line are counted, from below.
+CELLS = 2048
+SLICE = 500_000
+#: Lines known to a task at once, as signed or sent before.
+KNOWN = 1 << 18
+#: A class with more than one in so many of all lines is broadcast; there are no more than that.
+SHARE = 2048
 
-_SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SEEDS = mix64(np.arange(1001, 1001 + 2 * REGISTERS, dtype=np.uint64))
 _BY_LOW, _BY_HIGH = ((_SEEDS >> np.uint64(32)).astype(np.uint32) | np.uint32(1)).reshape(2, REGISTERS)
+_BANDS = REGISTERS // ROWS
+_NONE = np.uint32(0xFFFFFFFF)
 
 
 def form(line: bytes) -> bytes:
-    return _SPACE.sub(b" ", line.translate(_LOWER)).strip(b" ")
-
-
-def _name(line: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(line, digest_size=8).digest(), "little", signed=True)
-
-
-def shingle_runs(forms: list[bytes]) -> list[np.ndarray]:
-    """Hashes of all shingles of each form, repeats included."""
-    body = np.frombuffer(b"".join(forms), np.uint8).astype(np.uint64)
-    n = len(body) - SHINGLE + 1
-    h = np.zeros(max(n, 0), np.uint64)
-    for k in range(SHINGLE):
-        h = h * np.uint64(0x100000001B3) + body[k : k + len(h)] + np.uint64(1)
-    h = mix64(h)
-    stops = np.cumsum([len(x) for x in forms]).tolist()
-    return [h[b - len(x) : b - SHINGLE + 1] for x, b in zip(forms, stops)]
-
-
-def signatures(runs: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros((len(runs), REGISTERS), np.uint32)
-    start = 0
-    while start < len(runs):
-        stop, held = start, 0
-        while stop < len(runs) and (stop == start or held + len(runs[stop]) <= 65_536):
-            held += len(runs[stop])
-            stop += 1
-        values = np.concatenate(runs[start:stop])
-        at = np.concatenate([[0], np.cumsum([len(x) for x in runs[start:stop]])[:-1]])
-        low, high = values.astype(np.uint32), (values >> np.uint64(32)).astype(np.uint32)
-        for i in range(REGISTERS):
-            out[start:stop, i] = np.minimum.reduceat(low * _BY_LOW[i] + high * _BY_HIGH[i], at)
-        start = stop
+    return b" ".join(line.translate(_LOWER).split())
+
+
+def _name(line: bytes) -> bytes:
+    return hashlib.blake2b(line, digest_size=16).digest()
+
+
+def _hashes(names: list[bytes]) -> np.ndarray:
+    """64 bits of each name."""
+    return np.ascontiguousarray(np.frombuffer(b"".join(names), np.uint64).reshape(-1, 2)[:, 0])
+
+
+def shingles_of(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all forms in order, repeats included, and how many each form has."""
+    body = np.frombuffer(b"".join(forms), np.uint8)
+    lens = np.array([len(x) for x in forms], np.int64)
+    counts = np.maximum(lens - SHINGLE + 1, 0)
+    if len(body) < SHINGLE:
+        return np.zeros(0, np.uint64), counts
+    eight = np.ndarray(len(body) - SHINGLE + 1, "<u8", body, 0, (1,))  # a window of eight bytes at every byte
+    h = mix64((eight ^ (body[SHINGLE - 1 :].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93))
+    starts = np.cumsum(lens) - lens
+    first = np.cumsum(counts) - counts
+    return h[np.repeat(starts - first, counts) + np.arange(int(counts.sum()))], counts
+
+
+def _by_functions(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    at = np.cumsum(counts) - counts
+    low, high = values.astype(np.uint32), (values >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((len(counts), REGISTERS), np.uint32)
+    for i in range(REGISTERS):
+        out[:, i] = np.minimum.reduceat(low * _BY_LOW[i] + high * _BY_HIGH[i], at)
+    return out
+
+
+def _by_bins(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    out = np.full(len(counts) * REGISTERS, _NONE, np.uint32)
+    own = np.repeat(np.arange(len(counts)) * REGISTERS, counts) + ((values >> np.uint64(32)) * np.uint64(REGISTERS) >> np.uint64(32)).astype(np.int64)
+    np.minimum.at(out, own, values.astype(np.uint32))
+    out = out.reshape(-1, REGISTERS)
+    holes = np.flatnonzero((out == _NONE).any(axis=1))
+    if len(holes):
+        told = out[holes]
+        empty = told == _NONE
+        filled, open_ = told.copy(), empty.copy()
+        for step in range(1, REGISTERS):
+            take = open_ & ~np.roll(empty, -step, axis=1)
+            filled[take] = (np.roll(told, -step, axis=1) + np.uint32(step * 0x9E3779B1 & 0xFFFFFFFF))[take]
+            open_ &= ~take
+        out[holes] = filled
+    return out
+
+
+def _banded(signs: np.ndarray, salt: int) -> np.ndarray:
+    """64-bit hashes of the bands of each signature."""
+    signs = signs.astype(np.uint64).reshape(len(signs), _BANDS, ROWS)
+    bands = np.broadcast_to(mix64(np.arange(salt, salt + _BANDS, dtype=np.uint64)), signs.shape[:2]).copy()
+    for k in range(ROWS):
+        bands = mix64(bands * np.uint64(0xD6E8FEB86659FD93) + signs[:, :, k])
+    return bands
+
+
+def bands_of(forms: list[bytes], similarity: float = SIMILARITY) -> list[np.ndarray]:
+    """Band hashes of each form: of none, one or both signatures. Two forms that are similar have one kind in common."""
+    values, counts = shingles_of(forms)
+    out = [np.zeros(0, np.int64)] * len(forms)
+    cell = np.zeros(len(forms) * CELLS, bool)
+    cell[np.repeat(np.arange(len(forms)) * CELLS, counts) + (values >> np.uint64(20) & np.uint64(CELLS - 1)).astype(np.int64)] = True
+    surely = cell.reshape(-1, CELLS).sum(axis=1)  # at least so many distinct ones
+    for who, signed, salt in (((counts > 0) & (surely * similarity < BINNED), _by_functions, 1), (counts >= BINNED, _by_bins, 1 + _BANDS)):
+        if who.any():
+            made = _banded(signed(values[np.repeat(who, counts)], counts[who]), salt).view(np.int64)
+            for i, x in zip(np.flatnonzero(who).tolist(), made):
+                out[i] = np.concatenate([out[i], x])
     return out
 
 
-def _lines(batch: pa.RecordBatch, text_col: str, least: int) -> Iterator[tuple[int, int, bytes]]:
+def _lines(batch: pa.RecordBatch, least: int) -> Iterator[tuple[int, int, bytes]]:
     """(row, line number, form) of the lines that can be taken out."""
-    for i, text in enumerate(batch.column(text_col)):
-        if text.is_valid:
-            for j, line in enumerate(text.as_py().encode("utf-8", "surrogatepass").split(b"\n")):
-                own = form(line)
+    for i, text in enumerate(pc.cast(batch.column("text"), pa.binary()).to_pylist()):
+        if text:
+            for j, line in enumerate(text.translate(_LOWER).split(b"\n")):
+                own = b" ".join(line.split())
                 if own and len(own) >= least:
                     yield i, j, own
 
 
-def _signed(rows: DataFrame, least: int) -> DataFrame:
-    """Per line: row, doc_id, line, key, bands (32-bit hashes of its bands, null without shingles)."""
-    salts = mix64(np.arange(1, REGISTERS // ROWS + 1, dtype=np.uint64))
+def _unknown(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes the table does not hold; they are put in, in the place of others."""
+    at = (hashes & np.uint64(KNOWN - 1)).astype(np.int64)
+    new = known[at] != hashes
+    known[at] = hashes
+    return new
+
+
+def _signed(rows: DataFrame, least: int, similarity: float) -> DataFrame:
+    """Per line: rk, doc_id, line, key (its form's name), h (64 bits of it), bands (where the task has not just told them; null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(KNOWN, np.uint64)
         for batch in slices(batches, "text", SLICE):
-            found = list(_lines(batch, "text", least))
-            # forms with shingles come first
-            forms = sorted(dict.fromkeys(x for _, _, x in found), key=lambda x: len(x) < SHINGLE)
-            place = {x: k for k, x in enumerate(forms)}
-            long = [x for x in forms if len(x) >= SHINGLE]
-            signs = signatures(shingle_runs(long)).astype(np.uint64).reshape(len(long), REGISTERS // ROWS, ROWS)
-            bands = np.broadcast_to(salts, signs.shape[:2]).copy()
-            for k in range(ROWS):
-                bands = mix64(bands * np.uint64(0xD6E8FEB86659FD93) + signs[:, :, k])
-            packed = [x.tobytes() for x in (bands >> np.uint64(32)).astype(np.uint32)] + [None] * (len(forms) - len(long))
+            found = list(_lines(batch, least))
+            place = {x: k for k, x in enumerate(dict.fromkeys(x for _, _, x in found))}
+            forms = list(place)
             names = [_name(x) for x in forms]
-            at = [place[x] for _, _, x in found]
-            rows_ = pa.array([i for i, _, _ in found], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("row").take(rows_), batch.column("doc_id").take(rows_), pa.array([j for _, j, _ in found], pa.int32()), pa.array([names[k] for k in at], pa.int64()), pa.array([packed[k] for k in at], pa.binary())], ["row", "doc_id", "line", "key", "bands"])
+            h = _hashes(names)
+            new = [k for k in np.flatnonzero(_unknown(known, h)).tolist() if len(forms[k]) >= SHINGLE]
+            told = dict(zip(new, bands_of([forms[k] for k in new], similarity)))
+            at = np.array([place[x] for _, _, x in found], np.int64)
+            bands = [told.pop(k, None) for k in at.tolist()]  # at its first line only
+            own = pa.array([i for i, _, _ in found], pa.int32())
+            columns = [batch.column("rk").take(own), batch.column("doc_id").take(own), pa.array([j for _, j, _ in found], pa.int32()), pa.array(names, pa.binary()).take(pa.array(at)), pa.array(h.view(np.int64)[at]), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["rk", "doc_id", "line", "key", "h", "bands"])
 
-    return rows.mapInArrow(run, "row long, doc_id long, line int, key long, bands binary")
+    return rows.mapInArrow(run, "rk binary, doc_id long, line int, key binary, h long, bands array<long>")
 
 
-def _bodies(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, n, body): shingle sets of the named classes, from their first lines."""
-    asked = keys.groupBy("row").agg(F.collect_set("line").alias("lines"))
-    told = rows.join(asked, "row").select("text", "lines")
+def _forms(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, form) of the classes wanted (key, h), read off the documents; staged."""
+    told = rows.sparkSession.sparkContext.broadcast(bloom.build(wanted.select("h")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(KNOWN, np.uint64)
         for batch in slices(batches, "text", SLICE):
-            lines = batch.column("lines").to_pylist()
-            wanted = [set(x) for x in lines]
-            forms = [x for i, j, x in _lines(batch, "text", SHINGLE) if j in wanted[i]]
-            sets = [np.unique(x) for x in shingle_runs(forms)]
-            yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in forms], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["key", "n", "body"])
+            forms = list(dict.fromkeys(x for _, _, x in _lines(batch, SHINGLE)))
+            names = [_name(x) for x in forms]
+            h = _hashes(names)
+            hit = np.flatnonzero(bloom.may_hold(told.value, h))
+            hit = hit[_unknown(known, h[hit])].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in hit], pa.binary()), pa.array([forms[k] for k in hit], pa.binary())], ["key", "form"])
 
-    return told.mapInArrow(run, "key long, n long, body binary")
+    found = rows.mapInArrow(run, "key binary, form binary").join(wanted.select("key"), "key", "left_semi")
+    return stage(found.groupBy("key").agg(F.first("form").alias("form")), "line-forms")
+
+
+def _sets(forms: list[bytes]) -> list[np.ndarray]:
+    values, counts = shingles_of(forms)
+    return [np.unique(x) for x in np.split(values, np.cumsum(counts)[:-1])] if forms else []
 
 
 def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -136,15 +202,19 @@ def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    side = lambda x: sets.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("body").alias(f"body_{x}"))
+def _verified(pairs: DataFrame, forms: DataFrame, percent: int) -> DataFrame:
+    side = lambda x: forms.select(F.col("key").alias(x), F.col("form").alias(f"form_{x}"))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = [_alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column("body_a"), batch.column("body_b"))]
-            yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+        for whole in batches:
+            for batch in slices(iter([whole]), "form_a", SLICE):
+                own = [x.to_pylist() for x in (batch.column("form_a"), batch.column("form_b"))]
+                place = {x: k for k, x in enumerate(dict.fromkeys(own[0] + own[1]))}
+                sets = _sets(list(place))
+                hit = [_alike(sets[place[x]], sets[place[y]], percent) for x, y in zip(*own)]
+                yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "body_a", "body_b").mapInArrow(confirm, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "form_a", "form_b").mapInArrow(confirm, "a binary, b binary")
 
 
 def _compared(blocks: DataFrame, percent: int) -> DataFrame:
@@ -152,42 +222,68 @@ def _compared(blocks: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for left, right in zip(batch.column("askers"), batch.column("others")):
                 x, y = left.as_py(), right.as_py()
-                a = [r["key"] for r in x for _ in y]
-                b = [o["key"] for _ in x for o in y]
-                sets = {r["key"]: np.frombuffer(r["body"], np.uint64) for r in x + y}
+                sets = dict(zip([r["key"] for r in x + y], _sets([r["form"] for r in x + y])))
+                a, b = [r["key"] for r in x for _ in y], [o["key"] for _ in x for o in y]
                 found = spanning(a, b, {r["key"]: r["c"] for r in x + y}, lambda k, a=a, b=b, sets=sets: _alike(sets[a[k]], sets[b[k]], percent), range(len(a)))
-                yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in found], pa.int64()), pa.array([b[k] for k in found], pa.int64())], ["a", "b"])
-
-    return blocks.mapInArrow(run, "a long, b long")
-
-
-def line_components(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """Staged rows (row, own, doc_id, text), and per line of ``least`` bytes and more: row, line, key, component, kept."""
-    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("own")
-    # rows get a number once, written down, so that lines can name their row
-    rows = stage(docs.select(F.monotonically_increasing_id().alias("row"), own, F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), "line-docs")
-    lines = stage(_signed(rows.select("row", "doc_id", "text"), least), "lines")
-    place = F.struct("doc_id", "line", "row")
-    classes = stage(lines.groupBy("key").agg(F.min(place).alias("first"), F.first("bands").alias("bands")), "line-classes")
-    hashes = F.array(*[F.xxhash64(F.lit(i), F.substring("bands", 1 + 4 * i, 4)) for i in range(REGISTERS // ROWS)])
-    buckets = shared_buckets(classes.filter("bands IS NOT NULL"), hashes)
-    seen = classes.select("key", "first").join(buckets.select("key").distinct(), "key", "left_semi")
-    sets = stage(_bodies(rows.select("row", "text"), seen.select("key", "first.row", "first.line")).dropDuplicates(["key"]), "line-sets")
+                yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in found], pa.binary()), pa.array([b[k] for k in found], pa.binary())], ["a", "b"])
+
+    return blocks.mapInArrow(run, "a binary, b binary")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column, Column]:
+    """A digest of id and text, the id, the text."""
+    own, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    return F.unhex(F.md5(F.concat_ws("|", F.coalesce(own.cast("string"), F.lit("")), own.isNull().cast("string"), text))), own.cast("long"), text
+
+
+def line_components(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+    """(rk, line, kept): the lines of ``least`` bytes and more whose component holds several lines; rk is a digest of id and text.
+
+    Rows that repeat id and text have one rk; their lines come as often as they do, all kept or all not."""
+    rk, own_id, text = _keyed(docs, id_col, text_col)
+    rows = docs.select(rk.alias("rk"), own_id.alias("doc_id"), text.alias("text"))
+    lines = stage(_signed(rows, least, similarity), "lines")
+    place = F.struct("doc_id", "line", "rk")
+    classes = stage(lines.groupBy("key").agg(F.first("h").alias("h"), F.min(place).alias("first"), F.count("*").alias("n")), "line-classes")
+    shared = shared_buckets(lines.filter("bands IS NOT NULL").select(F.col("h").alias("key"), "bands"))
+    named = shared.withColumnRenamed("key", "h").join(classes.select("h", "key"), "h")
+    buckets = stage(named.select("band", "key", "size"), "line-buckets")
+    discard(shared)
+    wanted = stage(classes.select("key", "h").join(buckets.select("key").distinct(), "key", "left_semi"), "line-candidates")
+    forms = _forms(rows.select("text"), wanted)
+    forget_shuffles(docs.sparkSession)
     percent = round(similarity * 100)
-    joined = bucket_components(buckets, lambda pairs: _verified(pairs, sets, percent), sets, lambda blocks: _compared(blocks, percent))
-    named = classes.select("key", "first").join(joined.withColumnRenamed("node", "key"), "key", "left").select("key", "first", F.coalesce("component", "key").alias("component"))
-    best = named.groupBy("component").agg(F.min("first").alias("stays"))
-    told = named.join(best, "component").select("key", "component", "stays")
-    out = lines.select("row", "doc_id", "line", "key").join(told, "key")
-    return rows, out.select("row", "line", "key", "component", (F.col("stays") == place).alias("kept"))
+    joined = bucket_components(buckets, lambda pairs: _verified(pairs, forms, percent), forms, lambda blocks: _compared(blocks, percent), F.length("form"))
+    # classes with several lines, and those with links; the class that names a component has no row of its own
+    tops = joined.select(F.col("component").alias("node"), "component").distinct()
+    joined = joined.unionByName(tops).groupBy("node").agg(F.min("component").alias("component"))
+    linked = classes.join(joined.withColumnRenamed("node", "key"), "key", "left").filter("n > 1 OR component IS NOT NULL").select("key", "n", "first", F.coalesce("component", "key").alias("component"))
+    linked = stage(linked, "line-linked")
+    best = linked.groupBy("component").agg(F.min("first").alias("stays"))
+    told = stage(linked.join(best, "component").select("key", "n", "stays"), "line-told")
+    total = lines.count()
+    hot = F.col("n") > max(SHARE, total // SHARE)
+    own = lines.select("rk", "doc_id", "line", "key")
+    first = told.filter(hot).select(F.col("key").alias("hot"), F.col("stays").alias("hot_stays"))
+    marked = own.join(F.broadcast(first), F.col("key") == F.col("hot"), "left")
+    rest = marked.filter("hot IS NULL").drop("hot", "hot_stays").join(told.filter(~hot).select("key", "stays"), "key")
+    both = marked.filter("hot IS NOT NULL").select("rk", "doc_id", "line", F.col("hot_stays").alias("stays")).unionByName(rest.select("rk", "doc_id", "line", "stays"))
+    return both.select("rk", "line", (F.col("stays") == place).alias("kept"))
 
 
 def drop_similar_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """``docs`` with lines taken out of the text column, and n_lines, n_dropped. ``least`` of 1 settles every line that is not blank."""
-    rows, lines = line_components(docs, similarity, id_col, text_col, least)
-    gone = lines.filter("NOT kept").groupBy("row").agg(F.collect_list("line").alias("gone"))
-    parts = F.split("text", "\n")
-    left = F.filter(parts, lambda x, i: ~F.array_contains("gone", i))
-    told = rows.join(gone, "row", "left")
-    kept = [F.col(f"own.`{c}`").alias(c) if c != text_col else F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return told.select(*kept, F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    lines = line_components(docs, similarity, id_col, text_col, least)
+    by_row = lines.groupBy("rk").agg(F.collect_set("line").alias("all"), F.collect_set(F.when(~F.col("kept"), F.col("line"))).alias("gone"), F.count("*").alias("told"))
+    by_row = stage(by_row.select("rk", F.when(F.col("told") > F.size("all"), F.col("all")).alias("all"), "gone").filter("all IS NOT NULL OR size(gone) > 0"), "line-drops")
+    forget_shuffles(docs.sparkSession)
+    rk, _, text = _keyed(docs, id_col, text_col)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(0)).alias("own"), rk.alias("rk"), text.alias("text"))
+    told = rows.join(by_row, "rk", "left")
+    # of rows that repeat id and text, all lines of the second and later ones go
+    told = told.withColumn("nth", F.row_number().over(Window.partitionBy("rk").orderBy(F.lit(0))))
+    gone = F.when(F.col("all").isNotNull() & (F.col("nth") > 1), F.col("all")).otherwise(F.col("gone"))
+    told = told.select("own", "text", gone.alias("gone"), F.split("text", "\n").alias("parts"))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone")), lambda i: F.get("parts", i))
+    kept = [F.col(f"own.`{c}`").alias(c) if c != text_col else F.when(F.size("gone") > 0, F.array_join(left, "\n")).otherwise(F.col("text")).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return told.select(*kept, F.coalesce(F.size("parts"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))

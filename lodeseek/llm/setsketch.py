@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeseek.llm import bloom
 from lodeseek.llm.bpe import slices
 from lodeseek.llm.buckets import bucket_components, shared_buckets, spanning
 from lodeseek.llm.shingles import mix64, shingle_sets
@@ -104,47 +105,20 @@ def sketches(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, key binary, n long, regs binary")
 
 
-def _bloom(ids: DataFrame) -> tuple[np.ndarray, int]:
-    """A Bloom filter over longs, of 16 bits for each of them, 32 MB at most; a full one lets more pass, which joins then drop."""
-    bits = 1 << min(28, max(16, int(ids.count() * 16).bit_length()))
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(bits, np.bool_)
-        for batch in batches:
-            for at in _places(batch.column(0).to_numpy(zero_copy_only=False), bits):
-                held[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(held).tobytes()], pa.binary())], ["bits"])
-
-    found = np.zeros(bits // 8, np.uint8)
-    for row in ids.coalesce(4).mapInArrow(build, "bits binary").toLocalIterator():
-        found |= np.frombuffer(row.bits, np.uint8)
-    return found, bits
-
-
-def _places(values: np.ndarray, bits: int) -> list[np.ndarray]:
-    h = mix64(values.astype(np.int64).view(np.uint64))
-    return [((h >> np.uint64(k * 9)) & np.uint64(bits - 1)).astype(np.int64) for k in range(4)]
-
-
 def sets_of(docs: DataFrame, classes: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """(key, body) of the classes (key, first_id): shingle sets read off the documents anew; a Bloom filter spares all other documents."""
-    held, bits = _bloom(classes.filter("first_id is not null").select("first_id"))
-    told = docs.sparkSession.sparkContext.broadcast(held)
+    told = docs.sparkSession.sparkContext.broadcast(bloom.build(classes.filter("first_id is not null").select(F.xxhash64("first_id"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
-            values = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            mask = np.asarray(ids.is_null())
-            hit = np.ones(len(values), bool)
-            for at in _places(values, bits):
-                hit &= (told.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-            for part in slices(iter([batch.filter(pa.array(hit | mask))]), "text", SLICE):
+            hit = bloom.may_hold(told.value, batch.column("h").to_numpy().view(np.uint64)) | np.asarray(batch.column("doc_id").is_null())
+            for part in slices(iter([batch.filter(pa.array(hit))]), "text", SLICE):
                 sets = [x for x in shingle_sets(part.column("text"), words) if len(x)]
                 keys = [hashlib.blake2b(x, digest_size=16).digest() for x in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["key", "body"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    own = F.col(f"`{id_col}`").cast("long")
+    rows = docs.select(own.alias("doc_id"), F.xxhash64(own).alias("h"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(run, "key binary, body binary")
 
 
@@ -216,11 +190,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     classes = stage(members.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
     width = 2 * ROWS
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 1 + i * width, width)) for i in range(REGISTERS // ROWS)])
-    buckets = shared_buckets(classes, bands)
+    buckets = shared_buckets(classes.select("key", bands.alias("bands")))
     seen = stage(classes.join(buckets.select("key").distinct(), "key", "left_semi"), "candidates")
     sets = stage(sets_of(docs, seen, words, id_col, text_col).join(seen.select("key"), "key", "left_semi"), "sets")
     nodes = seen.select("key", "n", "regs").join(sets.select("key", "body"), "key")
-    joined = bucket_components(buckets, lambda pairs: _verified(pairs, seen, sets, percent), nodes, lambda blocks: _compared(blocks, percent))
+    joined = bucket_components(buckets, lambda pairs: _verified(pairs, seen, sets, percent), nodes, lambda blocks: _compared(blocks, percent), F.length("body"))
 
     told = classes.join(joined.withColumnRenamed("node", "key"), "key", "left").select("key", "first_id", F.coalesce("component", "key").alias("c"))
     least = told.groupBy("c").agg(F.min("first_id").alias("component_id"))
