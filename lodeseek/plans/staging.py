@@ -55,6 +55,11 @@ def discard(df: DataFrame) -> None:
         _staged.discard(path)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner take away the shuffle files of plans that nothing refers to any more; it acts when the driver collects garbage."""
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
