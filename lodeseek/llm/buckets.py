@@ -59,7 +59,7 @@ def _hot_bands(classes: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _shared_runs(sorted_rows: DataFrame) -> DataFrame:
-    """(band, key, size) of the bands with two keys at least, from rows (band, key) sorted within partitions; repeats once."""
+    """(band, key, size) of the bands with two keys at least, from rows (band, key) sorted by band within partitions; repeats once."""
 
     def columns(batch: pa.RecordBatch) -> np.ndarray:
         keys = batch.column("key")
@@ -68,7 +68,18 @@ def _shared_runs(sorted_rows: DataFrame) -> DataFrame:
         return np.frombuffer(b"".join(keys.to_pylist()), np.int64).reshape(batch.num_rows, -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(bands: np.ndarray, keys: np.ndarray, heads: np.ndarray) -> pa.RecordBatch:
+        def told(bands: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+            alone = np.ones(len(bands) + 1, bool)
+            alone[1:-1] = bands[1:] != bands[:-1]
+            near = ~(alone[1:] & alone[:-1])
+            bands, keys = bands[near], keys[near]
+            order = np.lexsort((*keys.T, bands))
+            bands, keys = bands[order], keys[order]
+            heads = np.ones(len(bands), bool)
+            heads[1:] = bands[1:] != bands[:-1]
+            fresh = heads.copy()
+            fresh[1:] |= (keys[1:] != keys[:-1]).any(axis=1)
+            bands, keys, heads = bands[fresh], keys[fresh], np.flatnonzero(heads[fresh])
             sizes = np.diff(np.append(heads, len(bands)))
             sizes = np.repeat(sizes, sizes)
             many = sizes > 1
@@ -83,19 +94,15 @@ def _shared_runs(sorted_rows: DataFrame) -> DataFrame:
             own = columns(batch)
             bands = batch.column("band").to_numpy() if bands is None else np.concatenate([bands, batch.column("band").to_numpy()])
             keys = own if keys is None else np.concatenate([keys, own])
-            new = np.ones(len(bands), bool)
-            new[1:] = bands[1:] != bands[:-1]
-            fresh = new.copy()
-            fresh[1:] |= (keys[1:] != keys[:-1]).any(axis=1)
-            bands, keys, heads = bands[fresh], keys[fresh], np.flatnonzero(new[fresh])
-            cut = heads[-1]  # the last run may go on
-            yield told(bands[:cut], keys[:cut], heads[:-1])
-            bands, keys = bands[cut:], keys[cut:]
-            if len(bands) > HELD:  # told in parts; the last row stays, so what follows still counts as shared
-                yield told(bands, keys, np.zeros(1, np.int64))
-                bands, keys = bands[-1:], keys[-1:]
+            cut = int(np.searchsorted(bands, bands[-1]))  # the last run may go on
+            if len(bands) - cut > HELD:  # told in parts, each with the first row, so all of them count as shared
+                yield told(bands, keys)
+                bands, keys = bands[[cut, -1]], keys[[cut, -1]]
+            elif cut:
+                yield told(bands[:cut], keys[:cut])
+                bands, keys = bands[cut:], keys[cut:]
         if bands is not None:
-            yield told(bands, keys, np.zeros(1, np.int64))
+            yield told(bands, keys)
 
     kind = sorted_rows.schema["key"].dataType
     schema = T.StructType([T.StructField("band", T.LongType()), T.StructField("key", kind), T.StructField("size", T.LongType())])
@@ -111,7 +118,7 @@ def shared_buckets(classes: DataFrame) -> DataFrame:
     hot, n_hot = _hot_bands(classes)
     spread = classes.select("key", F.explode("bands").alias("band"))
     rest = spread.join(F.broadcast(hot), F.col("band") == F.col("hot"), "left_anti") if n_hot else spread
-    found = _shared_runs(rest.select("band", "key").repartition("band").sortWithinPartitions("band", "key"))
+    found = _shared_runs(rest.select("band", "key").repartition("band").sortWithinPartitions("band"))
     if n_hot:
         own = spread.join(F.broadcast(hot), F.col("band") == F.col("hot"), "left_semi").select("band", "key").distinct()
         sizes = own.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").withColumnRenamed("band", "hot")

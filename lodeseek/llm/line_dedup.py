@@ -37,10 +37,12 @@ from lodeseek.plans.staging import discard, forget_shuffles, stage
 SHINGLE, SIMILARITY, LEAST = 9, 0.8, 20
 REGISTERS, ROWS = 48, 4
 #: Distinct shingles from which minima of bins take over.
-BINNED = 192
+BINNED = 96
 #: Cells in which distinct shingles of a line are counted, from below.
 CELLS = 2048
 SLICE = 500_000
+#: Bytes of lines that are signed at once.
+SIGNED_AT_ONCE = 100_000
 #: Lines known to a task at once, as signed or sent before.
 KNOWN = 1 << 18
 #: A class with more than one in so many of all lines is broadcast; there are no more than that.
@@ -97,13 +99,11 @@ def _by_bins(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     holes = np.flatnonzero((out == _NONE).any(axis=1))
     if len(holes):
         told = out[holes]
-        empty = told == _NONE
-        filled, open_ = told.copy(), empty.copy()
-        for step in range(1, REGISTERS):
-            take = open_ & ~np.roll(empty, -step, axis=1)
-            filled[take] = (np.roll(told, -step, axis=1) + np.uint32(step * 0x9E3779B1 & 0xFFFFFFFF))[take]
-            open_ &= ~take
-        out[holes] = filled
+        at = np.arange(2 * REGISTERS)
+        full = np.where(np.tile(told != _NONE, 2), at, 2 * REGISTERS)
+        after = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1][:, :REGISTERS]  # the next full bin
+        steps = (after - at[:REGISTERS]).astype(np.uint32)
+        out[holes] = np.take_along_axis(told, after % REGISTERS, axis=1) + steps * np.uint32(0x9E3779B1)
     return out
 
 
@@ -118,6 +118,18 @@ def _banded(signs: np.ndarray, salt: int) -> np.ndarray:
 
 def bands_of(forms: list[bytes], similarity: float = SIMILARITY) -> list[np.ndarray]:
     """Band hashes of each form: of none, one or both signatures. Two forms that are similar have one kind in common."""
+    out, start = [], 0
+    while start < len(forms):  # blocks that stay in the processor's cache
+        stop, held = start, 0
+        while stop < len(forms) and (stop == start or held + len(forms[stop]) <= SIGNED_AT_ONCE):
+            held += len(forms[stop])
+            stop += 1
+        out += _bands_of(forms[start:stop], similarity)
+        start = stop
+    return out
+
+
+def _bands_of(forms: list[bytes], similarity: float) -> list[np.ndarray]:
     values, counts = shingles_of(forms)
     out = [np.zeros(0, np.int64)] * len(forms)
     cell = np.zeros(len(forms) * CELLS, bool)
@@ -223,7 +235,15 @@ def _compared(blocks: DataFrame, percent: int) -> DataFrame:
             for left, right in zip(batch.column("askers"), batch.column("others")):
                 x, y = left.as_py(), right.as_py()
                 sets = dict(zip([r["key"] for r in x + y], _sets([r["form"] for r in x + y])))
-                a, b = [r["key"] for r in x for _ in y], [o["key"] for _ in x for o in y]
+                bins_x, bins_y = (np.array([np.bincount((sets[r["key"]] >> np.uint64(56)).astype(np.int64), minlength=256) for r in own]) for own in (x, y))
+                n_y, c_y = bins_y.sum(axis=1), np.array([r["c"] for r in y], object)
+                a, b = [], []
+                for i, r in enumerate(x):
+                    # no more shingles in common than the smaller number in each bin
+                    most, both = np.minimum(bins_x[i], bins_y).sum(axis=1), bins_x[i].sum() + n_y
+                    near = np.flatnonzero((100 * most >= percent * (both - most)) & (c_y != r["c"])).tolist()
+                    a += [r["key"]] * len(near)
+                    b += [y[j]["key"] for j in near]
                 found = spanning(a, b, {r["key"]: r["c"] for r in x + y}, lambda k, a=a, b=b, sets=sets: _alike(sets[a[k]], sets[b[k]], percent), range(len(a)))
                 yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in found], pa.binary()), pa.array([b[k] for k in found], pa.binary())], ["a", "b"])
 
