@@ -1,12 +1,16 @@
 """BPE encoding and decoding by tree concatenation.
 
-A text is split into the pieces of the tokenizer's own pre-tokenizer. Short pieces are encoded by the
-tokenizers library, once each, and kept in a bounded cache. A long piece, which nothing splits, is cut into
-halves down to leaves, the leaves are encoded in parallel threads, and the tree is joined upwards: around a join
-a growing window is encoded anew until its first token is the left side's and its last token the right
-side's. Then every adjacent pair of tokens stands in one exact encoding (of the left half, the window or the
-right half), and a BPE sequence whose adjacent pairs are all exact is the exact encoding of the whole; a
-window that has grown to both halves is exact in itself.
+A text is cut into halves down to leaves of ``LEAF`` bytes at most. Every leaf is encoded on its own, all leaves of a batch side by
+side; then the tree is joined upwards, all joins of one level side by side. Around a join a window is encoded anew. It starts
+where a piece of the left half starts so far from the cut that what follows cannot move it (``MARGIN``), and it grows
+until one of its pieces, behind the cut and as far from the window's end, starts where a piece of the right half does. The
+tokenizer's splitting remembers nothing across a start of a piece, so left half, window and right half then agree with
+the encoding of the whole. A window that has grown to the end of the right half is exact in itself.
+
+A piece that is longer than a leaf, which nothing splits, has a tree of its own, joined by tokens: a window is encoded anew until its first
+token is the left side's and its last token the right side's. Then every adjacent pair of tokens stands in one exact encoding
+(of the left half, the window or the right half), and a BPE sequence whose adjacent pairs are all exact is the exact
+encoding of the whole. Short pieces are encoded by the tokenizers library, once each, and kept in a bounded cache.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; strings of added tokens in a
 text become their ids, as in the library; other columns pass through, and a column that has the name of the
@@ -30,8 +34,12 @@ from pyspark.sql import types as T
 
 from lodeseek.llm.shingles import mix64, powers
 
-#: Bytes of the largest piece that is encoded as one.
+#: Bytes of the largest leaf of a tree.
 LEAF = 1024
+#: Bytes that hold the three characters which can decide, at most, where a piece before them ends.
+MARGIN = 12
+#: Bytes of a window behind the cut, at first.
+WIDTH = 48
 #: Pieces kept; the cache is emptied when it is full.
 CACHE = 250_000
 #: Characters of text that are turned into Python objects at once.
@@ -114,6 +122,7 @@ class TreeBpe:
         self.split_added = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.leaf, self.most, self.threads = leaf, cache, threads
         self.cache: dict[str, bytes] = {}
+        self.joins = 0
 
     # encoding
 
@@ -149,10 +158,13 @@ class TreeBpe:
             level = [self._join(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         return np.asarray(level[0], np.int32).tobytes()
 
-    def _pieces(self, text: str) -> list[bytes]:
-        """The library's own splitting."""
-        back = {ord(c): b for b, c in self.letters.items()}
-        return [bytes(back[ord(c)] for c in piece) for piece, _ in self.full.pre_tokenizer.pre_tokenize_str(text)]
+    def _library_starts(self, body: np.ndarray, heads: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """As piece_starts, by the library's own splitting."""
+        data, split, out = body.tobytes(), self.full.pre_tokenizer.pre_tokenize_str, []
+        for a, b in zip(heads.tolist(), ends.tolist()):
+            sizes = np.array([len(piece) for piece, _ in split(data[a:b].decode())], np.int64)
+            out.append(a + np.cumsum(sizes) - sizes)
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
 
     def _encode_new(self, new: list[bytes]) -> dict[bytes, bytes]:
         """Short pieces go through the library in long strings, split at the letter of byte 0, which none of them has."""
@@ -185,26 +197,96 @@ class TreeBpe:
                 coded[i] = made[pieces[i]]
         return coded
 
-    def _encode_plain(self, texts: list[str]) -> list[bytes]:
-        """Texts of the characters of _PLAIN: split as a whole, and each different piece of them looked up once."""
+    def _coded(self, data: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """Ids of the different pieces, and which of them each piece is."""
+        if not len(starts):
+            return [], np.zeros(0, np.int64)
+        body = np.frombuffer(data, np.uint8)[starts[0] : stops[-1]].astype(np.uint64) + np.uint64(1)
+        up, down = powers(len(body))
+        sums = np.zeros(len(body) + 1, np.uint64)
+        np.cumsum(body * up, out=sums[1:])
+        hashes = mix64((sums[stops - starts[0]] - sums[starts - starts[0]]) * down[starts - starts[0]])
+        _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        return self._ids_of([data[i:j] for i, j in zip(starts[first].tolist(), stops[first].tolist())]), inverse
+
+    def _cuts(self, body: np.ndarray, head: int, end: int) -> np.ndarray:
+        """Where the leaves of a text begin and end: halves of halves, at characters' first bytes."""
+        levels = max(0, -(-(end - head) // self.leaf) - 1).bit_length()
+        cuts = head + (np.arange((1 << levels) + 1) * (end - head) >> levels)
+        for _ in range(3):
+            inner = cuts[1:-1]
+            inner += body[inner] & 0xC0 == 0x80
+        return cuts
+
+    def _join_level(self, body: np.ndarray, mask: np.ndarray, lo: np.ndarray, mid: np.ndarray, hi: np.ndarray, starts_of: Callable) -> None:
+        """Join the halves [lo, mid) and [mid, hi): ``mask`` says where pieces start."""
+        self.joins += len(lo)
+        width = WIDTH
+        while len(lo):
+            starts = np.flatnonzero(mask)
+            b = starts[np.searchsorted(starts, np.maximum(lo, mid - MARGIN), "right") - 1]
+            e = np.minimum(hi, mid + width)
+            for _ in range(3):
+                e -= (e < hi) & (body[np.minimum(e, len(body) - 1)] & 0xC0 == 0x80)
+            sizes = e - b
+            ends = np.cumsum(sizes)
+            heads = ends - sizes
+            at = np.repeat(b - heads, sizes) + np.arange(int(ends[-1]))
+            found = starts_of(body[at], heads, ends)
+            owner = np.searchsorted(heads, found, "right") - 1
+            found = at[found]
+            agreed = np.where(e == hi, hi, -1)
+            meets = np.flatnonzero((found >= mid[owner]) & (found <= e[owner] - MARGIN) & mask[found] & (agreed[owner] < 0))
+            agreed[owner[meets[::-1]]] = found[meets[::-1]]  # the first one is written last
+            done = agreed >= 0
+            spans = (agreed - b)[done]
+            mask[np.repeat(b[done] - (np.cumsum(spans) - spans), spans) + np.arange(int(spans.sum()))] = False
+            mask[found[done[owner] & (found < agreed[owner])]] = True
+            lo, mid, hi = lo[~done], mid[~done], hi[~done]
+            width *= 2
+
+    def _encode_trees(self, texts: list[str], starts_of: Callable) -> list[bytes]:
+        """The ids of texts, none empty: leaves encoded, then joined level by level."""
         bodies = [x.encode() for x in texts]
         data = b"".join(bodies)
+        body = np.frombuffer(data, np.uint8)
         ends = np.cumsum([len(x) for x in bodies])
         heads = ends - [len(x) for x in bodies]
-        starts = piece_starts(np.frombuffer(data, np.uint8), heads, ends)
+        cuts = [self._cuts(body, a, b) for a, b in zip(heads.tolist(), ends.tolist())]
+        leaf_heads, leaf_ends = np.concatenate([x[:-1] for x in cuts]), np.concatenate([x[1:] for x in cuts])
+        leaf_starts = starts_of(body, leaf_heads, leaf_ends)
+        leaf_stops = np.append(leaf_starts[1:], len(data))
+        coded, leaf_code = self._coded(data, leaf_starts, leaf_stops)
+        mask = np.zeros(len(data) + 1, bool)
+        mask[leaf_starts] = True
+        step = 1
+        while cuts := [x for x in cuts if len(x) > step + 1]:
+            lo, mid, hi = (np.concatenate([x[k::2 * step][: len(x) // (2 * step)] for x in cuts]) for k in (0, step, 2 * step))
+            self._join_level(body, mask, lo, mid, hi, starts_of)
+            step *= 2
+        starts = np.flatnonzero(mask)
         stops = np.append(starts[1:], len(data))
-        up, down = powers(len(data))
-        hashes = mix64(np.add.reduceat((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * up, starts) * down[starts])
-        _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        coded = self._ids_of([data[i:j] for i, j in zip(starts[first].tolist(), stops[first].tolist())])
+        # pieces that no window changed keep their leaf's ids
+        at = np.minimum(np.searchsorted(leaf_starts, starts), len(leaf_starts) - 1)
+        same = (leaf_starts[at] == starts) & (leaf_stops[at] == stops)
+        code = np.where(same, leaf_code[at], 0)
+        more, new_code = self._coded_apart(data, starts[~same], stops[~same])
+        code[~same] = new_code + len(coded)
+        coded = coded + more
         sizes = np.array([len(x) for x in coded], np.int64) // 4
         flat = np.frombuffer(b"".join(coded), np.int32)
-        lens = sizes[inverse]
+        lens = sizes[code]
         before = np.cumsum(lens) - lens
-        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[inverse] - before, lens) + np.arange(int(lens.sum()))]
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[code] - before, lens) + np.arange(int(lens.sum()))]
         cuts = np.append(before, len(ids))[np.searchsorted(starts, np.append(heads, len(data)))].tolist()
-        body = ids.tobytes()
-        return [body[4 * i : 4 * j] for i, j in zip(cuts, cuts[1:])]
+        out = ids.tobytes()
+        return [out[4 * i : 4 * j] for i, j in zip(cuts, cuts[1:])]
+
+    def _coded_apart(self, data: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """As _coded, for few pieces here and there."""
+        pieces = [data[i:j] for i, j in zip(starts.tolist(), stops.tolist())]
+        place = {x: k for k, x in enumerate(dict.fromkeys(pieces))}
+        return self._ids_of(list(place)), np.array([place[x] for x in pieces], np.int64)
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text. Collecting garbage among millions of short-lived strings would only cost time."""
@@ -218,11 +300,14 @@ class TreeBpe:
         out: list[bytes] = [b""] * len(texts)
         plain = [i for i, x in enumerate(texts) if x and not _OTHER.search(x) and not any(a in x for a in self.added)]
         if plain:
-            for i, ids in zip(plain, self._encode_plain([texts[i] for i in plain])):
+            for i, ids in zip(plain, self._encode_trees([texts[i] for i in plain], piece_starts)):
                 out[i] = ids
-        for i in {i for i, x in enumerate(texts) if x} - set(plain):
-            runs = self.split_added.split(texts[i]) if self.split_added else [texts[i]]
-            out[i] = b"".join([self.added[run] if k % 2 else b"".join(self._ids_of(self._pieces(run))) for k, run in enumerate(runs) if run])
+        rest = [i for i in sorted({i for i, x in enumerate(texts) if x} - set(plain))]
+        runs = [self.split_added.split(texts[i]) if self.split_added else [texts[i]] for i in rest]
+        between = [run for own in runs for run in own[::2] if run]
+        made = iter(self._encode_trees(between, self._library_starts) if between else [])
+        for i, own in zip(rest, runs):
+            out[i] = b"".join([self.added[run] if k % 2 else next(made) for k, run in enumerate(own) if run])
         return out
 
     # decoding

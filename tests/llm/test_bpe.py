@@ -82,3 +82,21 @@ def test_many_short_texts_at_once():
     tree = bpe.TreeBpe(PATH)
     texts = ["".join(rng.choice("'''stmdrevl  \n\t!1éa") for _ in range(rng.randrange(12))) for _ in range(4000)]
     same(tree, texts + ["日本", "<|endoftext|>'s", "x²'s"])
+
+
+def test_trees_of_real_documents():
+    import pyarrow.parquet as pq
+
+    texts = [x for x in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column("text").to_pylist() if x]
+    tree = bpe.TreeBpe(PATH)
+    same(tree, texts)
+    assert tree.joins >= sum(len(x.encode()) > 2 * bpe.LEAF for x in texts) > 10
+
+
+@pytest.mark.parametrize("leaf", [8, 16, 40])
+def test_cuts_at_hard_places(leaf):
+    rng = random.Random(leaf)
+    tree = bpe.TreeBpe(PATH, leaf=leaf)
+    parts = ["'ll", "'", "'re", "re", " ", "  ", "\n", "\t \n", "a", "word", "7", "2024", "!?", "é", "日本", "𝔘", "\u00a0", "\u3000", "²", "don't", "'S"]
+    same(tree, ["".join(rng.choice(parts) for _ in range(n)) for n in [2, 5, 9, 20, 60, 200] * 40])
+    assert tree.joins > 10_000 // leaf
