@@ -6,10 +6,17 @@ within its format's own domain, its number is split into two digits of a mixed b
 rounds add a keyed digest of one to the other. Every round can be undone, so the map is a permutation of the domain:
 equal values get equal pseudonyms in all documents, different ones different pseudonyms, separators stay, and
 the result is valid again (check digits are computed anew). E-mail names of letters and digits are permuted as
-numbers of base 36; of a name of more than 24 the rest becomes a keyed digest.
+numbers of base 36, block by block of 24.
+
+Slash dates are read with the day first where that is a date, else with the month first. The latter have a day of 13 or more, and so
+have their pseudonyms: both readings are permuted apart, and no two dates get one text. A phone number's country code is the one that
+the international plan assigns, so a number has one pseudonym however it is written.
+
+Each pattern looks at a character a bounded number of times, also in texts without any break: what is repeated without bound is
+possessive and starts at a boundary only. A host has at most 126 labels before its last one.
 
 Defined cases: a null text stays null; what fails validation stays as it is; an empty text and an empty table are
-fine; rows that repeat get equal results; other columns pass through, and columns named like a result are replaced.
+fine; rows that repeat get equal results; other columns pass through, whatever their names, and columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -24,15 +31,19 @@ from lodeseek.llm.words import held
 ROUNDS = 8
 KINDS = ["email", "ip", "date", "ssn", "phone", "card"]
 
-_EMAIL = r"[A-Za-z0-9._%+-]*[A-Za-z0-9]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?<=[A-Za-z0-9])@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}+"
 _IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])"
 _DATE = r"(?<![0-9-])(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?![0-9-])|(?<![0-9./])[0-3]?[0-9]([./])[0-3]?[0-9]\1(?:19|20)[0-9]{2}(?![0-9/])|(?<![0-9./])(?:19|20)[0-9]{2}/[01]?[0-9]/[0-3]?[0-9](?![0-9/])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _PHONE = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])|(?<![0-9(-])\([0-9]{3}\)[0-9]{3}[ .-]?[0-9]{4}(?![0-9-])|(?<![0-9(-])(?<![0-9][.,])[2-9][0-9]{2}[ -]?[0-9]{3}[ -]?[0-9]{4}(?![0-9-]|[.,][0-9])"
 _CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 PATTERN = "|".join([_EMAIL, _IP, _DATE, _SSN, _PHONE, _CARD])
+# The shape of country codes in the international numbering plan.
+_COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})"
 #: Days from 1900-01-01 to 2099-12-31 are 17 * 4297.
 _FIRST_DAY, _DAYS = "1900-01-01", (17, 4297)
+#: Days of these that are the 13th or later, a prime number; all but one are 8 * 5531.
+_LATE, _LATE_DAYS = 44249, (8, 5531)
 
 
 def _digest(key: str, *parts: Column | str) -> Column:
@@ -41,7 +52,7 @@ def _digest(key: str, *parts: Column | str) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
 
 
-def feistel(left: Column, right: Column, a: Column, b: Column, key: str, kind: str) -> Column:
+def feistel(left: Column, right: Column, a: Column, b: Column, key: str, kind: Column | str) -> Column:
     """Struct (l, r), a permutation of the pairs below (a, b)."""
 
     def turn(pair: Column, i: Column) -> Column:
@@ -58,7 +69,7 @@ def _only(text: Column, kept: str) -> Column:
     return F.regexp_replace(text, f"[^{kept}]", "")
 
 
-def _permuted(digits: Column, base: int, key: str, kind: str) -> Column:
+def _permuted(digits: Column, base: int, key: str, kind: Column | str) -> Column:
     """A string of 2 to 24 digits of the base, as another of its length."""
     n = F.length(digits)
     h = F.floor(n / 2).cast("int")
@@ -97,7 +108,7 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    country = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])|^\+[0-9]", 0)
+    country = F.regexp_extract(m, _COUNTRY, 0)
     rest = F.substr(m, F.length(country) + 1, F.length(m))
     return F.concat(country, _refilled(rest, _permuted(_only(rest, "0-9"), 10, key, "phone"), "0-9"))
 
@@ -121,26 +132,63 @@ def _ssn(m: Column, key: str) -> Column:
     return F.when(good, F.transform(F.array(pair), text)[0]).otherwise(m)
 
 
-def _day_text(form: str) -> Callable[[Column], Column]:
-    return lambda p: F.date_format(F.date_add(F.lit(_FIRST_DAY).cast("date"), (p["l"] * _DAYS[1] + p["r"]).cast("int")), form)
+def _day(year: Column, month: Column, day: Column) -> Column:
+    """The date, or null if there is none."""
+    two = lambda x: F.lpad(x, 2, "0")
+    return F.try_to_timestamp(F.concat_ws("-", year, two(month), two(day)), F.lit("yyyy-MM-dd")).cast("date")
+
+
+def _other_day(day: Column, key: str) -> Column:
+    """An array of one date, to be used more than once."""
+    number = F.datediff(day, F.lit(_FIRST_DAY).cast("date")).cast("long")
+    pair = feistel(F.floor(number / _DAYS[1]), F.pmod(number, F.lit(_DAYS[1])), F.lit(_DAYS[0]), F.lit(_DAYS[1]), key, "date")
+    return F.transform(F.array(pair), lambda p: F.date_add(F.lit(_FIRST_DAY).cast("date"), (p["l"] * _DAYS[1] + p["r"]).cast("int")))
+
+
+def _other_late_day(day: Column, key: str) -> Column:
+    """As _other_day, among the days that are the 13th of their month or later.
+
+    Shifted, permuted but for the last number, and shifted again."""
+    first = F.lit(_FIRST_DAY).cast("date")
+    months = (F.year(day) - 1900) * 12 + F.month(day) - 1
+    turned = lambda x, k: F.pmod(x + F.pmod(_digest(key, "late date", F.lit(k)), F.lit(_LATE)), F.lit(_LATE))
+    number = turned(F.datediff(day, first).cast("long") - 12 * (months + 1), 0)
+    pair = lambda x: feistel(F.floor(x / _LATE_DAYS[1]), F.pmod(x, F.lit(_LATE_DAYS[1])), F.lit(_LATE_DAYS[0]), F.lit(_LATE_DAYS[1]), key, "late date")
+    moved = F.transform(F.array(number), lambda x: F.when(x == _LATE - 1, x).otherwise(F.transform(F.array(pair(x)), lambda p: p["l"] * _LATE_DAYS[1] + p["r"])[0]))
+    made = F.transform(moved, lambda x: turned(x, 1))
+
+    def date_of(x: Column) -> Column:
+        guess = F.floor(x * 2400 / _LATE).cast("int")
+        before = lambda m: F.datediff(F.add_months(first, m), first) - 12 * m
+        month = F.array_max(F.filter(F.sequence(F.greatest(guess - 2, F.lit(0)), F.least(guess + 2, F.lit(2399))), lambda m: before(m) <= x))
+        return F.date_add(first, (x + 12 * (month + 1)).cast("int"))
+
+    return F.transform(made, date_of)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _date(m: Column, key: str) -> Column:
-    out = m
-    # of two forms that fit, the later one holds; a month and a day without zeros get none
-    for form, shape in (
-        ("M/d/yyyy", r"^[0-9]{1,2}/"), ("MM/dd/yyyy", r"^[0-9]{2}/[0-9]{2}/"), ("d/M/yyyy", r"^[0-9]{1,2}/"), ("dd/MM/yyyy", r"^[0-9]{2}/[0-9]{2}/"),
-        ("d.M.yyyy", r"^[0-9]{1,2}\."), ("dd.MM.yyyy", r"^[0-9]{2}\.[0-9]{2}\."), ("yyyy/M/d", r"^[0-9]{4}/"), ("yyyy/MM/dd", r"^[0-9]{4}/[0-9]{2}/[0-9]{2}$"), ("yyyy-MM-dd", "-"),
-    ):
-        day = F.try_to_timestamp(m, F.lit(form)).cast("date")
-        number = F.datediff(day, F.lit(_FIRST_DAY).cast("date")).cast("long")
-        pair = feistel(F.floor(number / _DAYS[1]), F.pmod(number, F.lit(_DAYS[1])), F.lit(_DAYS[0]), F.lit(_DAYS[1]), key, "date")
-        made = F.transform(F.array(pair), _day_text(form))[0]
-        out = F.when(m.rlike(shape) & day.isNotNull(), made).otherwise(out)
-    return out
-
-
-def _shifted(letter: Column, key: str, kind: str) -> Column:
+    def told(v: Column) -> Column:
+        # a month and a day without zeros get none
+        padded = F.length(v["b"]) + F.length(F.when(v["year_first"], v["c"]).otherwise(v["a"])) == 4
+        number = lambda x: F.when(padded, F.lpad(x.cast("string"), 2, "0")).otherwise(x.cast("string"))
+        joined = lambda x, y, z: F.concat(x, v["mark"], y, v["mark"], z)
+        year, month, day = (lambda d: F.year(d).cast("string")), (lambda d: number(F.month(d))), (lambda d: number(F.day(d)))
+        plain = F.when(v["year_first"], _day(v["a"], v["b"], v["c"])).otherwise(_day(v["c"], v["b"], v["a"]))
+        written = lambda d: F.when(v["year_first"], joined(year(d), month(d), day(d))).otherwise(joined(day(d), month(d), year(d)))
+        late = lambda d: F.when(d.isNotNull(), F.transform(_other_late_day(d, key), lambda x: joined(month(x), day(x), year(x)))[0]).otherwise(m)
+        month_first = F.when((v["mark"] == "/") & ~v["year_first"], _once(_day(v["c"], v["a"], v["b"]), late)).otherwise(m)
+        return _once(plain, lambda d: F.when(d.isNotNull(), F.transform(_other_day(d, key), written)[0]).otherwise(month_first))
+
+    part = lambda i: F.get(F.split(m, "[./-]"), F.lit(i))
+    return _once(F.struct(part(0).alias("a"), part(1).alias("b"), part(2).alias("c"), F.regexp_extract(m, "[./-]", 0).alias("mark"), m.rlike("^[0-9]{4}").alias("year_first")), told)
+
+
+def _shifted(letter: Column, key: str, kind: Column | str) -> Column:
     """A letter or digit as another one: a keyed shift of 1 to 35 places, so none stays."""
     by = 1 + F.pmod(_digest(key, kind, F.lit(36)), F.lit(35))
     return F.lower(F.conv(F.pmod(F.conv(letter, 36, 10).cast("long") + by, F.lit(36)).cast("string"), 10, 36))
@@ -148,14 +196,15 @@ def _shifted(letter: Column, key: str, kind: str) -> Column:
 
 def _email(m: Column, key: str, one: bool) -> Column:
     name, host = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
-    letters = F.lower(_only(name, "A-Za-z0-9"))
-    first = _permuted(F.substr(letters, F.lit(1), F.lit(24)), 36, key, "email")
-    rest = F.substr(F.sha2(F.concat_ws("|", F.lit(key), letters), 256), F.lit(1), F.length(letters) - 24)
-    many = F.array_join(F.array_repeat(F.sha2(F.concat_ws("|", F.lit(key), letters), 256), F.ceil(F.length(letters) / 64).cast("int")), "")
-    rest = F.substr(many, F.lit(1), F.length(letters) - 24)
-    whole = F.when(F.length(letters) > 24, F.concat(first, rest)).otherwise(first)
-    whole = F.when(F.length(letters) == 1, _shifted(letters, key, "email")).otherwise(whole) if one else whole
-    return F.concat(F.transform(F.array(whole), lambda w: _refilled(name, w, "A-Za-z0-9"))[0], F.lit("@"), host)
+
+    def block(letters: Column, i: Column) -> Column:
+        own = F.substr(letters, i * 24 + 1, F.lit(24))
+        kind = F.when(i == 0, "email").otherwise(F.concat(F.lit("email "), i.cast("string")))
+        return F.when((F.length(own) == 1) & (F.lit(one) | (i > 0)), _shifted(own, key, kind)).otherwise(_permuted(own, 36, key, kind))
+
+    blocks = lambda letters: F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.length(letters) - 1) / 24).cast("int")), lambda i: block(letters, i)), "")
+    whole = F.transform(F.array(F.lower(_only(name, "A-Za-z0-9"))), blocks)
+    return F.concat(F.transform(whole, lambda w: _refilled(name, w, "A-Za-z0-9"))[0], F.lit("@"), host)
 
 
 def _kind(m: Column) -> Column:
@@ -172,22 +221,26 @@ def _kind(m: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts_col: str = "n_pseudonyms", one: bool = False) -> DataFrame:
     """``docs`` with values in the text column replaced; ``counts_col`` is how many were. ``one``: e-mail names of one character too."""
     own = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, counts_col)]
-    text = F.col(f"`{text_col}`")
-    df = docs.select(*own, text.alias("__t"), held(text.rlike(PATTERN)).alias("__hit"))
-    df = df.select(*own, "__t", held(F.when(F.col("__hit"), F.regexp_extract_all("__t", F.lit(PATTERN), F.lit(0)))).alias("__m"), held(F.when(F.col("__hit"), F.split("__t", PATTERN, -1))).alias("__g"))
-    new = F.transform("__m", lambda m: _replaced(m, key, one))
-    df = df.select(*own, "__t", "__m", "__g", held(new).alias("__n"))
-    woven = F.array_join(F.transform(F.sequence(F.lit(0), F.size("__m")), lambda i: F.concat(F.get("__g", i), F.coalesce(F.get("__n", i), F.lit("")))), "")
-    changed = F.size(F.filter(F.sequence(F.lit(0), F.size("__m") - 1), lambda i: F.get("__m", i) != F.get("__n", i)))
-    found = F.col("__m").isNotNull()
-    values = {text_col: F.when(found, woven).otherwise(F.col("__t")), counts_col: F.when(found, changed).otherwise(0).cast("long")}
+    mark = "__"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    t, hit, m, g, n = (mark + x for x in "thmgn")
+    df = docs.select(*own, F.col(f"`{text_col}`").alias(t), held(F.col(f"`{text_col}`").rlike(PATTERN)).alias(hit))
+    df = df.select(*own, t, held(F.when(F.col(hit), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)))).alias(m), held(F.when(F.col(hit), F.split(t, PATTERN, -1))).alias(g))
+    df = df.select(*own, t, m, g, held(F.transform(m, lambda x: _replaced(x, key, one))).alias(n))
+    woven = F.array_join(F.transform(F.sequence(F.lit(0), F.size(m)), lambda i: F.concat(F.get(g, i), F.coalesce(F.get(n, i), F.lit("")))), "")
+    changed = F.size(F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: F.get(m, i) != F.get(n, i)))
+    found = F.col(m).isNotNull()
+    values = {text_col: F.when(found, woven).otherwise(F.col(t)), counts_col: F.when(found, changed).otherwise(0).cast("long")}
     names = [*docs.columns, *([counts_col] if counts_col not in docs.columns else [])]
     return df.select(*[values[c].alias(c) if c in values else F.col(f"`{c}`") for c in names])
 
 
 def _replaced(m: Column, key: str, one: bool) -> Column:
-    kind = _kind(m)
-    out = F.when(kind == "email", _email(m, key, one))
-    for name, work in (("ip", _ip), ("date", _date), ("ssn", _ssn), ("phone", _phone), ("card", _card)):
-        out = out.when(kind == name, work(m, key))
-    return out.otherwise(m)
+    def by_kind(kind: Column) -> Column:
+        out = F.when(kind == "email", _email(m, key, one))
+        for name, work in (("ip", _ip), ("date", _date), ("ssn", _ssn), ("phone", _phone), ("card", _card)):
+            out = out.when(kind == name, work(m, key))
+        return out.otherwise(m)
+
+    return _once(_kind(m), by_kind)

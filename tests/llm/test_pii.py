@@ -111,3 +111,41 @@ def test_query_finds_common_forms(spark, tmp_path):
     for i, value in enumerate(same, len(shapes)):
         assert got[i].text == rows[i][1] and got[i].n_pseudonyms == 0, value
     assert got[list(shapes).index("j@site.org")].text != got[list(shapes).index("k@site.org")].text
+
+
+def test_every_slash_date_has_its_own_pseudonym(spark):
+    from pyspark.sql import functions as F
+
+    texts = spark.sql("SELECT lpad(a, 2, '0') || '/' || lpad(b, 2, '0') || '/' || y AS text FROM (SELECT explode(sequence(1, 31)) a), (SELECT explode(sequence(1, 31)) b), (SELECT explode(sequence(1900, 2099)) y)")
+    texts = texts.repartition(8).filter(F.try_to_timestamp("text", F.lit("dd/MM/yyyy")).isNotNull() | F.try_to_timestamp("text", F.lit("MM/dd/yyyy")).isNotNull())
+    made = op.pseudonymise(texts, KEY).agg(F.count("*").alias("n"), F.count_distinct("text").alias("d"), F.sum("n_pseudonyms").alias("p"), F.min(F.length("text")).alias("a"), F.max(F.length("text")).alias("b")).first()
+    assert (made.n, made.d, made.a, made.b) == (117_298, 117_298, 10, 10) and made.p > 117_000
+
+
+def test_numbers_that_are_equal_stay_linked(spark):
+    rows = ["+44 20 7946 0958", "+442079460958", "+44-20-7946-0958", "+351 912 345 678", "+351912345678", "+1 555 123 4567", "(555) 123-4567"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
+    got = [re.sub("[^0-9+]", "", r.text) for r in op.pseudonymise(docs, KEY).orderBy("doc_id").collect()]
+    assert got[0] == got[1] == got[2] != "+442079460958" and got[0].startswith("+44") and got[3] == got[4] and got[3].startswith("+351")
+    assert got[5] == "+1" + got[6]
+
+
+def test_long_unbroken_texts_and_clashing_names(spark):
+    import time
+
+    parts = ["a", ".", "7", "-", "@", "a@", "a@b.", "1.", "+1", "(5", "a.", "x@y.z-", "%+", "1-2", "9  ", "bb@cc.dd "]
+    rows = [(i, x * ((9_000 if i == 15 else 1_000_000) // len(x)), 1, 2, 3) for i, x in enumerate(parts)] + [(90, "a@" + "b." * 8000, 1, 2, 3), (91, "a@" + "bb." * 8000 + "org", 1, 2, 3), (92, "x" * 70 + "@site.org.5", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, `__t` int, `___hit` int, `a.b` int").repartition(8)
+    began = time.time()
+    got = {r.doc_id: r for r in op.pseudonymise(docs, KEY, one=True).collect()}
+    assert time.time() - began < 120
+    assert got[0].text == rows[0][1] and got[1]["__t"] == 1 and got[1]["___hit"] == 2 and got[1]["a.b"] == 3
+    assert got[15].n_pseudonyms == 1000 and got[90].n_pseudonyms == 0 and got[91].n_pseudonyms == 1
+    assert re.fullmatch("[0-9a-z]{70}@site.org.5", got[92].text) and got[92].n_pseudonyms == 1
+
+
+def test_long_names_do_not_meet(spark):
+    from pyspark.sql import functions as F
+
+    names = spark.range(2000).select(F.concat(F.lit("q" * 47), F.lpad(F.conv(F.col("id").cast("string"), 10, 36), 2, "0"), F.lit("@b.org")).alias("text"))
+    assert op.pseudonymise(names, KEY).select("text").distinct().count() == names.distinct().count()
