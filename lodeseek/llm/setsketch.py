@@ -10,8 +10,8 @@ on their full sets.
 Buckets are not expanded into pairs; lodeseek.llm.buckets says how they become components.
 
 Defined cases: a text without words (or null) has the empty set and is linked with nothing; a null id is passed
-over when the smallest id is sought, and is not kept; rows that repeat an id are all kept or all dropped; an empty
-table gives no rows; other columns play no part.
+over when the smallest id is sought, and is not kept; rows that repeat an id are all kept or all told so by ``kept``; an empty
+table gives no rows; other columns play no part. drop_near_duplicates has its own rules for ids.
 """
 
 from __future__ import annotations
@@ -205,6 +205,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those that are not the first of their component. Ids are taken to be unique: a repeated id goes if one of its texts goes; rows without id stay."""
-    gone = near_duplicates(docs, words, similarity, id_col, text_col).filter(F.col("doc_id").isNotNull() & ~F.col("kept")).select(F.col("doc_id").alias("gone"))
-    return docs.join(stage(gone, "near-copies"), F.col(f"`{id_col}`") == F.col("gone"), "left_anti")
+    """The rows of ``docs`` without those that are not the first of their component.
+
+    First is the smallest id, of any type that has an order; rows without id come last. Rows are told apart by a number of their own, so
+    a repeated id does no harm; columns may have any names.
+    """
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+    rows = stage(docs.select(F.monotonically_increasing_id().alias("row"), own), "near-rows")
+    found = near_duplicates(rows.select("row", F.col(f"own.`{text_col}`").alias("text")), words, similarity, "row", "text")
+    linked = stage(found.filter("doc_id != component_id").select(F.col("doc_id").alias("row"), "component_id"), "near-linked")
+    linked = linked.unionByName(linked.select(F.col("component_id").alias("row"), "component_id").distinct())
+    named = rows.select("row", F.col(f"own.`{id_col}`").alias("id")).join(linked, "row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+    gone = linked.select("row").join(first.select("first.row"), "row", "left_anti")
+    return rows.join(stage(gone, "near-copies"), "row", "left_anti").select("own.*")

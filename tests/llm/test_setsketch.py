@@ -89,6 +89,17 @@ def test_empty(spark):
     assert op.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_dropping_rows(spark):
+    """Repeated and missing ids, ids that are no numbers, clashing names."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [("b", base), ("a", base + " more"), (None, base), ("z", "one of its own"), ("a", "an unlike text that has the id of another"), (None, None), ("e", ""), ("e", "")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id string, text string, gone int, row int").repartition(3)
+    got = op.drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted((str(d), str(t)) for d, t in [rows[1], *rows[3:]])
+    assert op.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 130)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(5, 5)]
