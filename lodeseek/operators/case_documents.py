@@ -12,24 +12,25 @@ from pyspark.sql import functions as F
 
 from lodeseek.operators.chunking import PRESETS, count_tokens, general, hard_split, pack
 
-# Signs of the kinds of documents, by file name and by content.
-KINDS = {
-    "transcript": (r"(?i)transcript|笔录|询问|讯问", r"(?m)^\s*(?:问|答|Q|A)\s*[:：]"),
-    "chat": (r"(?i)chat|聊天|微信", r"(?m)^\s*\d{4}[-/]\d{1,2}[-/]\d{1,2}[ T]\d{1,2}:\d{2}"),
-    "csv": (r"(?i)\.(csv|tsv)$", r"(?m)^\|(?:[^|\n]*\|){2,}\s*$"),
-    "spreadsheet": (r"(?i)\.(xlsx?|ods)$", r"(?m)^## .+\n+\|"),
-}
+#: How kinds of documents are told by name and by content, in order; the first that fits holds. A caller's own table takes this one's place.
+FORMATS = [
+    ("csv", r"(?i)\.(csv|tsv)$", None),
+    ("spreadsheet", r"(?i)\.(xlsx?|ods)$", None),
+    ("transcript", r"(?i)transcript|笔录|讯问|询问", r"(?m)^\s*(?:问|Q)\s*[:：]"),
+    ("chat", r"(?i)chat|私聊|群聊|聊天|微信", r"(?m)^\s*\d{4}[-/]\d{1,2}[-/]\d{1,2}[ T]\d{1,2}:\d{2}"),
+]
 GAP = timedelta(minutes=30)
 COORDINATES = re.compile(r"(?i)^(?:lon|lat|lng|longitude|latitude|经度|纬度|x坐标|y坐标)$")
 
 
-def kind_of(filename: Column, text: Column) -> Column:
-    """Kind of a document; tables go by their suffix only, others by name, then by content."""
-    out = F.when(filename.rlike(KINDS["csv"][0]), "csv").when(filename.rlike(KINDS["spreadsheet"][0]), "spreadsheet")
-    for i in (0, 1):
-        for kind in ("transcript", "chat"):
-            out = out.when((filename if i == 0 else text).rlike(KINDS[kind][i]), kind)
-    return out.otherwise("general")
+def kind_of(filename: Column, text: Column, formats: list[tuple[str, str | None, str | None]] = FORMATS) -> Column:
+    """Kind of a document by ``formats`` (kind, pattern of the name, pattern of the content): by name first, then by content."""
+    out = F.lit("general")
+    for column, at in ((text, 2), (filename, 1)):
+        for row in reversed(formats):
+            if row[at]:
+                out = F.when(F.coalesce(column, F.lit("")).rlike(row[at]), row[0]).otherwise(out)
+    return out
 
 
 def sentences(text: Column) -> Column:

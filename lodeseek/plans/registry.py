@@ -581,3 +581,6 @@ def retrieval_metrics(spark, sf_dir):
 @query("SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_hourly(spark, sf_dir):
     return streams.hourly_batch(spark, f"{sf_dir}/events.parquet").withColumn("total", F.round("total", 4))
+
+
+from lodeseek.plans import more_queries as _more  # noqa: E402, F401  (registers its queries here)
