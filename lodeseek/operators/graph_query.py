@@ -170,6 +170,7 @@ def event_paths(seeds: DataFrame, hops: DataFrame, width: int = 8, depth: int =
     order = [F.col("score").desc(), F.size("path").desc(), F.col("path")]
     sims = seeds.select(F.col("id").alias("dst"), "sim")
     ways = hops.filter("coherent").filter((F.col("value_weight") >= least) | (F.col("edge_type") == "NEXT")).join(F.broadcast(sims), "dst", "left")
+    ways = stage(ways, "hops")  # read in every round
     for _ in range(depth):
         beam = stage(beam, "beam")
         more = beam.join(ways, F.element_at("path", -1) == F.col("src")).filter(~F.array_contains("path", F.col("dst")))
