@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_exact_dedup": q.OP1_SQL,
+    "op5_setsketch": q.OP5_SQL,
     "op8_mixing": q.OP8_SQL,
 }
