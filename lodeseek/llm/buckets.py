@@ -26,16 +26,16 @@ from lodeseek.plans.staging import discard, stage
 BLOCK, BLOCK_BYTES = 256, 16 << 20
 #: A band with more than one in so many of all band rows is hot; there are twice as many hot bands at most.
 SHARE = 4096
-#: Rows of one band that are held at once.
-HELD = 1 << 20
+#: Band rows that one task sorts in memory.
+SORTED = 1 << 22
 #: Rows of one band that one task of a join gets.
 DEALT = 4096
 
 
-def _hot_bands(classes: DataFrame) -> tuple[DataFrame, int]:
-    """(hot): the bands that hold more than 1 in ``SHARE`` of all band rows, some with half as many among them; staged, and how many.
+def _hot_bands(classes: DataFrame) -> tuple[DataFrame, int, int]:
+    """(hot), their number, and that of all band rows. Hot are the bands that hold more than 1 in ``SHARE`` of all band rows, and some with half as many.
 
-    Each task keeps a Misra-Gries summary, which misses no band of that share and holds ``SHARE`` counts at most.
+    Each task keeps a Misra-Gries summary, which misses no band of that share and holds twice ``SHARE`` counts at most.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,17 +49,18 @@ def _hot_bands(classes: DataFrame) -> tuple[DataFrame, int]:
             if len(values) > 2 * SHARE:
                 counts = counts - np.partition(counts, -2 * SHARE - 1)[-2 * SHARE - 1]
                 values, counts = values[counts > 0], counts[counts > 0]
-        yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts), pa.array(np.append(total, np.zeros(len(values), np.int64))[: len(values)])], ["hot", "n", "total"])
+        # one more row, of no band, says how many rows there were
+        yield pa.RecordBatch.from_arrays([pa.array([*values.tolist(), None], pa.int64()), pa.array([*counts.tolist(), 0], pa.int64()), pa.array([0] * len(values) + [total], pa.int64())], ["hot", "n", "total"])
 
     found = stage(classes.select("bands").mapInArrow(run, "hot long, n long, total long").groupBy("hot").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "band-counts")
     total = found.agg(F.sum("total")).first()[0] or 0
     hot = stage(found.filter(F.col("n") > max(DEALT, total // (2 * SHARE))).select("hot"), "hot-bands")
     discard(found)
-    return hot, hot.count()
+    return hot, hot.count(), total
 
 
-def _shared_runs(sorted_rows: DataFrame) -> DataFrame:
-    """(band, key, size) of the bands with two keys at least, from rows (band, key) sorted by band within partitions; repeats once."""
+def _shared_runs(dealt: DataFrame) -> DataFrame:
+    """(band, key, size) of the bands with two keys at least, from rows (band, key) dealt by band; repeats once. A task holds its partition, ``SORTED`` rows or so."""
 
     def columns(batch: pa.RecordBatch) -> np.ndarray:
         keys = batch.column("key")
@@ -68,57 +69,51 @@ def _shared_runs(sorted_rows: DataFrame) -> DataFrame:
         return np.frombuffer(b"".join(keys.to_pylist()), np.int64).reshape(batch.num_rows, -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(bands: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-            alone = np.ones(len(bands) + 1, bool)
-            alone[1:-1] = bands[1:] != bands[:-1]
-            near = ~(alone[1:] & alone[:-1])
-            bands, keys = bands[near], keys[near]
-            order = np.lexsort((*keys.T, bands))
-            bands, keys = bands[order], keys[order]
-            heads = np.ones(len(bands), bool)
-            heads[1:] = bands[1:] != bands[:-1]
-            fresh = heads.copy()
-            fresh[1:] |= (keys[1:] != keys[:-1]).any(axis=1)
-            bands, keys, heads = bands[fresh], keys[fresh], np.flatnonzero(heads[fresh])
-            sizes = np.diff(np.append(heads, len(bands)))
-            sizes = np.repeat(sizes, sizes)
-            many = sizes > 1
-            own = np.ascontiguousarray(keys[many])
+        held = [(batch.column("band").to_numpy(), columns(batch)) for batch in batches if batch.num_rows]
+        if not held:
+            return
+        bands, keys = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        order = np.argsort(bands)
+        bands, keys = bands[order], keys[order]
+        alone = np.ones(len(bands) + 1, bool)
+        alone[1:-1] = bands[1:] != bands[:-1]
+        near = ~(alone[1:] & alone[:-1])
+        bands, keys = bands[near], keys[near]
+        order = np.lexsort((*keys.T, bands))
+        bands, keys = bands[order], keys[order]
+        heads = np.ones(len(bands), bool)
+        heads[1:] = bands[1:] != bands[:-1]
+        fresh = heads.copy()
+        fresh[1:] |= (keys[1:] != keys[:-1]).any(axis=1)
+        bands, keys, heads = bands[fresh], keys[fresh], np.flatnonzero(heads[fresh])
+        sizes = np.diff(np.append(heads, len(bands)))
+        sizes = np.repeat(sizes, sizes)
+        many = sizes > 1
+        bands, keys, sizes = bands[many], np.ascontiguousarray(keys[many]), sizes[many]
+        for i in range(0, len(bands), 100_000):
+            own = keys[i : i + 100_000]
             named = pa.array(own[:, 0]) if own.shape[1] == 1 else pa.array([x.tobytes() for x in own], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(bands[many]), named, pa.array(sizes[many])], ["band", "key", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(bands[i : i + 100_000]), named, pa.array(sizes[i : i + 100_000])], ["band", "key", "size"])
 
-        bands = keys = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = columns(batch)
-            bands = batch.column("band").to_numpy() if bands is None else np.concatenate([bands, batch.column("band").to_numpy()])
-            keys = own if keys is None else np.concatenate([keys, own])
-            cut = int(np.searchsorted(bands, bands[-1]))  # the last run may go on
-            if len(bands) - cut > HELD:  # told in parts, each with the first row, so all of them count as shared
-                yield told(bands, keys)
-                bands, keys = bands[[cut, -1]], keys[[cut, -1]]
-            elif cut:
-                yield told(bands[:cut], keys[:cut])
-                bands, keys = bands[cut:], keys[cut:]
-        if bands is not None:
-            yield told(bands, keys)
-
-    kind = sorted_rows.schema["key"].dataType
+    kind = dealt.schema["key"].dataType
     schema = T.StructType([T.StructField("band", T.LongType()), T.StructField("key", kind), T.StructField("size", T.LongType())])
-    return sorted_rows.mapInArrow(run, schema)
+    return dealt.mapInArrow(run, schema)
 
 
 def shared_buckets(classes: DataFrame) -> DataFrame:
     """(band, key, size) of the buckets that hold two keys at least, from rows (key, bands); staged. Rows may repeat a key.
 
-    Bands are dealt out and sorted once. A hot band goes its own way: its keys are counted and made distinct with partial sums, so
-    that no task gets them all. ``size`` is the number of keys, or of some of them in a bucket beyond ``HELD``.
+    Bands are dealt out once, to as many tasks as their number needs. A hot band goes its own way: its keys are counted and made distinct with partial sums, so
+    that no task gets them all. ``size`` is the number of keys.
     """
-    hot, n_hot = _hot_bands(classes)
+    hot, n_hot, total = _hot_bands(classes)
+    parts = -(-total // SORTED)
+    # a number of its own only if Spark's default is too small; that default can be coalesced
+    more = [parts] if parts > int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
     spread = classes.select("key", F.explode("bands").alias("band"))
     rest = spread.join(F.broadcast(hot), F.col("band") == F.col("hot"), "left_anti") if n_hot else spread
-    found = _shared_runs(rest.select("band", "key").repartition("band").sortWithinPartitions("band"))
+    found = _shared_runs(rest.select("band", "key").repartition(*more, "band"))
     if n_hot:
         own = spread.join(F.broadcast(hot), F.col("band") == F.col("hot"), "left_semi").select("band", "key").distinct()
         sizes = own.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").withColumnRenamed("band", "hot")
@@ -214,6 +209,18 @@ def bucket_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFram
     return _relabelled(joined, stage(links.unionByName(more), "all-links"))
 
 
+def least_of_components(joined: DataFrame, values: DataFrame) -> DataFrame:
+    """(node, least): the smallest ``value`` of values (node, value) in each linked node's component.
+
+    ``joined`` is what bucket_components gives. Nodes of one component are dealt to 16 tasks, so that a giant one does not go to one.
+    """
+    # the node that names a component has no row of its own
+    members = joined.unionByName(joined.select(F.col("component").alias("node"), "component").distinct()).groupBy("node").agg(F.min("component").alias("component"))
+    members = stage(members.join(values, "node").withColumn("s", F.pmod(F.xxhash64("node"), F.lit(16)).cast("int")), "members")
+    least = members.groupBy("component", "s").agg(F.min("value").alias("least")).groupBy("component").agg(F.min("least").alias("least"))
+    return members.join(least.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(15)))), ["component", "s"]).select("node", "least")
+
+
 def spanning(a: list, b: list, component_of: dict, confirmed: Callable[[int], bool], order: Iterable[int]) -> list[int]:
     """Positions of confirmed pairs that join two components, those already joined within this task being passed over."""
     root = {c: c for c in component_of.values()}

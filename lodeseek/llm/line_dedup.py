@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.llm import bloom
 from lodeseek.llm.bpe import slices
-from lodeseek.llm.buckets import bucket_components, shared_buckets, spanning
+from lodeseek.llm.buckets import bucket_components, least_of_components, shared_buckets, spanning
 from lodeseek.llm.shingles import mix64
 from lodeseek.plans.staging import discard, forget_shuffles, stage
 
@@ -76,10 +76,17 @@ def shingles_of(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if len(body) < SHINGLE:
         return np.zeros(0, np.uint64), counts
     eight = np.ndarray(len(body) - SHINGLE + 1, "<u8", body, 0, (1,))  # a window of eight bytes at every byte
-    h = mix64((eight ^ (body[SHINGLE - 1 :].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93))
-    starts = np.cumsum(lens) - lens
-    first = np.cumsum(counts) - counts
-    return h[np.repeat(starts - first, counts) + np.arange(int(counts.sum()))], counts
+    h = body[SHINGLE - 1 :].astype(np.uint64)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= eight
+    for by, shift in ((0xD6E8FEB86659FD93, 32), (0xBF58476D1CE4E5B9, 29)):
+        h *= np.uint64(by)
+        h ^= h >> np.uint64(shift)
+    inside = np.ones(len(body), bool)  # where a shingle begins that ends in its form
+    ends = np.cumsum(lens)
+    for k in range(1, SHINGLE):
+        inside[ends - np.minimum(k, lens)] = False
+    return h[inside[: len(h)]], counts
 
 
 def _by_functions(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -274,13 +281,10 @@ def line_components(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     forget_shuffles(docs.sparkSession)
     percent = round(similarity * 100)
     joined = bucket_components(buckets, lambda pairs: _verified(pairs, forms, percent), forms, lambda blocks: _compared(blocks, percent), F.length("form"))
-    # classes with several lines, and those with links; the class that names a component has no row of its own
-    tops = joined.select(F.col("component").alias("node"), "component").distinct()
-    joined = joined.unionByName(tops).groupBy("node").agg(F.min("component").alias("component"))
-    linked = classes.join(joined.withColumnRenamed("node", "key"), "key", "left").filter("n > 1 OR component IS NOT NULL").select("key", "n", "first", F.coalesce("component", "key").alias("component"))
-    linked = stage(linked, "line-linked")
-    best = linked.groupBy("component").agg(F.min("first").alias("stays"))
-    told = stage(linked.join(best, "component").select("key", "n", "stays"), "line-told")
+    found = least_of_components(joined, classes.select(F.col("key").alias("node"), F.col("first").alias("value"))).withColumnRenamed("node", "key")
+    # classes with several lines, and those with links
+    told = classes.join(found, "key", "left").filter("n > 1 OR least IS NOT NULL").select("key", "n", F.coalesce("least", "first").alias("stays"))
+    told = stage(told, "line-told")
     total = lines.count()
     hot = F.col("n") > max(SHARE, total // SHARE)
     own = lines.select("rk", "doc_id", "line", "key")

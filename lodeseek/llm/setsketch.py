@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.llm import bloom
 from lodeseek.llm.bpe import slices
-from lodeseek.llm.buckets import bucket_components, shared_buckets, spanning
+from lodeseek.llm.buckets import bucket_components, least_of_components, shared_buckets, spanning
 from lodeseek.llm.shingles import mix64, shingle_sets
 from lodeseek.plans.staging import stage
 
@@ -196,9 +196,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     nodes = seen.select("key", "n", "regs").join(sets.select("key", "body"), "key")
     joined = bucket_components(buckets, lambda pairs: _verified(pairs, seen, sets, percent), nodes, lambda blocks: _compared(blocks, percent), F.length("body"))
 
-    told = classes.join(joined.withColumnRenamed("node", "key"), "key", "left").select("key", "first_id", F.coalesce("component", "key").alias("c"))
-    least = told.groupBy("c").agg(F.min("first_id").alias("component_id"))
-    named = told.join(least, "c").select("key", "component_id")
+    told = least_of_components(joined, classes.select(F.col("key").alias("node"), F.col("first_id").alias("value"))).withColumnRenamed("node", "key")
+    named = classes.join(told, "key", "left").select("key", F.when(F.col("least").isNotNull(), F.col("least")).otherwise(F.col("first_id")).alias("component_id"))
     out = members.select("doc_id", "key", F.col("n").alias("n_shingles")).join(named, "key", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
