@@ -33,6 +33,9 @@ class Settings:
     damping: float = 0.85
     implicit_damping: float = 0.8
     coverage: float = 0.999
+    graph_seeds: int = 10
+    graph_top_k: int = 50
+    graph_iterations: int = 20
     lexical: bool = False
     lexical_top_k: int = 20
     min_rerank_score: float = 0.0
@@ -97,15 +100,32 @@ class KnowledgeBase:
         return top.join(chunks.select("chunk_id", "file_id", "content"), "chunk_id").select("query_id", "chunk_id", "file_id", "content", "score", "rank")
 
     def _graph(self, base: DataFrame, s: Settings) -> tuple[DataFrame, float] | None:
-        """Chunks one shared entity or one adjacency away from each query's first chunks, by the seed's score."""
-        seeds = base.filter(F.col("rank") <= 10).select("query_id", F.col("id").alias("seed"), "score")
+        """Chunks by PageRank from each query's first chunks, over entities and relations once most chunks are in the graph, else over chunks that stand together.
+
+        Where the graph of entities gives a query nothing, its seeds' neighbours by shared entities do."""
+        seeds = base.filter(F.col("rank") <= s.graph_seeds).select("query_id", F.col("id").alias("seed"), "score")
+        seeds = seeds.withColumn("score", F.greatest("score", F.lit(0.0)) + 1e-9)
         covered = store.coverage(self.chunks).first().coverage
+        ids = self.chunks.select(F.col("chunk_id").alias("id"))
         if self.mentions is not None and covered >= s.coverage:
-            edges = graph_query.co_mentions(self.mentions, seeds.select(F.col("seed").alias("chunk_id")).distinct())
+            held = self.mentions.select("chunk_id", "entity_id").distinct()
+            # Chunks and entities are nodes of one graph; the kind keeps equal ids apart.
+            chunk, entity = (lambda c: F.concat(F.lit("c:"), F.col(c).cast("string"))), (lambda c: F.concat(F.lit("e:"), F.col(c).cast("string")))
+            edges = held.select(chunk("chunk_id").alias("src"), entity("entity_id").alias("dst"), F.lit(1.0).alias("weight"))
+            if self.relations is not None:
+                edges = edges.unionByName(self.relations.select(entity("src").alias("src"), entity("dst").alias("dst"), F.lit(1.0).alias("weight")))
+            reset = seeds.join(held, F.col("seed") == F.col("chunk_id")).select("query_id", entity("entity_id").alias("node"), F.col("score").alias("p"))
+            scores = graph_query.pagerank_batch(graph_query.undirected(edges), reset, s.damping, s.graph_iterations)
+            reached = scores.join(ids.withColumn("node", chunk("id")), "node").select("query_id", "id", "score")
+            near = graph_query.co_mentions(held, seeds.select(F.col("seed").alias("chunk_id")).distinct())
+            hops = seeds.join(near, F.col("seed") == F.col("u")).groupBy("query_id", F.col("v").alias("id")).agg(F.sum(F.col("score") * F.col("weight")).alias("score"))
+            reached = reached.unionByName(hops.join(reached.select("query_id").distinct(), "query_id", "left_anti"))
             weight = s.graph_weight
         else:
-            near = implicit_graph.adjacent_edges(self.chunks.select(F.col("chunk_id").alias("id"), "file_id", "chunk_index")).select("u", "v", "weight")
-            edges = near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight"))
+            near = implicit_graph.adjacent_edges(self.chunks.select(F.col("chunk_id").alias("id"), "file_id", "chunk_index"))
+            edges = graph_query.undirected(near.select(F.col("u").alias("src"), F.col("v").alias("dst"), "weight"))
+            reset = seeds.select("query_id", F.col("seed").alias("node"), F.col("score").alias("p"))
+            scores = graph_query.pagerank_batch(edges, reset, s.implicit_damping, s.graph_iterations)
+            reached = scores.join(ids, F.col("node") == F.col("id"), "left_semi").select("query_id", F.col("node").alias("id"), "score")
             weight = s.implicit_weight
-        reached = seeds.join(edges, F.col("seed") == F.col("u")).groupBy("query_id", F.col("v").alias("id")).agg(F.sum(F.col("score") * F.col("weight")).alias("score"))
-        return retrieval.ranked(reached, [F.col("score").desc(), F.col("id").asc()], 50), weight
+        return retrieval.ranked(reached, [F.col("score").desc(), F.col("id").asc()], s.graph_top_k), weight

@@ -69,6 +69,38 @@ def pagerank(edges: DataFrame, reset: DataFrame, damping: float = 0.85, iteratio
     return rank
 
 
+def pagerank_batch(edges: DataFrame, reset: DataFrame, damping: float = 0.85, iterations: int = 30, tolerance: float = 1e-6, cut: int = 5) -> DataFrame:
+    """Personalized PageRank of many queries at once: reset vectors (query_id, node, p) to (query_id, node, score).
+
+    As ``pagerank``, but a query holds only the nodes it has reached. Flow and reset are rows of one aggregate, so a step
+    is one join by source and one exchange by query and node. Every step is staged, because the next one reads it twice; convergence is checked every ``cut`` steps.
+    """
+    damping = min(0.99, max(0.1, damping))
+    total = Window.partitionBy("query_id")
+    start = reset.filter("p > 0").groupBy("query_id", "node").agg(F.sum("p").alias("p"))
+    start = stage(start.select("query_id", "node", (F.col("p") / F.sum("p").over(total)).alias("p")), "pprs-start")
+    out = edges.groupBy("src").agg(F.sum("weight").alias("w"))
+    step = stage(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("w")).alias("share")), "pprs-step")
+    goes = step.select(F.col("src").alias("node")).distinct()
+    rank, kept = start.select("query_id", "node", F.col("p").alias("score")), None
+    for i in range(1, iterations + 1):
+        flow = step.join(rank, F.col("src") == F.col("node")).select("query_id", F.col("dst").alias("node"), (damping * F.col("score") * F.col("share")).alias("score"))
+        lost = rank.join(goes, "node", "left_anti").groupBy("query_id").agg(F.sum("score").alias("lost"))
+        back = start.join(lost, "query_id", "left").select("query_id", "node", (F.col("p") * (1 - damping + damping * F.coalesce("lost", F.lit(0.0)))).alias("score"))
+        new = flow.unionByName(back).groupBy("query_id", "node").agg(F.sum("score").alias("score"))
+        new, old = stage(new, "pprs"), rank
+        moved = None
+        if i % cut == 0 and i < iterations:
+            both = new.unionByName(old.select("query_id", "node", (-F.col("score")).alias("score"))).groupBy("query_id", "node").agg(F.abs(F.sum("score")).alias("moved"))
+            moved = both.groupBy("query_id").agg(F.sum("moved").alias("moved")).agg(F.max("moved")).first()[0] or 0.0
+        if kept is not None:
+            discard(kept)
+        rank = kept = new
+        if moved is not None and moved < tolerance:
+            break
+    return rank
+
+
 def rank_chunks(scores: DataFrame, chunks: DataFrame, events: DataFrame, top_k: int) -> DataFrame:
     """Chunks (chunk_id) by their own score or their events' (event_id, chunk_id), over the best one."""
     own = scores.join(chunks, F.col("node") == F.col("chunk_id")).select("chunk_id", "score")

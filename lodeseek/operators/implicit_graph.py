@@ -68,8 +68,8 @@ def adjacent_edges(chunks: DataFrame, reach: int = ADJACENT, weight: float = ADJ
     return near.select("u", "v", (F.lit(weight) / F.col("gap")).alias("weight"), F.lit("ADJACENT").alias("family"))
 
 
-def term_edges(chunks: DataFrame, terms: list[str], exact: bool, seeds: DataFrame | None = None, clique: int = CLIQUE) -> DataFrame:
-    """Chunks (id, content) that share a query's term: all pairs of few, else pairs with a seed. Terms are a handful."""
+def term_edges(chunks: DataFrame, terms: list[str], exact: bool, seeds: DataFrame | None = None, clique: int | None = CLIQUE) -> DataFrame:
+    """Chunks (id, content) that share a query's term: all pairs of few, else pairs with a seed; all pairs of any if ``clique`` is None. Terms are a handful."""
     total = chunks.count()
     held = F.filter(F.array(*[F.lit(t.lower()) for t in terms]), lambda t: F.contains(F.lower("content"), t))
     found = chunks.select("id", F.explode(held).alias("term"))
@@ -80,9 +80,9 @@ def term_edges(chunks: DataFrame, terms: list[str], exact: bool, seeds: DataFram
         df = df.filter(F.col("df") / max(total, 1) <= DF_RATIO)
         weight = LEXICAL_WEIGHT * F.log1p(total / F.col("df")) / F.log1p(F.lit(float(total))) * F.least(F.lit(1.0), 8.0 / F.col("df"))
     told = found.join(F.broadcast(df), "term")
-    small = told.filter(F.col("df") <= clique)
+    small = told if clique is None else told.filter(F.col("df") <= clique)
     pairs = small.select("term", "df", F.col("id").alias("u")).join(small.select("term", F.col("id").alias("v")), "term").filter("u < v")
-    if seeds is not None:
+    if seeds is not None and clique is not None:
         large = told.filter(F.col("df") > clique)
         stars = large.join(seeds.select("id"), "id", "left_semi").select("term", "df", F.col("id").alias("s")).join(large.select("term", F.col("id").alias("o")), "term").filter("s != o")
         pairs = pairs.unionByName(stars.select("term", "df", F.least("s", "o").alias("u"), F.greatest("s", "o").alias("v")))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodeseek.functions.vectors import dot
-from lodeseek.operators import graph_build, retrieval, upkeep
-from lodeseek.plans.registry import query, r6, table
+from lodeseek.operators import graph_build, graph_query, question_making, retrieval, upkeep
+from lodeseek.plans.registry import _PLACES, _places, query, r6, table
 
 _N_TOKENS = "CASE WHEN regexp_matches(text, '\\S') THEN greatest(1, len(regexp_extract_all(text, '[A-Za-z0-9_]+|[一-鿿]'))) ELSE 0 END"
 _LABELS = ["转账", "Entity", "电话", "资金/账户", " ", "通话", "", "其他"]
@@ -363,3 +363,35 @@ def question_contexts(spark, sf_dir):
     vectors = raw.withColumn("n", norm).select("id", F.transform("e", lambda x: x / F.col("n")).alias("vector"))
     found = upkeep.neighbours_as_context(vectors, vectors.filter("id % 100 = 0").select("id"), 3)
     return found.select("query_id", "id", F.round("score", 4).alias("score"), "rank")
+
+
+def _batch_sql(steps: int = 6) -> str:
+    step = "r{i} AS (SELECT q, node, sum(x) AS score FROM (SELECT r.q, m.dst AS node, 0.85 * r.score * m.share AS x FROM m JOIN r{j} r ON r.node = m.src UNION ALL SELECT q, node, 0.15 * score FROM r0) GROUP BY ALL)"
+    own = ", ".join(step.format(i=i, j=i - 1) for i in range(1, steps + 1))
+    return f"WITH {_PLACES}, o AS (SELECT src, count(*) AS w FROM b GROUP BY src), m AS (SELECT b.src, b.dst, 1.0::DOUBLE / o.w AS share FROM b JOIN o USING (src)), r0 AS (SELECT DISTINCT src AS q, src AS node, 1.0::DOUBLE AS score FROM b WHERE src LIKE 'n%'), {own} SELECT q AS query_id, node, round(score, 6) AS score FROM r{steps}"
+
+
+@query(_batch_sql())
+def ppr_batch(spark, sf_dir):
+    edges = graph_query.undirected(_places(spark, sf_dir).withColumn("weight", F.lit(1.0)))
+    reset = edges.filter("src LIKE 'n%'").select(F.col("src").alias("query_id"), F.col("src").alias("node")).distinct().withColumn("p", F.lit(1.0))
+    return graph_query.pagerank_batch(edges, reset, iterations=6, tolerance=0.0).select("query_id", "node", r6("score").alias("score"))
+
+
+@query(f"SELECT conv_id, turn, regexp_matches(coalesce(text, ''), '{question_making.SPECIFIC}') AS specific FROM conversations WHERE role = 'user'")
+def specific_questions(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", question_making.specific(F.col("text")).alias("specific"))
+
+
+@query()
+def questions_apart(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
+    items = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("attempt"), F.col("text").alias("query"), F.array(F.crc32("text") % 97).alias("gold_chunk_ids"))
+    return question_making.told_apart(items).select("attempt", "query")
+
+
+@query()
+def graph_question_context(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("c"), (F.col("p_partkey") % 40).cast("string")).alias("chunk_id"), F.col("p_brand").alias("entity_id")).distinct()
+    edges = parts.select(F.col("chunk_id").alias("src"), F.col("entity_id").alias("dst"), F.lit(1.0).alias("weight"))
+    return question_making.graph_context(edges, parts, "c1", 4, 2, iterations=10)

@@ -35,6 +35,21 @@ def test_query(spark, base, mode):
     assert Settings.options()["rrf_k"] == 60
 
 
+def test_graph_step(spark, base):
+    chunks = base.chunks.withColumn("graph_indexed", F.lit(True)).cache()
+    ids = [r.chunk_id for r in chunks.orderBy("chunk_id").collect()]
+    mentions = spark.createDataFrame([(i, e) for n, i in enumerate(ids) for e in (f"e{n}", f"e{n + 1}")] + [(ids[0], ids[0])], "chunk_id string, entity_id string")
+    kb = KnowledgeBase(spark, embed, chunks, base.vectors, mentions, spark.createDataFrame([("e0", f"e{len(ids)}")], "src string, dst string"))
+    asked = spark.createDataFrame([("q", "alpha ships"), ("r", "there")], "query_id string, text string")
+    got = kb.query(asked, search_mode="vector", graph_seeds=1).collect()
+    assert {r.query_id for r in got} == {"q", "r"} and len({(r.query_id, r.chunk_id) for r in got}) == len(got)
+    seeds = spark.createDataFrame([("q", ids[0], 1.0, 1), ("none", "gone", 1.0, 1)], "query_id string, id string, score double, rank int")
+    reached, weight = kb._graph(seeds, kb.settings)
+    rows = reached.filter("query_id = 'q'").orderBy("rank").collect()
+    assert weight == kb.settings.graph_weight and rows[0].id == ids[0] and {r.id for r in rows} == set(ids)
+    assert not reached.filter("query_id = 'none'").count()
+
+
 def test_ingest_replaces(spark, base):
     n = base.chunks.filter("file_id = 'f1'").count()
     kb = KnowledgeBase(spark, embed, base.chunks, base.vectors)
