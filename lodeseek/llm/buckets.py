@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodeseek.llm.shingles import mix64
 from lodeseek.llm.union_find import components
 from lodeseek.plans.staging import discard, stage
 
@@ -26,8 +27,8 @@ from lodeseek.plans.staging import discard, stage
 BLOCK, BLOCK_BYTES = 256, 16 << 20
 #: A band with more than one in so many of all band rows is hot; there are twice as many hot bands at most.
 SHARE = 4096
-#: Band rows that one task sorts in memory.
-SORTED = 1 << 22
+#: Band rows that one task sorts in memory, and that one task packs at once.
+SORTED, PACKED = 1 << 22, 1 << 20
 #: Rows of one band that one task of a join gets.
 DEALT = 4096
 
@@ -59,17 +60,58 @@ def _hot_bands(classes: DataFrame) -> tuple[DataFrame, int, int]:
     return hot, hot.count(), total
 
 
-def _shared_runs(dealt: DataFrame) -> DataFrame:
-    """(band, key, size) of the bands with two keys at least, from rows (band, key) dealt by band; repeats once. A task holds its partition, ``SORTED`` rows or so."""
+def _columns(keys: pa.Array) -> np.ndarray:
+    """Keys of one length, or longs, as rows of longs."""
+    if pa.types.is_int64(keys.type):
+        return keys.to_numpy().reshape(-1, 1)
+    return np.frombuffer(b"".join(keys.to_pylist()), np.int64).reshape(len(keys), -1)
 
-    def columns(batch: pa.RecordBatch) -> np.ndarray:
-        keys = batch.column("key")
-        if pa.types.is_int64(keys.type):
-            return keys.to_numpy().reshape(-1, 1)
-        return np.frombuffer(b"".join(keys.to_pylist()), np.int64).reshape(batch.num_rows, -1)
+
+def _packed(classes: DataFrame, hot: DataFrame, parts: int) -> DataFrame:
+    """(part, bands, keys): the rows of each band that isn't hot have one part; up to ``PACKED`` of a task go out at once, as one row of bytes for each part."""
+    left_out = np.sort(np.array([r.hot for r in hot.collect()], np.int64))  # 2 * SHARE at most
+
+    def deal(bands: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        part = (mix64(bands.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        part, bands, keys = part[order], bands[order], keys[order]
+        cuts = np.flatnonzero(np.diff(part, prepend=-1))
+        spans = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)]))
+        blobs = [pa.array([x[lo:hi].tobytes() for lo, hi in spans], pa.binary()) for x in (bands, keys)]
+        return pa.RecordBatch.from_arrays([pa.array(part[cuts].astype(np.int32)), *blobs], ["part", "bands", "keys"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            lists = batch.column("bands")
+            bands = lists.flatten().to_numpy()
+            keys = np.repeat(_columns(batch.column("key")), lists.value_lengths().fill_null(0).to_numpy(), axis=0)
+            if len(left_out):
+                at = np.minimum(np.searchsorted(left_out, bands), len(left_out) - 1)
+                rest = left_out[at] != bands
+                bands, keys = bands[rest], keys[rest]
+            if len(bands):
+                held.append((bands, keys))
+                n += len(bands)
+            if n >= PACKED:
+                yield deal(*(np.concatenate(x) for x in zip(*held)))
+                held, n = [], 0
+        if held:
+            yield deal(*(np.concatenate(x) for x in zip(*held)))
+
+    return classes.select("key", "bands").mapInArrow(run, "part int, bands binary, keys binary")
+
+
+def _shared_runs(dealt: DataFrame, kind: T.DataType) -> DataFrame:
+    """(band, key, size) of the bands with two keys at least, from packed rows dealt by part; repeats once. A task holds its partition, ``SORTED`` rows or so."""
+    whole = isinstance(kind, T.LongType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(batch.column("band").to_numpy(), columns(batch)) for batch in batches if batch.num_rows]
+        held = []
+        for batch in batches:
+            for band, key in zip(batch.column("bands"), batch.column("keys")):
+                band = np.frombuffer(band.as_py(), np.int64)
+                held.append((band, np.frombuffer(key.as_py(), np.int64).reshape(len(band), -1)))
         if not held:
             return
         bands, keys = (np.concatenate(x) for x in zip(*held))
@@ -93,28 +135,23 @@ def _shared_runs(dealt: DataFrame) -> DataFrame:
         bands, keys, sizes = bands[many], np.ascontiguousarray(keys[many]), sizes[many]
         for i in range(0, len(bands), 100_000):
             own = keys[i : i + 100_000]
-            named = pa.array(own[:, 0]) if own.shape[1] == 1 else pa.array([x.tobytes() for x in own], pa.binary())
+            named = pa.array(own[:, 0]) if whole else pa.array([x.tobytes() for x in own], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(bands[i : i + 100_000]), named, pa.array(sizes[i : i + 100_000])], ["band", "key", "size"])
 
-    kind = dealt.schema["key"].dataType
-    schema = T.StructType([T.StructField("band", T.LongType()), T.StructField("key", kind), T.StructField("size", T.LongType())])
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(run, T.StructType([T.StructField("band", T.LongType()), T.StructField("key", kind), T.StructField("size", T.LongType())]))
 
 
 def shared_buckets(classes: DataFrame) -> DataFrame:
     """(band, key, size) of the buckets that hold two keys at least, from rows (key, bands); staged. Rows may repeat a key.
 
-    Bands are dealt out once, to as many tasks as their number needs. A hot band goes its own way: its keys are counted and made distinct with partial sums, so
+    Bands are dealt out once, packed, to as many tasks as their number needs. A hot band goes its own way: its keys are counted and made distinct with partial sums, so
     that no task gets them all. ``size`` is the number of keys.
     """
     hot, n_hot, total = _hot_bands(classes)
-    parts = -(-total // SORTED)
-    # a number of its own only if Spark's default is too small; that default can be coalesced
-    more = [parts] if parts > int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
-    spread = classes.select("key", F.explode("bands").alias("band"))
-    rest = spread.join(F.broadcast(hot), F.col("band") == F.col("hot"), "left_anti") if n_hot else spread
-    found = _shared_runs(rest.select("band", "key").repartition(*more, "band"))
+    parts = max(-(-total // SORTED), int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = _shared_runs(_packed(classes, hot, parts).repartitionById(parts, "part"), classes.schema["key"].dataType)
     if n_hot:
+        spread = classes.select("key", F.explode("bands").alias("band"))
         own = spread.join(F.broadcast(hot), F.col("band") == F.col("hot"), "left_semi").select("band", "key").distinct()
         sizes = own.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").withColumnRenamed("band", "hot")
         found = found.unionByName(own.join(F.broadcast(sizes), F.col("band") == F.col("hot")).select("band", "key", "size"))

@@ -49,6 +49,7 @@ KNOWN = 1 << 18
 SHARE = 2048
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_WIDE = (b"  ", b"\t", b"\x0b", b"\x0c", b"\r")
 _SEEDS = mix64(np.arange(1001, 1001 + 2 * REGISTERS, dtype=np.uint64))
 _BY_LOW, _BY_HIGH = ((_SEEDS >> np.uint64(32)).astype(np.uint32) | np.uint32(1)).reshape(2, REGISTERS)
 _BANDS = REGISTERS // ROWS
@@ -146,7 +147,7 @@ def _bands_of(forms: list[bytes], similarity: float) -> list[np.ndarray]:
         if who.any():
             made = _banded(signed(values[np.repeat(who, counts)], counts[who]), salt).view(np.int64)
             for i, x in zip(np.flatnonzero(who).tolist(), made):
-                out[i] = np.concatenate([out[i], x])
+                out[i] = np.concatenate([out[i], x]) if len(out[i]) else x
     return out
 
 
@@ -154,8 +155,11 @@ def _lines(batch: pa.RecordBatch, least: int) -> Iterator[tuple[int, int, bytes]
     """(row, line number, form) of the lines that can be taken out."""
     for i, text in enumerate(pc.cast(batch.column("text"), pa.binary()).to_pylist()):
         if text:
-            for j, line in enumerate(text.translate(_LOWER).split(b"\n")):
-                own = b" ".join(line.split())
+            lower = text.translate(_LOWER)
+            # where words stand one space apart, only the ends of lines are to be stripped
+            plain = not any(x in lower for x in _WIDE)
+            for j, line in enumerate(lower.split(b"\n")):
+                own = line.strip() if plain else b" ".join(line.split())
                 if own and len(own) >= least:
                     yield i, j, own
 
@@ -242,12 +246,14 @@ def _compared(blocks: DataFrame, percent: int) -> DataFrame:
             for left, right in zip(batch.column("askers"), batch.column("others")):
                 x, y = left.as_py(), right.as_py()
                 sets = dict(zip([r["key"] for r in x + y], _sets([r["form"] for r in x + y])))
-                bins_x, bins_y = (np.array([np.bincount((sets[r["key"]] >> np.uint64(56)).astype(np.int64), minlength=256) for r in own]) for own in (x, y))
-                n_y, c_y = bins_y.sum(axis=1), np.array([r["c"] for r in y], object)
+                largest = max(map(len, sets.values()))
+                kind = np.uint16 if largest < 1 << 16 else np.int64
+                bins_x, bins_y = (np.array([np.bincount((sets[r["key"]] >> np.uint64(56)).astype(np.int64), minlength=256) for r in own], kind) for own in (x, y))
+                n_y, c_y = np.array([len(sets[r["key"]]) for r in y]), np.array([r["c"] for r in y], object)
                 a, b = [], []
                 for i, r in enumerate(x):
                     # no more shingles in common than the smaller number in each bin
-                    most, both = np.minimum(bins_x[i], bins_y).sum(axis=1), bins_x[i].sum() + n_y
+                    most, both = np.minimum(bins_x[i], bins_y).sum(axis=1, dtype=kind).astype(np.int64), len(sets[r["key"]]) + n_y
                     near = np.flatnonzero((100 * most >= percent * (both - most)) & (c_y != r["c"])).tolist()
                     a += [r["key"]] * len(near)
                     b += [y[j]["key"] for j in near]
