@@ -258,9 +258,11 @@ def least_of_components(joined: DataFrame, values: DataFrame) -> DataFrame:
     return members.join(least.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(15)))), ["component", "s"]).select("node", "least")
 
 
-def spanning(a: list, b: list, component_of: dict, confirmed: Callable[[int], bool], order: Iterable[int]) -> list[int]:
-    """Positions of confirmed pairs that join two components, those already joined within this task being passed over."""
-    root = {c: c for c in component_of.values()}
+def spanning(a: list, b: list, component_of: dict, confirmed: Callable[[int], bool], order: Iterable[int], root: dict | None = None) -> list[int]:
+    """Positions of confirmed pairs that join two components, those already joined within this task being passed over. ``root`` remembers them from call to call."""
+    root = {} if root is None else root
+    for c in component_of.values():
+        root.setdefault(c, c)
 
     def find(c):
         while root[c] != c:

@@ -43,6 +43,8 @@ CELLS = 2048
 SLICE = 500_000
 #: Bytes of lines that are signed at once.
 SIGNED_AT_ONCE = 100_000
+#: Bytes of forms on either side whose shingles are held at once; some 16 bytes of memory for each.
+COMPARED = 1 << 21
 #: Lines known to a task at once, as signed or sent before.
 KNOWN = 1 << 18
 #: A class with more than one in so many of all lines is broadcast; there are no more than that.
@@ -212,9 +214,17 @@ def _forms(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return stage(found.groupBy("key").agg(F.first("form").alias("form")), "line-forms")
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """As np.unique, which looks values up in a table first and takes many times as long."""
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new]
+
+
 def _sets(forms: list[bytes]) -> list[np.ndarray]:
     values, counts = shingles_of(forms)
-    return [np.unique(x) for x in np.split(values, np.cumsum(counts)[:-1])] if forms else []
+    return [_distinct(x) for x in np.split(values, np.cumsum(counts)[:-1])] if forms else []
 
 
 def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -240,25 +250,50 @@ def _verified(pairs: DataFrame, forms: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "form_a", "form_b").mapInArrow(confirm, "a binary, b binary")
 
 
+def _parts(rows: list[dict]) -> Iterator[list[dict]]:
+    """The rows in parts whose forms hold ``COMPARED`` bytes at most, or one row."""
+    own, held = [], 0
+    for r in rows:
+        if own and held + len(r["form"]) > COMPARED:
+            yield own
+            own, held = [], 0
+        own.append(r)
+        held += len(r["form"])
+    if own:
+        yield own
+
+
 def _compared(blocks: DataFrame, percent: int) -> DataFrame:
+    def described(own: list[dict]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        sets = _sets([r["form"] for r in own])
+        n = np.array([len(s) for s in sets])
+        return sets, n, np.array([np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) for s in sets], np.uint16 if n.max() < 1 << 16 else np.int64)
+
+    def links(x: list[dict], y: list[dict]) -> Iterator[tuple[bytes, bytes]]:
+        root: dict = {}
+        for own in _parts(x):
+            sets_x, n_x, bins_x = described(own)
+            for others in _parts(y):
+                sets_y, n_y, bins_y = described(others)
+                kind, c_y = np.promote_types(bins_x.dtype, bins_y.dtype), np.array([r["c"] for r in others], object)
+                at, to = [], []
+                for i, r in enumerate(own):
+                    # no more shingles in common than the smaller number in each bin
+                    most, both = np.minimum(bins_x[i], bins_y).sum(axis=1, dtype=kind).astype(np.int64), n_x[i] + n_y
+                    near = np.flatnonzero((100 * most >= percent * (both - most)) & (c_y != r["c"])).tolist()
+                    at += [i] * len(near)
+                    to += near
+                a, b = [own[i]["key"] for i in at], [others[j]["key"] for j in to]
+                confirmed = lambda k: _alike(sets_x[at[k]], sets_y[to[k]], percent)  # noqa: E731, B023
+                for k in spanning(a, b, {r["key"]: r["c"] for r in own + others}, confirmed, range(len(a)), root):
+                    yield a[k], b[k]
+                del sets_y  # before the next part's are made
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for left, right in zip(batch.column("askers"), batch.column("others")):
-                x, y = left.as_py(), right.as_py()
-                sets = dict(zip([r["key"] for r in x + y], _sets([r["form"] for r in x + y])))
-                largest = max(map(len, sets.values()))
-                kind = np.uint16 if largest < 1 << 16 else np.int64
-                bins_x, bins_y = (np.array([np.bincount((sets[r["key"]] >> np.uint64(56)).astype(np.int64), minlength=256) for r in own], kind) for own in (x, y))
-                n_y, c_y = np.array([len(sets[r["key"]]) for r in y]), np.array([r["c"] for r in y], object)
-                a, b = [], []
-                for i, r in enumerate(x):
-                    # no more shingles in common than the smaller number in each bin
-                    most, both = np.minimum(bins_x[i], bins_y).sum(axis=1, dtype=kind).astype(np.int64), len(sets[r["key"]]) + n_y
-                    near = np.flatnonzero((100 * most >= percent * (both - most)) & (c_y != r["c"])).tolist()
-                    a += [r["key"]] * len(near)
-                    b += [y[j]["key"] for j in near]
-                found = spanning(a, b, {r["key"]: r["c"] for r in x + y}, lambda k, a=a, b=b, sets=sets: _alike(sets[a[k]], sets[b[k]], percent), range(len(a)))
-                yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in found], pa.binary()), pa.array([b[k] for k in found], pa.binary())], ["a", "b"])
+                found = list(links(left.as_py(), right.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     return blocks.mapInArrow(run, "a binary, b binary")
 

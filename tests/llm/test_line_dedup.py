@@ -1,4 +1,8 @@
 import random
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 
 from lodeseek.llm import line_dedup as op
 
@@ -76,3 +80,27 @@ def test_query_settles_short_lines(spark, tmp_path):
     got = {r.doc_id: (r.text, r.n_dropped) for r in op4_line_dedup(spark, str(tmp_path)).collect()}
     # 'read more!' shares one shingle of two with 'read more', 'cookie setting hero' ten of twelve with the other
     assert got == {1: (texts[1], 0), 2: ("\ncookie setting here", 2), 3: ("Read more!\n ", 2), 4: ("", 1), 5: ("", 1)}
+
+
+class _Rows:
+    """Stands for a DataFrame: gives the function that a task runs."""
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_blocks_of_long_lines_are_compared_in_bounded_memory():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(97, 123, 600_000, np.uint8).tobytes() for _ in range(10)]
+    asking, others = texts[:8], [texts[8], b"of " + texts[7], texts[9], texts[2][:-9], texts[0][:500_000], texts[0][:400_000], texts[2] + b" more", texts[5][1:]]
+    name = lambda side, i: f"{side}{i}".encode()
+    x, y = ([{"key": name(s, i), "form": t, "c": name(s, i)} for i, t in enumerate(own)] for s, own in (("x", asking), ("y", others)))
+    kind = pa.list_(pa.struct([("key", pa.binary()), ("form", pa.binary()), ("c", pa.binary())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([x], kind), pa.array([y], kind)], ["askers", "others"])
+    del x, y
+    tracemalloc.start()
+    got = {(r["a"], r["b"]) for out in op._compared(_Rows(), 80)(iter([batch])) for r in out.to_pylist()}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == {(name("x", i), name("y", j)) for i, j in ((0, 4), (2, 3), (2, 6), (5, 7), (7, 1))}
+    assert peak < 120e6, peak
