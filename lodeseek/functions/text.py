@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -88,6 +89,11 @@ def table_cell(text: Column) -> Column:
 _GRAMS = re.compile("[一-鿿]|[a-zA-Z0-9]+")
 
 
+@lru_cache(1 << 16)
+def _digest(gram: str) -> bytes:
+    return hashlib.md5(gram.encode()).digest()[:8]
+
+
 @F.pandas_udf(T.LongType())
 def simhash64(texts: pd.Series) -> pd.Series:
     """64-bit SimHash of CJK characters and of bigrams of alphanumeric runs, as a signed long; null counts as empty."""
@@ -99,7 +105,7 @@ def simhash64(texts: pd.Series) -> pd.Series:
             grams.update([run] if len(run) == 1 else map("".join, zip(run, run[1:])))
         if not grams:
             grams[squeezed[:16] or "<empty>"] = 1
-        bits = np.unpackbits(np.frombuffer(b"".join(hashlib.md5(g.encode()).digest()[:8] for g in grams), np.uint8)).reshape(len(grams), 64)
+        bits = np.unpackbits(np.frombuffer(b"".join(map(_digest, grams)), np.uint8)).reshape(len(grams), 64)
         votes = (2 * bits.astype(np.int64) - 1).T @ np.fromiter(grams.values(), np.int64, len(grams))
         return int.from_bytes(np.packbits(votes > 0).tobytes(), "big", signed=True)
 

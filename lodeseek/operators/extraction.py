@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeseek.functions.text import simhash64
+from lodeseek.operators.pairs import close_hashes
+from lodeseek.plans.staging import stage
 
 MOST_EVENTS, MOST_ANCHORS, FUZZY, HAMMING = 5, 2, 0.8, 5
 # Time formats of events and the resolution each one has.
@@ -124,20 +126,14 @@ def fuzzy_contains(names: pd.Series, texts: pd.Series) -> pd.Series:
 def near_events(events: DataFrame, most: int = HAMMING) -> DataFrame:
     """Pairs (event_id, earlier_id, distance) of events (event_id, summary) whose SimHash differs in at most ``most`` bits.
 
-    By pigeonhole one of ``most + 1`` blocks of bits agrees, so an equi-join on blocks loses no pair. Equal hashes are
-    joined through their first event only.
+    Equal hashes are joined through their first event only. Other pairs are found by comparing blocks of hashes, so a task's
+    memory doesn't grow, but their number, and the result, grow with the square of the hashes.
     """
-    told = events.select("event_id", simhash64(F.col("summary")).alias("h"))
-    first = told.groupBy("h").agg(F.min("event_id").alias("first_id"))
-    same = told.join(first, "h").filter("event_id != first_id").select("event_id", F.col("first_id").alias("earlier_id"), F.lit(0).alias("distance"))
-    parts = most + 1
-    cuts = [64 * i // parts for i in range(parts + 1)]
-    blocks = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("h", a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("v")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))])
-    spread = first.select("first_id", "h", F.explode(blocks).alias("block"))
-    other = spread.select(F.col("first_id").alias("earlier_id"), F.col("h").alias("h2"), "block")
-    near = spread.join(other, "block").filter("earlier_id < first_id").withColumn("distance", F.bit_count(F.col("h").bitwiseXOR(F.col("h2")))).filter(F.col("distance") <= most)
-    return same.unionByName(near.select(F.col("first_id").alias("event_id"), "earlier_id", F.col("distance").cast("int")).distinct())
-
+    told = stage(events.select("event_id", simhash64(F.col("summary")).alias("h")), "simhashes")
+    first = told.groupBy("h").agg(F.min("event_id").alias("id"))
+    same = told.join(first, "h").filter("event_id != id").select("event_id", F.col("id").alias("earlier_id"), F.lit(0).alias("distance"))
+    near = close_hashes(stage(first.select("id", "h"), "simhashes-first"), most)
+    return same.unionByName(near.select(F.greatest("a", "b").alias("event_id"), F.least("a", "b").alias("earlier_id"), "distance").filter("event_id != earlier_id"))
 
 def gleaned(entities: DataFrame) -> DataFrame:
     """Entities of several rounds (name, label, description, attributes): one each, the longest description, all attributes."""

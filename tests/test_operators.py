@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.functions import text as tx
 from lodeseek.functions import vectors as vx
-from lodeseek.operators import chunking, evaluation, event_links, extraction, graph_query, implicit_graph, retrieval, store
+from lodeseek.operators import chunking, evaluation, event_links, extraction, graph_query, implicit_graph, pairs, retrieval, store
 from lodeseek.sources import files
 from lodeseek.streaming import events as streams
 
@@ -297,3 +297,18 @@ def test_more_queries_than_a_batch(spark, monkeypatch):
     whole = told()
     monkeypatch.setattr(retrieval, "BATCH", 25)
     assert told() == whole and len({r[0] for r in whole}) == 60
+
+
+def test_close_hashes_by_blocks(spark):
+    rng = np.random.default_rng(3)
+    # twelve bits vary, so the others, in which a bucket agrees, are the same for all
+    low = [int(x) for x in rng.choice(1 << 12, 300, replace=False)]
+    hashes = [(f"e{i:03d}", x - (1 << 62)) for i, x in enumerate(low)]
+    want = sorted((a, b, (x ^ y).bit_count()) for i, (a, x) in enumerate(hashes) for b, y in hashes[i + 1 :] if (x ^ y).bit_count() <= 3)
+    df = spark.createDataFrame(hashes, "id string, h long")
+    for block in (1000, 64):
+        found = pairs.close_hashes(df, 3, block)
+        got = [(*sorted((r.a, r.b)), r.distance) for r in found.collect()]
+        assert sorted(got) == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan  # buckets of equal bits, joined, hold more rows than there are pairs to compare
