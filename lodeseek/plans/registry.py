@@ -39,6 +39,13 @@ def r6(c) -> F.Column:
     return F.round(c, 6)
 
 
+def exact_sum(name: str) -> F.Column:
+    """Sum of doubles that doesn't depend on their order, so that equal sums are ties; where decimals don't hold a value exactly, the plain sum."""
+    value = F.col(name)
+    exact = value.try_cast("decimal(38,9)")
+    return F.when(F.bool_and(value.isNull() | (exact.cast("double").eqNullSafe(value))), F.sum(exact).cast("double")).otherwise(F.sum(value))
+
+
 # --- text -------------------------------------------------------------------------------------------
 
 
@@ -155,7 +162,7 @@ SELECT id, round(weight, 2) AS weight, CAST(row_number() OVER (ORDER BY place) A
 )
 def round_robin_seeds(spark, sf_dir):
     a = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("weight"))
-    b = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.sum("o_totalprice").alias("weight"))
+    b = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(exact_sum("o_totalprice").alias("weight"))
     place = lambda df: df.withColumn("pos", F.row_number().over(Window.orderBy(F.col("weight").desc(), "id")))
     return retrieval.round_robin(place(a), place(b)).select("id", F.round("weight", 2).alias("weight"), "pos")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodeseek.functions import text as tx
 from lodeseek.functions import vectors as vx
 from lodeseek.operators import chunking, evaluation, event_links, extraction, graph_query, implicit_graph, pairs, retrieval, store
+from lodeseek.plans import registry
 from lodeseek.sources import files
 from lodeseek.streaming import events as streams
 
@@ -312,3 +313,10 @@ def test_close_hashes_by_blocks(spark):
         assert sorted(got) == want
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan  # buckets of equal bits, joined, hold more rows than there are pairs to compare
+
+
+def test_exact_sum_does_not_depend_on_order(spark):
+    rows = [("a", 0.1), ("a", 0.2), ("a", 0.3), ("b", 0.3), ("b", 0.2), ("b", 0.1), ("c", 1e300), ("c", None), ("d", None), ("e", float("inf"))]
+    df = spark.createDataFrame(rows, "k string, x double").coalesce(1)
+    got = {r.k: r.s for r in df.groupBy("k").agg(registry.exact_sum("x").alias("s")).collect()}
+    assert got == {"a": 0.6, "b": 0.6, "c": 1e300, "d": None, "e": float("inf")}
