@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,3 +112,19 @@ def simhash64(texts: pd.Series) -> pd.Series:
         return int.from_bytes(np.packbits(votes > 0).tobytes(), "big", signed=True)
 
     return texts.map(one)
+
+
+#: Bytes of text that a Python step turns into objects at a time.
+SLICE = 1 << 21
+
+
+def slices(batches: Iterator[pa.RecordBatch], name: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that the named strings of each hold about ``most`` bytes, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+    pa.default_memory_pool().release_unused()  # workers stay for later tasks

@@ -4,6 +4,7 @@ import re
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -320,3 +321,19 @@ def test_exact_sum_does_not_depend_on_order(spark):
     df = spark.createDataFrame(rows, "k string, x double").coalesce(1)
     got = {r.k: r.s for r in df.groupBy("k").agg(registry.exact_sum("x").alias("s")).collect()}
     assert got == {"a": 0.6, "b": 0.6, "c": 1e300, "d": None, "e": float("inf")}
+
+
+def test_texts_go_through_python_in_slices(spark, monkeypatch):
+    # no step may turn more than a slice of a batch into objects
+    most = {"n": 0}
+    batch = pa.RecordBatch.from_pydict({"file_id": [str(i) for i in range(400)], "content": ["word " * 4000] * 400})
+    for part in tx.slices(iter([batch]), "content"):
+        most["n"] = max(most["n"], part.column("content").nbytes)
+    assert 1 << 20 < most["n"] <= tx.SLICE
+    seen = []
+    monkeypatch.setitem(chunking.PRESETS, "laws", lambda text, **_: seen.append(1) or [text])
+    held = {}
+    fake = type("Docs", (), {"select": lambda self, *c: self, "mapInArrow": lambda self, run, schema: held.update(run=run)})()
+    chunking.chunk(fake, "laws")
+    first = next(held["run"](iter([batch])))
+    assert first.num_rows == len(seen) < 400 and first.schema.names == [x.split()[0] for x in chunking.SCHEMA.split(", ")]
