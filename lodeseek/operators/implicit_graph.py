@@ -2,53 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeseek.operators.pairs import best_pairs
+from lodeseek.operators.retrieval import ranked
+from lodeseek.plans.staging import stage
+
 KNN, THRESHOLD, EXPONENT = 12, 0.55, 1.5
 ADJACENT_WEIGHT, ADJACENT = 0.5, 3
 LEXICAL_WEIGHT, DF_RATIO, CLIQUE, EXACT_WEIGHT = 0.4, 0.2, 32, 0.9
 #: Families by priority when edges of several meet.
 FAMILIES = ("EXACT_ID", "LEXICAL", "ADJACENT", "SIMILAR", "REAL")
-BLOCK = 1024
 
 
-def nearest(vectors: DataFrame, k: int = KNN, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = KNN, threshold: float = THRESHOLD, block: int | None = None) -> DataFrame:
     """(u, v, sim): for each of the unit vectors (id, vector) its k nearest above the threshold, ties by id.
 
-    Exact, by blocks: vectors are packed into blocks of about ``block`` rows, pairs of blocks are multiplied as
-    matrices, and each task keeps its own k best per row, so what is shuffled grows with rows times blocks.
+    Exact, by blocks (of ``block`` rows, or as many as fit): a task keeps its own k best of a row, so what is shuffled grows with rows times blocks.
     """
-    n = vectors.count()
-    parts = max(1, -(-n // block))
-    kind = dict(vectors.dtypes)["id"]
-    packed = vectors.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).groupBy("part").agg(F.collect_list(F.struct("id", "vector")).alias("rows"))
-    pairs = packed.select(F.col("part").alias("p"), F.col("rows").alias("left")).join(packed.select(F.col("part").alias("q"), F.col("rows").alias("right")), F.lit(True))
-
-    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for left, right in zip(batch.left, batch.right):
-                u, v = np.array([x["id"] for x in left]), np.array([x["id"] for x in right])
-                by_id = np.argsort(v, kind="stable")
-                v = v[by_id]
-                sims = np.array([x["vector"] for x in left], np.float64) @ np.array([x["vector"] for x in right], np.float64)[by_id].T
-                sims[u[:, None] == v[None, :]] = -np.inf
-                best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                rows, score = np.repeat(np.arange(len(u)), best.shape[1]), np.take_along_axis(sims, best, 1).reshape(-1)
-                keep = score > threshold
-                yield pd.DataFrame({"u": u[rows][keep], "v": v[best.reshape(-1)][keep], "sim": score[keep]})
-
-    found = pairs.select("left", "right").mapInPandas(multiply, f"u {kind}, v {kind}, sim double")
-    order = Window.partitionBy("u").orderBy(F.col("sim").desc(), F.col("v"))
-    return found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).drop("n")
+    asked = vectors.select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    found = best_pairs(vectors, asked, k, threshold, over=True, others=True, asked=block, searched=block)
+    return ranked(found.toDF("u", "v", "sim"), [F.col("sim").desc(), F.col("v").asc()], k, "u").drop("rank")
 
 
 def similar_edges(near: DataFrame, threshold: float = THRESHOLD, exponent: float = EXPONENT) -> DataFrame:
     """(u, v, weight, family) of pairs that are each other's nearest."""
+    near = stage(near, "nearest")  # read twice
     back = near.select(F.col("v").alias("u2"), F.col("u").alias("v2"))
     both = near.filter("u < v").join(back, (F.col("u") == F.col("u2")) & (F.col("v") == F.col("v2")), "left_semi")
     return both.select("u", "v", F.pow((F.col("sim") - threshold) / (1 - threshold), F.lit(exponent)).alias("weight"), F.lit("SIMILAR").alias("family"))
@@ -127,8 +107,6 @@ def anchor_pool(vectors: DataFrame, seeds: DataFrame, query: list[float], neares
 
 def explanations(edges: DataFrame, seeds: DataFrame, scores: DataFrame, cosines: DataFrame, width: int = 4, hops: int = 3, top: int = 3) -> DataFrame:
     """Best paths from seeds (node, weight) over (u, v, weight): (path, score); a hop adds .5 cosine + .3 weight + .2 PageRank, and no node comes twice."""
-    from lodeseek.plans.staging import stage
-
     both = edges.select("u", "v", "weight").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight"))
     told = both.join(scores.select(F.col("node").alias("v"), F.col("score").alias("ppr")), "v", "left").join(cosines.select(F.col("node").alias("v"), "cosine"), "v", "left")
     step = told.select("u", "v", (0.5 * F.coalesce("cosine", F.lit(0.0)) + 0.3 * F.col("weight") + 0.2 * F.coalesce("ppr", F.lit(0.0))).alias("gain"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeseek.functions.text import occurrences, token_count
-from lodeseek.functions.vectors import dot
+from lodeseek.operators.pairs import best_pairs
 
 K1, B = 1.5, 0.75
 OMITTED = "[content omitted: token budget]"
@@ -56,17 +55,7 @@ def ranked(df: DataFrame, order: Sequence, top_k: int | None = None, by: str = "
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, top_k: int, threshold: float = 0.0) -> DataFrame:
     """Unit vectors (id, vector) by dot product with each query (query_id, query): query_id, id, score, rank."""
-    if queries.limit(BATCH + 1).count() > BATCH:
-        # each query is in one block, and ranks are per query; blocks are half full, so that none has much more than BATCH
-        n = -(-2 * queries.count() // BATCH)
-        block = F.pmod(F.xxhash64("query_id"), F.lit(n))
-        return reduce(DataFrame.unionByName, [_block_top_k(vectors, queries.filter(block == i), top_k, threshold) for i in range(n)])
-    return _block_top_k(vectors, queries, top_k, threshold)
-
-
-def _block_top_k(vectors: DataFrame, queries: DataFrame, top_k: int, threshold: float) -> DataFrame:
-    scored = vectors.join(F.broadcast(queries), F.lit(True)).select("query_id", "id", dot(F.col("vector"), F.col("query")).alias("score"))
-    return ranked(scored.filter(F.col("score") >= threshold), [F.col("score").desc(), F.col("id").asc()], top_k)
+    return ranked(best_pairs(vectors, queries, top_k, threshold), [F.col("score").desc(), F.col("id").asc()], top_k)
 
 
 def fuse(base: DataFrame, other: DataFrame, weight: float = 1.0, k: int = 60) -> DataFrame:

@@ -337,3 +337,30 @@ def test_texts_go_through_python_in_slices(spark, monkeypatch):
     chunking.chunk(fake, "laws")
     first = next(held["run"](iter([batch])))
     assert first.num_rows == len(seen) < 400 and first.schema.names == [x.split()[0] for x in chunking.SCHEMA.split(", ")]
+
+
+@pytest.mark.parametrize("asked, searched", [(7, 11), (50, 4000), (None, None)])
+def test_best_pairs_score_as_sql_does(spark, asked, searched):
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(60, 24)).astype(np.float32)
+    m[20:40] = m[0]  # ties, which go by id
+    rows = [(i, v.tolist()) for i, v in enumerate(m)] + [(100, None), (101, [1.0]), (102, [None] * 24), (103, [float("nan")] * 24), (104, [float("inf")] * 24)]
+
+    def told(rows, others, over, threshold):
+        df = spark.createDataFrame(rows, "id long, vector array<float>")
+        left = df.select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+        scored = df.join(left, F.col("id") != F.col("query_id") if others else F.lit(True)).withColumn("score", vx.dot(F.col("vector"), F.col("query")))
+        want = retrieval.ranked(scored.filter(F.col("score") > threshold if over else F.col("score") >= threshold), [F.col("score").desc(), "id"], 5)
+        found = pairs.best_pairs(df, left, 5, threshold, over, others, asked, searched)
+        got = retrieval.ranked(found, [F.col("score").desc(), "id"], 5)
+        return [sorted((r.query_id, r.rank, r.id, str(r.score)) for r in x.collect()) for x in (got, want)]
+
+    for case in ((rows[:60], True, True, 0.25), (rows, False, False, 0.0), (rows[:63], False, False, -1.0)):
+        got, want = told(*case)
+        assert got == want and len(got) > 200
+
+
+def test_best_pairs_do_not_pair_rows_in_the_plan(spark):
+    vectors = registry._vectors(spark, "/root/testdata/sf0.001")
+    plan = retrieval.dense_top_k(vectors, vectors.select(F.col("id").alias("query_id"), F.col("vector").alias("query")), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
