@@ -134,6 +134,16 @@ def test_event_links(spark):
     assert event_links.event_links(events.limit(0)).count() == 0
 
 
+def test_event_links_are_dealt_by_their_number(spark, monkeypatch):
+    events = spark.range(400).selectExpr("id AS event_id", "concat('f', id % 40) AS file_id", "id AS chunk_index", "0 AS span_start", "timestamp_seconds(id * 60) AS ts", "concat('x', id % 2) AS location")
+    told = lambda: event_links.event_links(events).withColumn("part", F.spark_partition_id()).collect()
+    whole = told()
+    monkeypatch.setattr(event_links, "ORDERED", 10)
+    few = told()
+    largest = max(sum(r.part == p for r in few) for p in {r.part for r in few})
+    assert largest <= len(few) / 8 and sorted(str(r[:5]) for r in few) == sorted(str(r[:5]) for r in whole)
+
+
 def test_pagerank(spark):
     edges = [("a", "b", 1.0), ("b", "c", 2.0), ("b", "a", 1.0), ("c", "d", 1.0)]
     names = sorted({x for e in edges for x in e[:2]})
