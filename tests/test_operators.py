@@ -144,6 +144,23 @@ def test_event_links_are_dealt_by_their_number(spark, monkeypatch):
     assert largest <= len(few) / 8 and sorted(str(r[:5]) for r in few) == sorted(str(r[:5]) for r in whole)
 
 
+def test_beam_paths_keeps_links_dealt(spark, monkeypatch):
+    from lodeseek.plans import registry
+
+    dealt = []
+
+    def seen(df, name, stage=graph_query.stage):
+        if name == "hops":
+            dealt.extend(r["count"] for r in df.groupBy(F.spark_partition_id().alias("part")).count().collect())
+        return stage(df, name)
+
+    want = registry.beam_paths(spark, "/root/testdata/sf0.001").collect()
+    monkeypatch.setattr(graph_query, "stage", seen)
+    monkeypatch.setattr(event_links, "ORDERED", 50)
+    assert registry.beam_paths(spark, "/root/testdata/sf0.001").collect() == want
+    assert len(dealt) >= 16 and max(dealt) <= sum(dealt) / 8
+
+
 def test_pagerank(spark):
     edges = [("a", "b", 1.0), ("b", "c", 2.0), ("b", "a", 1.0), ("c", "d", 1.0)]
     names = sorted({x for e in edges for x in e[:2]})
