@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +34,13 @@ SORTED, PACKED = 1 << 22, 1 << 20
 DEALT = 4096
 
 
+def _flat(bands: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All band hashes in order, and how many each row has. A row's are a list, or the bytes of its longs, which cost the engine less."""
+    if pa.types.is_binary(bands.type):
+        return np.frombuffer(b"".join(bands.drop_null().to_pylist()), np.int64), pc.binary_length(bands).fill_null(0).to_numpy(zero_copy_only=False) // 8
+    return bands.flatten().to_numpy(), bands.value_lengths().fill_null(0).to_numpy()
+
+
 def _hot_bands(classes: DataFrame) -> tuple[DataFrame, int, int]:
     """(hot), their number, and that of all band rows. Hot are the bands that hold more than 1 in ``SHARE`` of all band rows, and some with half as many.
 
@@ -42,7 +50,7 @@ def _hot_bands(classes: DataFrame) -> tuple[DataFrame, int, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, counts, total = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
         for batch in batches:
-            own = batch.column("bands").flatten().to_numpy()
+            own, _ = _flat(batch.column("bands"))
             total += len(own)
             own, n = np.unique(own, return_counts=True)
             values, inverse = np.unique(np.concatenate([values, own]), return_inverse=True)
@@ -83,9 +91,8 @@ def _packed(classes: DataFrame, hot: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            lists = batch.column("bands")
-            bands = lists.flatten().to_numpy()
-            keys = np.repeat(_columns(batch.column("key")), lists.value_lengths().fill_null(0).to_numpy(), axis=0)
+            bands, n_bands = _flat(batch.column("bands"))
+            keys = np.repeat(_columns(batch.column("key")), n_bands, axis=0)
             if len(left_out):
                 at = np.minimum(np.searchsorted(left_out, bands), len(left_out) - 1)
                 rest = left_out[at] != bands
@@ -102,6 +109,22 @@ def _packed(classes: DataFrame, hot: DataFrame, parts: int) -> DataFrame:
     return classes.select("key", "bands").mapInArrow(run, "part int, bands binary, keys binary")
 
 
+def _of_hot(classes: DataFrame, hot: DataFrame) -> DataFrame:
+    """(band, key): the rows of the hot bands; may repeat."""
+    wanted = np.sort(np.array([r.hot for r in hot.collect()], np.int64))  # 2 * SHARE at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bands, n_bands = _flat(batch.column("bands"))
+            at = np.minimum(np.searchsorted(wanted, bands), len(wanted) - 1)
+            hit = wanted[at] == bands
+            own = pa.array(np.repeat(np.arange(len(n_bands)), n_bands)[hit])
+            yield pa.RecordBatch.from_arrays([pa.array(bands[hit]), batch.column("key").take(own)], ["band", "key"])
+
+    kind = T.StructType([T.StructField("band", T.LongType()), T.StructField("key", classes.schema["key"].dataType)])
+    return classes.select("key", "bands").mapInArrow(run, kind)
+
+
 def _shared_runs(dealt: DataFrame, kind: T.DataType) -> DataFrame:
     """(band, key, size) of the bands with two keys at least, from packed rows dealt by part; repeats once. A task holds its partition, ``SORTED`` rows or so."""
     whole = isinstance(kind, T.LongType)
@@ -142,7 +165,7 @@ def _shared_runs(dealt: DataFrame, kind: T.DataType) -> DataFrame:
 
 
 def shared_buckets(classes: DataFrame) -> DataFrame:
-    """(band, key, size) of the buckets that hold two keys at least, from rows (key, bands); staged. Rows may repeat a key.
+    """(band, key, size) of the buckets that hold two keys at least, from rows (key, bands); staged. Rows may repeat a key; bands are longs, as a list or as bytes.
 
     Bands are dealt out once, packed, to as many tasks as their number needs. A hot band goes its own way: its keys are counted and made distinct with partial sums, so
     that no task gets them all. ``size`` is the number of keys.
@@ -151,8 +174,7 @@ def shared_buckets(classes: DataFrame) -> DataFrame:
     parts = max(-(-total // SORTED), int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = _shared_runs(_packed(classes, hot, parts).repartitionById(parts, "part"), classes.schema["key"].dataType)
     if n_hot:
-        spread = classes.select("key", F.explode("bands").alias("band"))
-        own = spread.join(F.broadcast(hot), F.col("band") == F.col("hot"), "left_semi").select("band", "key").distinct()
+        own = _of_hot(classes, hot).distinct()
         sizes = own.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").withColumnRenamed("band", "hot")
         found = found.unionByName(own.join(F.broadcast(sizes), F.col("band") == F.col("hot")).select("band", "key", "size"))
     out = stage(found, "buckets")

@@ -40,11 +40,15 @@ REGISTERS, ROWS = 48, 4
 BINNED = 96
 #: Cells in which distinct shingles of a line are counted, from below.
 CELLS = 2048
+#: Shingles of a line that are counted first.
+FIRST = 256
 SLICE = 500_000
 #: Bytes of lines that are signed at once.
 SIGNED_AT_ONCE = 100_000
 #: Bytes of forms on either side whose shingles are held at once; some 16 bytes of memory for each.
 COMPARED = 1 << 21
+#: Pairs, and bytes of forms, up to which rows of small blocks are compared together.
+PAIRED, PAIRED_BYTES = 1 << 12, 1 << 16
 #: Lines known to a task at once, as signed or sent before.
 KNOWN = 1 << 18
 #: A class with more than one in so many of all lines is broadcast; there are no more than that.
@@ -142,10 +146,18 @@ def bands_of(forms: list[bytes], similarity: float = SIMILARITY) -> list[np.ndar
 def _bands_of(forms: list[bytes], similarity: float) -> list[np.ndarray]:
     values, counts = shingles_of(forms)
     out = [np.zeros(0, np.int64)] * len(forms)
-    cell = np.zeros(len(forms) * CELLS, bool)
-    cell[np.repeat(np.arange(len(forms)) * CELLS, counts) + (values >> np.uint64(20) & np.uint64(CELLS - 1)).astype(np.int64)] = True
-    surely = cell.reshape(-1, CELLS).sum(axis=1)  # at least so many distinct ones
-    for who, signed, salt in (((counts > 0) & (surely * similarity < BINNED), _by_functions, 1), (counts >= BINNED, _by_bins, 1 + _BANDS)):
+    few = counts * similarity < BINNED
+    ends = np.cumsum(counts)
+    for limit in (FIRST, None):  # most long lines have enough distinct ones among their first
+        many = np.flatnonzero(~few) if limit else np.flatnonzero(~few)[short]
+        told = [values[e - n : e][:limit] for e, n in zip(ends[many].tolist(), counts[many].tolist())]
+        if told:
+            cell = np.zeros(len(many) * CELLS, bool)
+            cell[np.repeat(np.arange(len(many)) * CELLS, [len(x) for x in told]) + (np.concatenate(told) >> np.uint64(20) & np.uint64(CELLS - 1)).astype(np.int64)] = True
+            surely = np.add.reduce(cell.view(np.uint8).reshape(-1, CELLS), axis=1, dtype=np.uint16)  # at least so many distinct ones
+        short = surely * similarity < BINNED if told else np.zeros(0, bool)
+    few[many[short]] = True
+    for who, signed, salt in (((counts > 0) & few, _by_functions, 1), (counts >= BINNED, _by_bins, 1 + _BANDS)):
         if who.any():
             made = _banded(signed(values[np.repeat(who, counts)], counts[who]), salt).view(np.int64)
             for i, x in zip(np.flatnonzero(who).tolist(), made):
@@ -175,7 +187,7 @@ def _unknown(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _signed(rows: DataFrame, least: int, similarity: float) -> DataFrame:
-    """Per line: rk, doc_id, line, key (its form's name), h (64 bits of it), bands (where the task has not just told them; null without shingles)."""
+    """Per line: rk, doc_id, line, head (the row's first), key (its form's name), h (64 bits of it), bands (as bytes, where the task has not just told them; null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.zeros(KNOWN, np.uint64)
@@ -189,11 +201,13 @@ def _signed(rows: DataFrame, least: int, similarity: float) -> DataFrame:
             told = dict(zip(new, bands_of([forms[k] for k in new], similarity)))
             at = np.array([place[x] for _, _, x in found], np.int64)
             bands = [told.pop(k, None) for k in at.tolist()]  # at its first line only
-            own = pa.array([i for i, _, _ in found], pa.int32())
-            columns = [batch.column("rk").take(own), batch.column("doc_id").take(own), pa.array([j for _, j, _ in found], pa.int32()), pa.array(names, pa.binary()).take(pa.array(at)), pa.array(h.view(np.int64)[at]), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["rk", "doc_id", "line", "key", "h", "bands"])
+            own = np.array([i for i, _, _ in found], np.int32)
+            head = pa.array(np.diff(own, prepend=np.int32(-1)) != 0)
+            own = pa.array(own)
+            columns = [batch.column("rk").take(own), batch.column("doc_id").take(own), pa.array([j for _, j, _ in found], pa.int32()), head, pa.array(names, pa.binary()).take(pa.array(at)), pa.array(h.view(np.int64)[at]), pa.array([x if x is None else x.tobytes() for x in bands], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["rk", "doc_id", "line", "head", "key", "h", "bands"])
 
-    return rows.mapInArrow(run, "rk binary, doc_id long, line int, key binary, h long, bands array<long>")
+    return rows.mapInArrow(run, "rk binary, doc_id long, line int, head boolean, key binary, h long, bands binary")
 
 
 def _forms(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -289,10 +303,56 @@ def _compared(blocks: DataFrame, percent: int) -> DataFrame:
                     yield a[k], b[k]
                 del sets_y  # before the next part's are made
 
+    def together(rows: pa.RecordBatch) -> Iterator[tuple[bytes, bytes]]:
+        """The links of many rows of few short forms, each form described once."""
+        (n_x, x), (n_y, y) = ((rows.column(k).value_lengths().to_numpy(), rows.column(k).flatten()) for k in ("askers", "others"))
+        (key_x, form_x, c_x), (key_y, form_y, c_y) = ([side.field(k).to_pylist() for k in ("key", "form", "c")] for side in (x, y))
+        place = {f: k for k, f in enumerate(dict.fromkeys(form_x + form_y))}
+        sets = _sets(list(place))
+        n = np.array([len(s) for s in sets])
+        cells = np.repeat(np.arange(len(sets)) * 256, n) + (np.concatenate(sets) >> np.uint64(56)).astype(np.int64)
+        bins = np.bincount(cells, minlength=256 * len(sets)).astype(np.uint16).reshape(-1, 256)
+        number = {c: k for k, c in enumerate(dict.fromkeys(c_x + c_y))}
+        in_x, in_y = (np.array([number[c] for c in own], np.int64) for own in (c_x, c_y))
+        set_x, set_y = (np.array([place[f] for f in own], np.int64) for own in (form_x, form_y))
+        pairs = n_x.astype(np.int64) * n_y
+        row = np.repeat(np.arange(len(pairs)), pairs)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+        i, j = (np.cumsum(n_x) - n_x)[row] + k // n_y[row], (np.cumsum(n_y) - n_y)[row] + k % n_y[row]
+        apart = in_x[i] != in_y[j]
+        i, j = i[apart], j[apart]
+        near = np.zeros(len(i), bool)
+        for lo in range(0, len(i), PAIRED):
+            p, q = set_x[i[lo : lo + PAIRED]], set_y[j[lo : lo + PAIRED]]
+            most = np.minimum(bins[p], bins[q]).sum(axis=1, dtype=np.int64)
+            near[lo : lo + PAIRED] = 100 * most >= percent * (n[p] + n[q] - most)
+        i, j = i[near].tolist(), j[near].tolist()
+        a, b = [key_x[k] for k in i], [key_y[k] for k in j]
+        confirmed = lambda k: _alike(sets[set_x[i[k]]], sets[set_y[j[k]]], percent)
+        for k in spanning(a, b, dict(zip(key_x + key_y, c_x + c_y)), confirmed, range(len(a))):
+            yield a[k], b[k]
+
+    def groups(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, bool]]:
+        """Rows that go together, and whether they are small."""
+        held = []
+        for k in ("askers", "others"):
+            lens = batch.column(k).value_lengths().to_numpy().astype(np.int64)
+            ends, size = np.cumsum(lens), np.cumsum(np.append(0, pc.binary_length(batch.column(k).flatten().field("form")).to_numpy()))
+            held.append((lens, size[ends] - size[ends - lens]))
+        pairs, weights = (held[0][0] * held[1][0]).tolist(), (held[0][1] + held[1][1]).tolist()
+        start, n, w = 0, 0, 0
+        for k, (own, weight) in enumerate(zip(pairs, weights)):
+            if k > start and (n + own > PAIRED or w + weight > PAIRED_BYTES):
+                yield batch.slice(start, k - start), n <= PAIRED and w <= PAIRED_BYTES
+                start, n, w = k, 0, 0
+            n, w = n + own, w + weight
+        if start < len(pairs):
+            yield batch.slice(start), n <= PAIRED and w <= PAIRED_BYTES
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for left, right in zip(batch.column("askers"), batch.column("others")):
-                found = list(links(left.as_py(), right.as_py()))
+            for rows, small in groups(batch):
+                found = list(together(rows) if small else links(rows.column("askers")[0].as_py(), rows.column("others")[0].as_py()))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     return blocks.mapInArrow(run, "a binary, b binary")
@@ -308,6 +368,11 @@ def line_components(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     """(rk, line, kept): the lines of ``least`` bytes and more whose component holds several lines; rk is a digest of id and text.
 
     Rows that repeat id and text have one rk; their lines come as often as they do, all kept or all not."""
+    return _settled(docs, similarity, id_col, text_col, least)[1]
+
+
+def _settled(docs: DataFrame, similarity: float, id_col: str, text_col: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """All lines, as signed, and what line_components gives."""
     rk, own_id, text = _keyed(docs, id_col, text_col)
     rows = docs.select(rk.alias("rk"), own_id.alias("doc_id"), text.alias("text"))
     lines = stage(_signed(rows, least, similarity), "lines")
@@ -333,22 +398,30 @@ def line_components(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     marked = own.join(F.broadcast(first), F.col("key") == F.col("hot"), "left")
     rest = marked.filter("hot IS NULL").drop("hot", "hot_stays").join(told.filter(~hot).select("key", "stays"), "key")
     both = marked.filter("hot IS NOT NULL").select("rk", "doc_id", "line", F.col("hot_stays").alias("stays")).unionByName(rest.select("rk", "doc_id", "line", "stays"))
-    return both.select("rk", "line", (F.col("stays") == place).alias("kept"))
+    return lines, both.select("rk", "line", (F.col("stays") == place).alias("kept"))
 
 
 def drop_similar_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """``docs`` with lines taken out of the text column, and n_lines, n_dropped. ``least`` of 1 settles every line that is not blank."""
-    lines = line_components(docs, similarity, id_col, text_col, least)
-    by_row = lines.groupBy("rk").agg(F.collect_set("line").alias("all"), F.collect_set(F.when(~F.col("kept"), F.col("line"))).alias("gone"), F.count("*").alias("told"))
-    by_row = stage(by_row.select("rk", F.when(F.col("told") > F.size("all"), F.col("all")).alias("all"), "gone").filter("all IS NOT NULL OR size(gone) > 0"), "line-drops")
+    lines, told = _settled(docs, similarity, id_col, text_col, least)
+    by_row = told.filter(~F.col("kept")).groupBy("rk").agg(F.collect_set("line").alias("gone"))
+    # of rows that repeat id and text, all lines of the second and later ones go
+    twice = stage(lines.filter("head").groupBy("rk").agg(F.count("*").alias("times")).filter("times > 1").select("rk"), "line-repeats")
+    repeats = twice.limit(1).count() > 0
+    if repeats:
+        every = lines.select("rk", "line").join(twice, "rk", "left_semi").groupBy("rk").agg(F.collect_set("line").alias("all"))
+        by_row = by_row.join(every, "rk", "full").select("rk", "all", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    by_row = stage(by_row, "line-drops")
     forget_shuffles(docs.sparkSession)
     rk, _, text = _keyed(docs, id_col, text_col)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(0)).alias("own"), rk.alias("rk"), text.alias("text"))
-    told = rows.join(by_row, "rk", "left")
-    # of rows that repeat id and text, all lines of the second and later ones go
-    told = told.withColumn("nth", F.row_number().over(Window.partitionBy("rk").orderBy(F.lit(0))))
-    gone = F.when(F.col("all").isNotNull() & (F.col("nth") > 1), F.col("all")).otherwise(F.col("gone"))
-    told = told.select("own", "text", gone.alias("gone"), F.split("text", "\n").alias("parts"))
+    gone = F.col("gone")
+    if repeats:
+        rows = rows.join(by_row, "rk", "left").withColumn("nth", F.row_number().over(Window.partitionBy("rk").orderBy(F.lit(0))))
+        gone = F.when(F.col("all").isNotNull() & (F.col("nth") > 1), F.col("all")).otherwise(gone)
+    else:  # no text is sorted
+        rows = rows.join(by_row.hint("shuffle_hash"), "rk", "left")
+    told = rows.select("own", "text", gone.alias("gone"), F.split("text", "\n").alias("parts"))
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone")), lambda i: F.get("parts", i))
     kept = [F.col(f"own.`{c}`").alias(c) if c != text_col else F.when(F.size("gone") > 0, F.array_join(left, "\n")).otherwise(F.col("text")).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return told.select(*kept, F.coalesce(F.size("parts"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))

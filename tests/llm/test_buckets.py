@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+
 from lodeseek.llm.buckets import shared_buckets
 
 
@@ -23,3 +25,12 @@ def test_shared_buckets_equal_brute_force(spark):
         got = shared_buckets(spark.createDataFrame(own, f"key {kind}, bands array<long>").repartition(3))
         assert sorted((r.band, bytes(r.key) if kind == "binary" else r.key, r.size) for r in got.collect()) == want(own)
         assert shared_buckets(spark.createDataFrame([], f"key {kind}, bands array<long>")).count() == 0
+
+
+def test_bands_as_bytes(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(-400, 400), rng.choice([None, [rng.randrange(-300, 300) << 40 for _ in range(4)]])) for _ in range(1500)]
+    rows += [(k, [7, -k]) for k in range(1000, 6500)]
+    packed = [(key, None if bands is None else np.array(bands, np.int64).tobytes()) for key, bands in rows]
+    got = shared_buckets(spark.createDataFrame(packed, "key long, bands binary").repartition(3))
+    assert sorted(map(tuple, got.collect())) == want(rows)

@@ -104,3 +104,49 @@ def test_blocks_of_long_lines_are_compared_in_bounded_memory():
     tracemalloc.stop()
     assert got == {(name("x", i), name("y", j)) for i, j in ((0, 4), (2, 3), (2, 6), (5, 7), (7, 1))}
     assert peak < 120e6, peak
+
+
+class _Blocks:
+    """Takes the place of a table of blocks, to run what its tasks run."""
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+def test_small_blocks_are_described_together(monkeypatch):
+    rng = random.Random(5)
+    side = pa.list_(pa.struct([("key", pa.binary()), ("form", pa.binary()), ("c", pa.binary())]))
+    own, blocks = lambda k, form: {"key": b"%d" % k, "form": form, "c": b"%d" % k}, []
+    for k in range(0, 600, 6):
+        form = bytes(rng.choices(b"abcdefghij", k=rng.randrange(20, 300)))
+        others = [own(k, form), own(k + 1, form[:-1]), own(k + 2, form[5:]), own(k + 3, b"x" + form[:-2] + b"yz"), own(k + 4, form[: len(form) // 2]), own(k + 5, b"short")]
+        blocks.append((others[1:], others))
+    blocks.insert(3, ([own(700, b"ab" * 50_000)], [own(701, b"ab" * 50_000), own(702, b"ba" * 50_000)]))
+    batch = pa.RecordBatch.from_arrays([pa.array([x for x, _ in blocks], side), pa.array([y for _, y in blocks], side)], ["askers", "others"])
+
+    def parts():
+        calls, sets = [], op._sets
+        monkeypatch.setattr(op, "_sets", lambda forms: calls.append(len(forms)) or sets(forms))
+        links = [tuple(r.values()) for out in op._compared(_Blocks(), 80).run(iter([batch.slice(1)])) for r in out.to_pylist()]
+        monkeypatch.setattr(op, "_sets", sets)
+        root = {}
+        find = lambda x: x if root.get(x, x) == x else find(root[x])
+        for a, b in links:
+            root[find(a)] = find(b)
+        return {b"%d" % k: find(b"%d" % k) for k in range(703)}, len(calls)
+
+    together, few = parts()
+    monkeypatch.setattr(op, "PAIRED", 0, raising=False)
+    alone, many = parts()
+    classes = lambda found: {frozenset(k for k in found if found[k] == c) for c in found.values()}
+    assert classes(together) == classes(alone) and len(classes(alone)) < 600
+    assert few < 20 < many
+
+
+def test_no_text_is_sorted(spark):
+    docs = spark.createDataFrame([(k, f"the very same line of text\nanother line of text, number {k * 7919}") for k in range(50)], "doc_id long, text string")
+    out = op.drop_similar_lines(docs)
+    assert out.agg({"n_dropped": "sum"}).first()[0] >= 49
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "strategy=shuffle_hash" in plan
