@@ -34,10 +34,19 @@ SORTED, PACKED = 1 << 22, 1 << 20
 DEALT = 4096
 
 
+def longs_of(values: pa.Array) -> np.ndarray:
+    """The bytes of all values, none null, end to end as longs."""
+    if not len(values):
+        return np.zeros(0, np.int64)
+    _, offsets, data = values.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(data, np.int64, (int(offsets[-1]) - int(offsets[0])) // 8, int(offsets[0])) if data is not None else np.zeros(0, np.int64)
+
+
 def _flat(bands: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All band hashes in order, and how many each row has. A row's are a list, or the bytes of its longs, which cost the engine less."""
     if pa.types.is_binary(bands.type):
-        return np.frombuffer(b"".join(bands.drop_null().to_pylist()), np.int64), pc.binary_length(bands).fill_null(0).to_numpy(zero_copy_only=False) // 8
+        return longs_of(bands.drop_null()), pc.binary_length(bands).fill_null(0).to_numpy(zero_copy_only=False) // 8
     return bands.flatten().to_numpy(), bands.value_lengths().fill_null(0).to_numpy()
 
 
@@ -72,7 +81,7 @@ def _columns(keys: pa.Array) -> np.ndarray:
     """Keys of one length, or longs, as rows of longs."""
     if pa.types.is_int64(keys.type):
         return keys.to_numpy().reshape(-1, 1)
-    return np.frombuffer(b"".join(keys.to_pylist()), np.int64).reshape(len(keys), -1)
+    return longs_of(keys).reshape(len(keys), -1)
 
 
 def _packed(classes: DataFrame, hot: DataFrame, parts: int) -> DataFrame:
@@ -125,43 +134,116 @@ def _of_hot(classes: DataFrame, hot: DataFrame) -> DataFrame:
     return classes.select("key", "bands").mapInArrow(run, kind)
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Bands, keys and number of keys of the bands with two keys at least, by band and key; repeats once."""
+    held = []
+    for batch in batches:
+        for band, key in zip(batch.column("bands"), batch.column("keys")):
+            band = np.frombuffer(band.as_py(), np.int64)
+            held.append((band, np.frombuffer(key.as_py(), np.int64).reshape(len(band), -1)))
+    if not held:
+        return None
+    bands, keys = (np.concatenate(x) for x in zip(*held))
+    held.clear()
+    order = np.argsort(bands)
+    bands, keys = bands[order], keys[order]
+    alone = np.ones(len(bands) + 1, bool)
+    alone[1:-1] = bands[1:] != bands[:-1]
+    near = ~(alone[1:] & alone[:-1])
+    bands, keys = bands[near], keys[near]
+    order = np.lexsort((*keys.T, bands))
+    bands, keys = bands[order], keys[order]
+    heads = np.ones(len(bands), bool)
+    heads[1:] = bands[1:] != bands[:-1]
+    fresh = heads.copy()
+    fresh[1:] |= (keys[1:] != keys[:-1]).any(axis=1)
+    bands, keys, heads = bands[fresh], keys[fresh], np.flatnonzero(heads[fresh])
+    sizes = np.diff(np.append(heads, len(bands)))
+    sizes = np.repeat(sizes, sizes)
+    many = sizes > 1
+    return bands[many], np.ascontiguousarray(keys[many]), sizes[many]
+
+
+def _rows(bands: np.ndarray, keys: np.ndarray, whole: bool, **more: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(band, key) and more columns, 100,000 rows at a time."""
+    for i in range(0, len(bands), 100_000):
+        own = keys[i : i + 100_000]
+        named = pa.array(own[:, 0]) if whole else pa.array([x.tobytes() for x in own], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(bands[i : i + 100_000]), named, *[pa.array(x[i : i + 100_000]) for x in more.values()]], ["band", "key", *more])
+
+
 def _shared_runs(dealt: DataFrame, kind: T.DataType) -> DataFrame:
     """(band, key, size) of the bands with two keys at least, from packed rows dealt by part; repeats once. A task holds its partition, ``SORTED`` rows or so."""
     whole = isinstance(kind, T.LongType)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if found := _runs(batches):
+            yield from _rows(found[0], found[1], whole, size=found[2])
+
+    return dealt.mapInArrow(run, _schema(kind, "size"))
+
+
+def _schema(kind: T.DataType, *more: str) -> T.StructType:
+    return T.StructType([T.StructField("band", T.LongType()), T.StructField("key", kind), *[T.StructField(x, T.LongType()) for x in more]])
+
+
+def _sets(dealt: DataFrame, parts: int) -> DataFrame:
+    """(part, names, bands, sizes, keys): packed buckets, those of equal sets of keys with one part. ``names`` are 128 bits of the set, by sums of hashes of its keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _runs(batches)
+        if not found or not len(found[0]):
+            return
+        bands, keys, sizes = found
+        heads = np.flatnonzero(np.diff(bands, prepend=bands[0] ^ 1))
+        sums = []
+        for salt in (1, 2):
+            h = np.full(len(keys), salt, np.uint64)
+            for column in keys.view(np.uint64).T:
+                h = mix64(h * np.uint64(0xD6E8FEB86659FD93) + column)
+            sums.append(np.add.reduceat(h, heads))
+        names, bands, sizes = np.stack(sums, axis=1), bands[heads], sizes[heads]
+        large = sizes > DEALT // 4  # such a set's buckets need not meet in one task
+        names[large] = np.stack([mix64(bands[large].view(np.uint64)), bands[large].view(np.uint64)], axis=1)
+        part = (mix64(names[:, 0]) % np.uint64(parts)).astype(np.int64)
+        keys = keys[np.argsort(np.repeat(part, sizes), kind="stable")]
+        order = np.argsort(part, kind="stable")
+        part, names, bands, sizes = part[order], names[order], bands[order], sizes[order]
+        cuts = np.flatnonzero(np.diff(part, prepend=-1))
+        ends = np.append(cuts[1:], len(part))
+        at = np.append(0, np.cumsum(sizes))
+        spans = list(zip(cuts.tolist(), ends.tolist()))
+        blobs = [pa.array([x[lo:hi].tobytes() for lo, hi in spans], pa.binary()) for x in (names, bands, sizes)]
+        blobs.append(pa.array([keys[at[lo] : at[hi]].tobytes() for lo, hi in spans], pa.binary()))
+        yield pa.RecordBatch.from_arrays([pa.array(part[cuts].astype(np.int32)), *blobs], ["part", "names", "bands", "sizes", "keys"])
+
+    return dealt.mapInArrow(run, "part int, names binary, bands binary, sizes binary, keys binary")
+
+
+def _first_of_sets(dealt: DataFrame, kind: T.DataType) -> DataFrame:
+    """(band, key, size, times): of the buckets with one set of keys that of the smallest band, and how many they are."""
+    whole = isinstance(kind, T.LongType)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
-            for band, key in zip(batch.column("bands"), batch.column("keys")):
-                band = np.frombuffer(band.as_py(), np.int64)
-                held.append((band, np.frombuffer(key.as_py(), np.int64).reshape(len(band), -1)))
+            for row in zip(*[batch.column(x) for x in ("names", "bands", "sizes", "keys")]):
+                names, bands, sizes, keys = (np.frombuffer(x.as_py(), np.int64) for x in row)
+                held.append((names.reshape(-1, 2), bands, sizes, keys.reshape(int(sizes.sum()), -1)))
         if not held:
             return
-        bands, keys = (np.concatenate(x) for x in zip(*held))
+        names, bands, sizes, keys = (np.concatenate(x) for x in zip(*held))
         held.clear()
-        order = np.argsort(bands)
-        bands, keys = bands[order], keys[order]
-        alone = np.ones(len(bands) + 1, bool)
-        alone[1:-1] = bands[1:] != bands[:-1]
-        near = ~(alone[1:] & alone[:-1])
-        bands, keys = bands[near], keys[near]
-        order = np.lexsort((*keys.T, bands))
-        bands, keys = bands[order], keys[order]
-        heads = np.ones(len(bands), bool)
-        heads[1:] = bands[1:] != bands[:-1]
-        fresh = heads.copy()
-        fresh[1:] |= (keys[1:] != keys[:-1]).any(axis=1)
-        bands, keys, heads = bands[fresh], keys[fresh], np.flatnonzero(heads[fresh])
-        sizes = np.diff(np.append(heads, len(bands)))
-        sizes = np.repeat(sizes, sizes)
-        many = sizes > 1
-        bands, keys, sizes = bands[many], np.ascontiguousarray(keys[many]), sizes[many]
-        for i in range(0, len(bands), 100_000):
-            own = keys[i : i + 100_000]
-            named = pa.array(own[:, 0]) if whole else pa.array([x.tobytes() for x in own], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(bands[i : i + 100_000]), named, pa.array(sizes[i : i + 100_000])], ["band", "key", "size"])
-
-    return dealt.mapInArrow(run, T.StructType([T.StructField("band", T.LongType()), T.StructField("key", kind), T.StructField("size", T.LongType())]))
+        order = np.lexsort((bands, sizes, *names.T))
+        new = np.ones(len(order), bool)
+        new[1:] = (names[order[1:]] != names[order[:-1]]).any(axis=1) | (sizes[order[1:]] != sizes[order[:-1]])
+        heads = np.flatnonzero(new)
+        times, own = np.diff(np.append(heads, len(order))), order[heads]
+        starts, n = (np.cumsum(sizes) - sizes)[own], sizes[own]
+        rows = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        yield from _rows(np.repeat(bands[own], n), keys[rows], whole, size=np.repeat(n, n), times=np.repeat(times, n))
+
+    return dealt.mapInArrow(run, _schema(kind, "size", "times"))
 
 
 def shared_buckets(classes: DataFrame) -> DataFrame:
@@ -170,13 +252,27 @@ def shared_buckets(classes: DataFrame) -> DataFrame:
     Bands are dealt out once, packed, to as many tasks as their number needs. A hot band goes its own way: its keys are counted and made distinct with partial sums, so
     that no task gets them all. ``size`` is the number of keys.
     """
+    return _buckets(classes, False)
+
+
+def distinct_buckets(classes: DataFrame) -> DataFrame:
+    """(band, key, size, times): as shared_buckets, but of several bands that hold one and the same set of keys only one; ``times`` is their number.
+
+    Classes that are alike share many bands, so most buckets hold the same keys as others. Hot bands, and those of more than a quarter of ``DEALT`` keys, are left as they are.
+    """
+    return _buckets(classes, True)
+
+
+def _buckets(classes: DataFrame, once: bool) -> DataFrame:
     hot, n_hot, total = _hot_bands(classes)
-    parts = max(-(-total // SORTED), int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = _shared_runs(_packed(classes, hot, parts).repartitionById(parts, "part"), classes.schema["key"].dataType)
+    parts, kind = max(-(-total // SORTED), int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))), classes.schema["key"].dataType
+    dealt = _packed(classes, hot, parts).repartitionById(parts, "part")
+    found = _first_of_sets(_sets(dealt, parts).repartitionById(parts, "part"), kind) if once else _shared_runs(dealt, kind)
     if n_hot:
         own = _of_hot(classes, hot).distinct()
         sizes = own.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").withColumnRenamed("band", "hot")
-        found = found.unionByName(own.join(F.broadcast(sizes), F.col("band") == F.col("hot")).select("band", "key", "size"))
+        own = own.join(F.broadcast(sizes), F.col("band") == F.col("hot")).select("band", "key", "size")
+        found = found.unionByName(own.withColumn("times", F.lit(1).cast("long")) if once else own)
     out = stage(found, "buckets")
     discard(hot)
     return out
@@ -192,10 +288,10 @@ def _dealt(many: DataFrame, few: DataFrame, a: str, b: str, size: str, parts: st
 
 def _first_pairs(buckets: DataFrame) -> DataFrame:
     """(a, b, rank): each class and the two, at most, that it meets first."""
-    popular = buckets.groupBy("key").agg(F.sum("size").alias("p")).withColumnRenamed("key", "who")
-    ranked = stage(buckets.join(popular, F.col("key") == F.col("who")).select("band", "key", "size", F.struct("p", "key").alias("x")), "ranked")
+    popular = buckets.groupBy("key").agg(F.sum(F.col("size") * F.col("times")).alias("p")).withColumnRenamed("key", "who")
+    ranked = stage(buckets.join(popular, F.col("key") == F.col("who")).select("band", "key", "size", "times", F.struct("p", "key").alias("x")), "ranked")
     tops = ranked.groupBy("band").agg(F.max("x").alias("top"), F.max("size").alias("parts")).withColumnRenamed("band", "of")
-    votes = _dealt(ranked, tops, "band", "of", "size", "parts").filter("x < top").groupBy("x", "top").agg(F.count("*").alias("n"))
+    votes = _dealt(ranked, tops, "band", "of", "size", "parts").filter("x < top").groupBy("x", "top").agg(F.sum("times").alias("n"))
     best = votes.groupBy("x").agg(F.max(F.struct("n", "top")).alias("near"), F.max("top").alias("high"))
     met = F.array_distinct(F.array("near.top", "high"))
     return best.select(F.col("x.key").alias("a"), F.explode(met).alias("y")).select("a", F.col("y.key").alias("b"), F.col("y.p").alias("rank"))
@@ -255,7 +351,7 @@ def _block_pairs(buckets: DataFrame, joined: DataFrame, nodes: DataFrame, weight
 
 
 def bucket_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], nodes: DataFrame, compare: Callable[[DataFrame], DataFrame], weight: Column) -> DataFrame:
-    """(node, component) of classes with links; others are their own components. ``weight``: bytes of a row of ``nodes``.
+    """(node, component) of classes with links; others are their own components. ``buckets`` are distinct_buckets; ``weight``: bytes of a row of ``nodes``.
 
     ``compare`` takes rows of two blocks and returns links (a, b) between classes of different components, one
     link at least wherever the blocks' links join two components.

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.llm import bloom
 from lodeseek.llm.bpe import slices
-from lodeseek.llm.buckets import bucket_components, least_of_components, shared_buckets, spanning
+from lodeseek.llm.buckets import bucket_components, distinct_buckets, least_of_components, longs_of, spanning
 from lodeseek.llm.shingles import mix64
 from lodeseek.plans.staging import discard, forget_shuffles, stage
 
@@ -51,6 +51,8 @@ COMPARED = 1 << 21
 PAIRED, PAIRED_BYTES = 1 << 12, 1 << 16
 #: Lines known to a task at once, as signed or sent before.
 KNOWN = 1 << 18
+#: Lines that one task packs at once, and that one task gets.
+PACKED_LINES, DEALT_LINES = 1 << 18, 1 << 19
 #: A class with more than one in so many of all lines is broadcast; there are no more than that.
 SHARE = 2048
 
@@ -210,6 +212,75 @@ def _signed(rows: DataFrame, least: int, similarity: float) -> DataFrame:
     return rows.mapInArrow(run, "rk binary, doc_id long, line int, head boolean, key binary, h long, bands binary")
 
 
+def _firsts(columns: np.ndarray) -> np.ndarray:
+    """Of rows (two longs of the key, doc_id, line and whether the id is null, two longs of rk, number of lines) one for each key: its first line, all its lines counted."""
+    columns = columns[np.lexsort((columns[:, 1], columns[:, 0]))]
+    heads = np.ones(len(columns), bool)
+    heads[1:] = (columns[1:, :2] != columns[:-1, :2]).any(axis=1)
+    alone = heads & np.append(heads[1:], True)
+    many = columns[~alone]
+    if not len(many):
+        return columns
+    rk = many[:, 4:6].copy().view(">u8").astype(np.uint64)  # as the engine orders bytes
+    many = many[np.lexsort((rk[:, 1], rk[:, 0], many[:, 3] >> 1, many[:, 2], many[:, 3] & 1 ^ 1, many[:, 1], many[:, 0]))]
+    new = np.ones(len(many), bool)
+    new[1:] = (many[1:, :2] != many[:-1, :2]).any(axis=1)
+    first = many[new]
+    first[:, 6] = np.add.reduceat(many[:, 6], np.flatnonzero(new))
+    return np.concatenate([columns[alone], first])
+
+
+def _classes(lines: DataFrame, shared: DataFrame) -> DataFrame:
+    """(key, h, first, n) of the forms that several lines have or that share a band with others (a few more come along); first is (doc_id, line, rk).
+
+    Lines are dealt by their form as packed bytes, those of equal forms summed up first, so no task gets all lines of a frequent one.
+    """
+    parts = max(-(-lines.count() // DEALT_LINES), int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    told = lines.sparkSession.sparkContext.broadcast(bloom.build(shared.select("key").distinct()))
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        own = _firsts(np.concatenate(held))
+        part = (mix64(own[:, 0].view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        own, part = own[order], part[order]
+        cuts = np.flatnonzero(np.diff(part, prepend=-1))
+        blobs = [own[lo:hi].T.tobytes() for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)])]
+        return pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array(blobs, pa.binary())], ["part", "body"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            own = np.empty((batch.num_rows, 7), np.int64)
+            own[:, :2], own[:, 4:6] = (longs_of(batch.column(k)).reshape(-1, 2) for k in ("key", "rk"))
+            own[:, 2] = batch.column("doc_id").fill_null(0).to_numpy()
+            own[:, 3] = batch.column("line").to_numpy().astype(np.int64) << 1 | np.asarray(batch.column("doc_id").is_null())
+            own[:, 6] = 1
+            held.append(own)
+            n += len(own)
+            if n >= PACKED_LINES:
+                yield packed(held)
+                held, n = [], 0
+        if n:
+            yield packed(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.frombuffer(x.as_py(), np.int64).reshape(7, -1).T for batch in batches for x in batch.column("body")]
+        if not held:
+            return
+        own = _firsts(np.concatenate(held))
+        held.clear()
+        own = own[(own[:, 6] > 1) | bloom.may_hold(told.value, own[:, 0].view(np.uint64))]
+        for lo in range(0, len(own), 100_000):
+            some = own[lo : lo + 100_000]
+            key, rk = (pa.array([x.tobytes() for x in np.ascontiguousarray(some[:, k : k + 2])], pa.binary()) for k in (0, 4))
+            doc = pa.array(np.ascontiguousarray(some[:, 2]), mask=(some[:, 3] & 1).astype(bool))
+            first = pa.StructArray.from_arrays([doc, pa.array((some[:, 3] >> 1).astype(np.int32)), rk], ["doc_id", "line", "rk"])
+            yield pa.RecordBatch.from_arrays([key, pa.array(np.ascontiguousarray(some[:, 0])), first, pa.array(np.ascontiguousarray(some[:, 6]))], ["key", "h", "first", "n"])
+
+    dealt = lines.select("key", "doc_id", "line", "rk").mapInArrow(deal, "part int, body binary").repartitionById(parts, "part")
+    return dealt.mapInArrow(run, "key binary, h long, first struct<doc_id:long,line:int,rk:binary>, n long")
+
+
 def _forms(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(key, form) of the classes wanted (key, h), read off the documents; staged."""
     told = rows.sparkSession.sparkContext.broadcast(bloom.build(wanted.select("h")))
@@ -377,10 +448,10 @@ def _settled(docs: DataFrame, similarity: float, id_col: str, text_col: str, lea
     rows = docs.select(rk.alias("rk"), own_id.alias("doc_id"), text.alias("text"))
     lines = stage(_signed(rows, least, similarity), "lines")
     place = F.struct("doc_id", "line", "rk")
-    classes = stage(lines.groupBy("key").agg(F.first("h").alias("h"), F.min(place).alias("first"), F.count("*").alias("n")), "line-classes")
-    shared = shared_buckets(lines.filter("bands IS NOT NULL").select(F.col("h").alias("key"), "bands"))
+    shared = distinct_buckets(lines.filter("bands IS NOT NULL").select(F.col("h").alias("key"), "bands"))
+    classes = stage(_classes(lines, shared), "line-classes")
     named = shared.withColumnRenamed("key", "h").join(classes.select("h", "key"), "h")
-    buckets = stage(named.select("band", "key", "size"), "line-buckets")
+    buckets = stage(named.select("band", "key", "size", "times"), "line-buckets")
     discard(shared)
     wanted = stage(classes.select("key", "h").join(buckets.select("key").distinct(), "key", "left_semi"), "line-candidates")
     forms = _forms(rows.select("text"), wanted)

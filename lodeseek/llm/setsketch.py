@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.llm import bloom
 from lodeseek.llm.bpe import slices
-from lodeseek.llm.buckets import bucket_components, least_of_components, shared_buckets, spanning
+from lodeseek.llm.buckets import bucket_components, distinct_buckets, least_of_components, spanning
 from lodeseek.llm.shingles import mix64, shingle_sets
 from lodeseek.plans.staging import stage
 
@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     classes = stage(members.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
     width = 2 * ROWS
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 1 + i * width, width)) for i in range(REGISTERS // ROWS)])
-    buckets = shared_buckets(classes.select("key", bands.alias("bands")))
+    buckets = distinct_buckets(classes.select("key", bands.alias("bands")))
     seen = stage(classes.join(buckets.select("key").distinct(), "key", "left_semi"), "candidates")
     sets = stage(sets_of(docs, seen, words, id_col, text_col).join(seen.select("key"), "key", "left_semi"), "sets")
     nodes = seen.select("key", "n", "regs").join(sets.select("key", "body"), "key")

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from lodeseek.llm.buckets import shared_buckets
+from lodeseek.llm.buckets import distinct_buckets, shared_buckets
 
 
 def want(rows):
@@ -34,3 +34,24 @@ def test_bands_as_bytes(spark):
     packed = [(key, None if bands is None else np.array(bands, np.int64).tobytes()) for key, bands in rows]
     got = shared_buckets(spark.createDataFrame(packed, "key long, bands binary").repartition(3))
     assert sorted(map(tuple, got.collect())) == want(rows)
+
+
+def test_buckets_of_equal_sets_come_once(spark):
+    rng = random.Random(5)
+    rows = []
+    for group in range(300):  # keys of a group share four bands, some of them one more
+        for _ in range(rng.randrange(1, 5)):
+            rows.append((rng.randrange(1 << 40), [group * 10 + k for k in range(5 if rng.random() < 0.5 else 4)]))
+    rows += [(k, [-7, -k]) for k in range(1000, 6500)] + rows[:50]
+    held = defaultdict(set)
+    for band, key, _ in want(rows):
+        held[band].add(key)
+    sets = defaultdict(list)
+    for band, keys in held.items():
+        sets[frozenset(keys)].append(band)
+    wanted = sorted((min(bands), key, len(keys), len(bands)) for keys, bands in sets.items() for key in keys)
+    for kind, name in (("long", lambda k: k), ("binary", lambda k: bytes(8) + k.to_bytes(8, "big"))):
+        got = distinct_buckets(spark.createDataFrame([(name(k), bands) for k, bands in rows], f"key {kind}, bands array<long>").repartition(3)).collect()
+        assert sorted((r.band, int.from_bytes(r.key, "big") if kind == "binary" else r.key, r.size, r.times) for r in got) == wanted
+        assert len(got) < len(want(rows))
+    assert distinct_buckets(spark.createDataFrame([], "key long, bands array<long>")).count() == 0
