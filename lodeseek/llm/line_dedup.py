@@ -282,12 +282,14 @@ def _classes(lines: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def _forms(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, form) of the classes wanted (key, h), read off the documents; staged."""
-    told = rows.sparkSession.sparkContext.broadcast(bloom.build(wanted.select("h")))
+    """(key, form) of the classes wanted (key, h, rk), read off the documents (rk, text) that hold their first lines; staged."""
+    send = rows.sparkSession.sparkContext.broadcast
+    told, places = send(bloom.build(wanted.select("h"))), send(bloom.build(wanted.select(F.xxhash64("rk")).distinct()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.zeros(KNOWN, np.uint64)
-        for batch in slices(batches, "text", SLICE):
+        near = (b.filter(pa.array(bloom.may_hold(places.value, b.column("place").to_numpy().view(np.uint64)))) for b in batches)
+        for batch in slices(near, "text", SLICE):
             forms = list(dict.fromkeys(x for _, _, x in _lines(batch, SHINGLE)))
             names = [_name(x) for x in forms]
             h = _hashes(names)
@@ -295,7 +297,7 @@ def _forms(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             hit = hit[_unknown(known, h[hit])].tolist()
             yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in hit], pa.binary()), pa.array([forms[k] for k in hit], pa.binary())], ["key", "form"])
 
-    found = rows.mapInArrow(run, "key binary, form binary").join(wanted.select("key"), "key", "left_semi")
+    found = rows.select(F.xxhash64("rk").alias("place"), "text").mapInArrow(run, "key binary, form binary").join(wanted.select("key"), "key", "left_semi")
     return stage(found.groupBy("key").agg(F.first("form").alias("form")), "line-forms")
 
 
@@ -453,8 +455,8 @@ def _settled(docs: DataFrame, similarity: float, id_col: str, text_col: str, lea
     named = shared.withColumnRenamed("key", "h").join(classes.select("h", "key"), "h")
     buckets = stage(named.select("band", "key", "size", "times"), "line-buckets")
     discard(shared)
-    wanted = stage(classes.select("key", "h").join(buckets.select("key").distinct(), "key", "left_semi"), "line-candidates")
-    forms = _forms(rows.select("text"), wanted)
+    wanted = stage(classes.select("key", "h", "first.rk").join(buckets.select("key").distinct(), "key", "left_semi"), "line-candidates")
+    forms = _forms(rows, wanted)
     forget_shuffles(docs.sparkSession)
     percent = round(similarity * 100)
     joined = bucket_components(buckets, lambda pairs: _verified(pairs, forms, percent), forms, lambda blocks: _compared(blocks, percent), F.length("form"))
@@ -492,7 +494,9 @@ def drop_similar_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col:
         gone = F.when(F.col("all").isNotNull() & (F.col("nth") > 1), F.col("all")).otherwise(gone)
     else:  # no text is sorted
         rows = rows.join(by_row.hint("shuffle_hash"), "rk", "left")
-    told = rows.select("own", "text", gone.alias("gone"), F.split("text", "\n").alias("parts"))
+    # only texts that lose lines are split
+    told = rows.select("own", "text", gone.alias("gone")).withColumn("parts", F.when(F.size("gone") > 0, F.split("text", "\n")))
+    n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone")), lambda i: F.get("parts", i))
     kept = [F.col(f"own.`{c}`").alias(c) if c != text_col else F.when(F.size("gone") > 0, F.array_join(left, "\n")).otherwise(F.col("text")).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return told.select(*kept, F.coalesce(F.size("parts"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    return told.select(*kept, F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import tracemalloc
 
@@ -150,3 +151,23 @@ def test_no_text_is_sorted(spark):
     assert out.agg({"n_dropped": "sum"}).first()[0] >= 49
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "strategy=shuffle_hash" in plan
+
+
+def test_classes_are_those_that_matter(spark):
+    rng = random.Random(6)
+    key = lambda k: hashlib.blake2b(str(k).encode(), digest_size=16).digest()
+    h = lambda k: int.from_bytes(key(k)[:8], "little", signed=True)
+    rows = [(rng.choice([key(-1), key(-2)]), rng.choice([None, rng.randrange(-20, 20)]), rng.randrange(5), key(min(rng.randrange(400), rng.randrange(400)))) for _ in range(900)]
+    rows += [(key(-3), 3, k, key(7)) for k in range(5000)]  # one line is frequent
+    lines = spark.createDataFrame(rows, "rk binary, doc_id long, line int, key binary").repartition(4)
+    shared = spark.createDataFrame([(h(k),) for k in range(0, 400, 2)] * 2, "key long")
+    got = {bytes(r.key): r for r in op._classes(lines, shared).collect()}
+    held = {}
+    for rk, doc, line, own in rows:
+        held.setdefault(own, []).append((doc is not None, doc or 0, line, rk))
+    needed = {own for own, x in held.items() if len(x) > 1} | {key(k) for k in range(0, 400, 2)} & held.keys()
+    assert needed <= got.keys() <= held.keys() and len(got) < len(held)
+    for own, r in got.items():
+        told, doc, line, rk = min(held[own])
+        assert (r.h, r.n) == (int.from_bytes(own[:8], "little", signed=True), len(held[own]))
+        assert (r["first"].doc_id, r["first"].line, bytes(r["first"].rk)) == (doc if told else None, line, rk)
